@@ -4,7 +4,7 @@ Records are ordered by the hash of their text, so that equal texts stand
 together. A size-weighted sample of keys gives quantile boundaries for many
 fine ranges (a fixed number a shard). Exact sizes of the ranges follow in one
 aggregation; a range that came out overfull — one hot key, or one huge group
-of copies — is subdivided by a second hash. The units are dealt to the shards
+of copies — is subdivided by a second hash. Other equal texts share a shard. The units are dealt to the shards
 largest first, each to the lightest shard, and rows get gapless slots from a
 prefix sum over small blocks. Only slim rows (id, key, size, checksum) are
 ever shuffled, never texts.
@@ -28,6 +28,7 @@ from .common import local_rows, materialise, table
 
 RANGES = 64  # fine ranges a shard
 SAMPLES = 8  # sampled keys a fine range
+OVERFULL = 8  # a range above one in so many of a shard is subdivided
 BLOCK_ROWS = 20_000  # rows a block of slots, about
 _CELL_BITS = 12
 
@@ -94,8 +95,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     ranged = _range_of(slim, splitters(slim, total, ranges))
 
     sizes = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).collect()
-    parts = {r["range"]: -(-r["bytes"] // target) if r["bytes"] > 2 * target else 1 for r in sizes}
-    over = local_rows(spark, [{"range": k, "parts": n} for k, n in parts.items() if n > 1], "range bigint, parts bigint")
+    parts = {r["range"]: -(-r["bytes"] // target) for r in sizes if r["bytes"] * shards * OVERFULL > total}
+    over = local_rows(spark, [{"range": k, "parts": n} for k, n in parts.items()], "range bigint, parts bigint")
     united = (
         ranged.join(F.broadcast(over), "range", "left")
         .withColumn("sub", F.floor(_unit_hash("sub") * F.coalesce("parts", F.lit(1))).cast("bigint"))
