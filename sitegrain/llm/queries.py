@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op3_packing
+from .quality import op6_quality
 from .sharding import op4_sharding
 from .simhash import op1_simhash
+from .wavelet import op7_wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op6_quality": op6_quality,
+    "op7_wavelet": op7_wavelet,
 }
 
 ORACLE_SQL: dict[str, str] = {}
