@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_langid
 from .packing import op3_packing
 from .quality import op6_quality
 from .sharding import op4_sharding
 from .simhash import op1_simhash
+from .toxicity import op10_toxicity
 from .wavelet import op7_wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_quality": op6_quality,
     "op7_wavelet": op7_wavelet,
+    "op9_langid": op9_langid,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
