@@ -11,6 +11,7 @@ from .packing import op3_packing
 from .quality import op6_quality
 from .sharding import op4_sharding
 from .simhash import op1_simhash
+from .syncmers import op8_syncmers
 from .toxicity import op10_toxicity
 from .wavelet import op7_wavelet
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_quality": op6_quality,
     "op7_wavelet": op7_wavelet,
+    "op8_syncmers": op8_syncmers,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
 }
