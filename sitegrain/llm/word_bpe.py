@@ -39,10 +39,12 @@ def _chunks(text: str) -> list[str]:
 class WordBpe:
     """``encode(texts)`` → one bytes object a text: its ids as little-endian uint16."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ordinary: bool = False) -> None:
+        """ordinary: the strings of special tokens are ordinary text."""
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = ordinary
         self.bulk = Tokenizer.from_file(path)
         self.bulk.normalizer = normalizers.Sequence([])
         self.bulk.pre_tokenizer = pre_tokenizers.Sequence(
@@ -86,9 +88,8 @@ class WordBpe:
             split = [_chunks(t or "") for t in texts[at : at + 32]]
             if len(chunks) > CACHE_ENTRIES:
                 chunks.clear()
-            new = set().union(*split) - chunks.keys()
-            if new:
-                self._learn(list(new))
+            if new := [c for c in set().union(*split) if c not in chunks]:
+                self._learn(new)
             get = chunks.__getitem__
             out += [b"".join(map(get, s)) for s in split]
         return out
@@ -101,3 +102,9 @@ def encoder(path: str) -> WordBpe:
 
     gc.freeze()
     return WordBpe(path)
+
+
+@lru_cache(1)
+def ordinary_encoder(path: str) -> WordBpe:
+    """As ``encoder``, with no special tokens: the end id never comes from a text."""
+    return WordBpe(path, ordinary=True)
