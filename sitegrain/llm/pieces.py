@@ -38,7 +38,7 @@ from .common import table, text_batches
 
 SPACE = "▁"
 N_BEST = 4
-#: A character without a piece weighs so much less than the least piece, as unknowns do in unigram models.
+#: A character without a piece weighs so much less than the least single-character piece, as unknowns do in unigram models.
 UNKNOWN_PENALTY = 10.0
 CACHE_SEGMENTS = 300_000
 #: Segments between which a vocabulary can have no piece, and between words and punctuation where it has none either.
@@ -75,7 +75,7 @@ class PieceLattice:
         self.byte_ids = {i: b for b, i in self.bytes_of.items()}
         self.unknown = sp.unk_id()
         self.silent = {i for i in range(size) if sp.is_control(i)}
-        self.floor = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
+        self.floor = min((s for p, (_, s) in self.pieces.items() if len(p) == 1), default=0.0) - UNKNOWN_PENALTY
         self.starts = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         pairs = {(_kind(a), _kind(b)) for p in self.pieces for a, b in zip(p, p[1:]) if _kind(a) != _kind(b)}
         if any(b == "space" for _, b in pairs):
