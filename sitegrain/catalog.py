@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from sitegrain.operators import pages  # noqa: F401  registers its plans
+from sitegrain.plans.dialect import PLANS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: p.run for name, p in PLANS.items()}
+ORACLE_SQL: dict[str, str] = {name: p.sql() for name, p in PLANS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return QUERIES["nrm01_title"](spark, sf_dir)
