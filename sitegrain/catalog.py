@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.operators import pages, rules  # noqa: F401  they register their plans
+from sitegrain.operators import pages, rules, scoring  # noqa: F401  they register their plans
 from sitegrain.plans.dialect import PLANS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: p.run for name, p in PLANS.items()}
@@ -14,4 +14,4 @@ ORACLE_SQL: dict[str, str] = {name: p.sql() for name, p in PLANS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["nrm01_title"](spark, sf_dir)
+    return QUERIES["flagship_category_scores"](spark, sf_dir)
