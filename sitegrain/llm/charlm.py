@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -24,22 +25,31 @@ def word_hash(words: list[str]) -> np.ndarray:
 
 
 class Grams:
-    """Hashes of the n-grams that end at each character of padded words, for n up to ``order``."""
+    """Hashes of the n-grams that end at each character of padded words, order by order.
+
+    ``orders`` yields (n, n-gram hashes, hashes of their first n - 1 characters)
+    and keeps two orders in memory at a time.
+    """
 
     def __init__(self, words: list[str], order: int) -> None:
+        self.order = order
         pad = _PAD * (order - 1)
         flat = "".join([f"{pad}{w}{_STOP}" for w in words])
-        codes = np.frombuffer(flat.encode("utf-32-le"), "<u4").astype(np.uint64)
-        self.at = np.flatnonzero(codes != ord(_PAD))
-        lengths = np.array([len(w) + 1 for w in words], np.int64)
-        self.starts = np.cumsum(lengths) - lengths
-        self.lengths = lengths
-        full = [np.zeros(len(codes), np.uint64), codes + np.uint64(1)]
-        for _ in range(2, order + 1):
-            previous = np.concatenate([full[-1][:1], full[-1][:-1]])
-            full.append(previous * _FACTOR + codes)
-        self.grams = [g[self.at] for g in full]
-        self.contexts = [None, np.zeros(len(self.at), np.uint64)] + [g[self.at - 1] for g in full[1:-1]]
+        self.codes = np.frombuffer(flat.encode("utf-32-le"), "<u4")
+        self.at = np.flatnonzero(self.codes != ord(_PAD)).astype(np.int32)
+        self.lengths = np.array([len(w) + 1 for w in words], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def orders(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        codes = self.codes.astype(np.uint64)
+        full = codes + np.uint64(1)
+        yield 1, full[self.at], np.zeros(len(self.at), np.uint64)
+        for n in range(2, self.order + 1):
+            contexts = full[self.at - 1]
+            full = np.concatenate([full[:1], full[:-1]])
+            full *= _FACTOR
+            full += codes
+            yield n, full[self.at], contexts
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

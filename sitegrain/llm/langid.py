@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .charlm import CACHE_ENTRIES, Grams, find, word_hash, words_of
 from .common import bucket_of, materialise, table, text_batches
 
-MAX_DOCS = 8_000
+MAX_DOCS = 5_000
 ORDER = 5
 KNOWN = 2  # documents that a known word stands in, at least
 SMOOTHING = 0.5
@@ -53,8 +53,8 @@ class Model:
         known = np.flatnonzero(docs.sum(1) >= KNOWN)
         known = known[np.argsort(hashed[known])]
         g, tables = Grams(words, ORDER), []
-        for o in range(1, ORDER + 1):
-            keys, back = np.unique(g.grams[o], return_inverse=True)
+        for _, grams, _ in g.orders():
+            keys, back = np.unique(grams, return_inverse=True)
             per_gram = np.column_stack([np.bincount(back, np.repeat(docs[:, i], g.lengths), len(keys)) for i in range(len(langs))])
             tables.append((keys, logs(per_gram)))
         return Model(langs, hashed[known], logs(docs[known]), tables)
@@ -69,9 +69,9 @@ class Model:
         for o in range(ORDER, 0, -1):
             if not len(left):
                 break
-            g = Grams([words[i] for i in left], ORDER)
+            g = Grams([words[i] for i in left], o)
             keys, table_ = self.grams[o - 1]
-            at, hit = find(keys, g.grams[o])
+            at, hit = find(keys, next(grams for n, grams, _ in g.orders() if n == o))
             n = np.add.reduceat(hit.astype(np.float32), g.starts)
             total = np.add.reduceat(table_[at] * hit[:, None], g.starts, axis=0)
             got = n > 0
@@ -99,7 +99,7 @@ class Identifier:
         split = [words_of(t) for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self._clear()
-        if new := list(set().union(*split) - self.known.keys()):
+        if new := [w for w in set().union(*split) if w not in self.known]:
             self._learn(new)
         langs, scores = [], []
         for text, words in zip(texts, split):

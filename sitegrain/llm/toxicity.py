@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .charlm import CACHE_ENTRIES, Grams, KneserNeyOrder, find, word_hash, words_of
 from .common import bucket_of, materialise, table, text_batches
 
-MAX_DOCS = 8_000
+MAX_DOCS = 5_000
 ORDER = 6
 SHARED = 3  # character orders up to this are common to both classes
 DISCOUNT = 0.9
@@ -55,26 +55,27 @@ class Model:
     @staticmethod
     def fit(words: list[str], docs: np.ndarray) -> Model:
         order = np.argsort(hashed := word_hash(words))
-        both = Grams(words, ORDER)
-        shared = [KneserNeyOrder(both.grams[o], both.contexts[o]) for o in range(1, SHARED + 1)]
+        shared = [KneserNeyOrder(g, c) for _, g, c in Grams(words, SHARED).orders()]
         own = []
         for y in (0, 1):
-            g = Grams([w for w, n in zip(words, docs[:, y]) if n], ORDER)
-            own.append([KneserNeyOrder(g.grams[o], g.contexts[o]) for o in range(SHARED + 1, ORDER + 1)])
+            each = Grams([w for w, n in zip(words, docs[:, y]) if n], ORDER).orders()
+            own.append([KneserNeyOrder(g, c) for o, g, c in each if o > SHARED])
         return Model(hashed[order], docs[order].astype(np.float64), shared, own)
 
     def log_ratio(self, words: list[str]) -> np.ndarray:
         g = Grams(words, ORDER)
         low = np.full(len(g.at), 1e-4)
-        for o, table_ in enumerate(self.shared, 1):
-            low = table_.interpolate(g.grams[o], g.contexts[o], low, DISCOUNT)
+        p = [low, low]
+        for o, grams, contexts in g.orders():
+            if o <= SHARED:
+                low = self.shared[o - 1].interpolate(grams, contexts, low, DISCOUNT)
+                p = [low, low]
+            else:
+                p = [own[o - SHARED - 1].interpolate(grams, contexts, x, DISCOUNT) for own, x in zip(self.own, p)]
         at, there = find(self.words, word_hash(words))
         sums, logs = self.docs.sum(0), []
         for y in (0, 1):
-            p = low
-            for o, table_ in enumerate(self.own[y], SHARED + 1):
-                p = table_.interpolate(g.grams[o], g.contexts[o], p, DISCOUNT)
-            spelled = np.add.reduceat(np.log(p), g.starts)
+            spelled = np.add.reduceat(np.log(p[y]), g.starts)
             kinds = float((self.docs[:, y] > 0).sum())
             seen = np.maximum(np.where(there, self.docs[at, y], 0.0) - DISCOUNT, 0.0) / sums[y]
             with np.errstate(divide="ignore"):
@@ -91,7 +92,7 @@ class Scorer:
         split = [words_of(t) for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
+        new = [w for w in set().union(*split) if w not in self.known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             self.known.update(zip(part, self.model.log_ratio(part).tolist()))
