@@ -98,21 +98,14 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "distinct_share": share("n_distinct", "n_words"),
         "line_words": share("n_words", "n_lines"),
     }
+    # A condition on the row's number holds filters above the statistics: pushed down, they would
+    # inline the array expressions into each other and evaluate them anew for every element.
+    held = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
     return counts.select(
-        *cols, F.monotonically_increasing_id().alias(AS + "row"), *(F.col("_c_" + c).alias(AS + c) for c in BASE), *(c.alias(f"{AS}f_{k}") for k, c in features.items())
+        *cols, *(held(F.col("_c_" + c)).alias(AS + c) for c in BASE), *(held(c).alias(f"{AS}f_{k}") for k, c in features.items())
     )
 
 
-def keep(df: DataFrame, condition: Column) -> DataFrame:
-    """Filters rows that have statistics.
-
-    The row number holds the filter above the statistics: pushed down, it
-    would inline the array expressions into each other and evaluate them anew
-    for every element.
-    """
-    return df.where(condition & (F.col(AS + "row") >= 0))
-
-
 FEATURES = (
     "n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share",
     "upper_share", "digit_share", "stop_share", "distinct_share", "line_words",
@@ -227,8 +220,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     pick = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(max(n, 1))) < max_rows
     chosen = marks.where(pick).select(F.col("doc_id").alias("_id"), (F.col("q") < 0.5).cast("int").alias("bad"))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    stats = with_statistics(texts).withColumn("_failed", base_failed())
-    stats = keep(stats, ~F.col("_failed"))
+    stats = with_statistics(texts).where(~base_failed())
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)).alias("fold")
     return [r.asDict() for r in stats.select("bad", fold, *(F.col(f"{AS}f_{f}").alias(f) for f in FEATURES)).collect()]
 
