@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.operators import graph, pages, rules, scoring, texts  # noqa: F401  they register their plans
+from sitegrain.operators import graph, pages, planning, rules, scoring, texts  # noqa: F401  they register their plans
 from sitegrain.plans.dialect import PLANS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: p.run for name, p in PLANS.items()} | graph.QUERIES
