@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitegrain.operators import graph, pages, planning, rules, scoring, texts  # noqa: F401  they register their plans
 from sitegrain.plans.dialect import PLANS
+from sitegrain.streaming import captures
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: p.run for name, p in PLANS.items()} | graph.QUERIES
-ORACLE_SQL: dict[str, str] = {name: p.sql() for name, p in PLANS.items()} | graph.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: p.run for name, p in PLANS.items()} | graph.QUERIES | captures.QUERIES
+ORACLE_SQL: dict[str, str] = {name: p.sql() for name, p in PLANS.items()} | graph.ORACLE_SQL | captures.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
