@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegrain.operators import graph, pages, planning, rules, scoring, texts  # noqa: F401  they register their plans
+from sitegrain.plans import tiers  # noqa: F401
 from sitegrain.plans.dialect import PLANS
 from sitegrain.streaming import captures
 
