@@ -32,9 +32,9 @@ from .word_bpe import encoder, tokenizer_path
 
 CAPACITY = 2048
 END = 0
-NODES = 400  # branches that the search may open after the incumbent
+NODES = 300  # branches that one search may open after its incumbent
 FILLINGS = 4  # fillings tried at a branch
-STEPS = 3000  # steps of one enumeration of fillings
+STEPS = 300  # steps of one depth-first enumeration of fillings
 
 
 # --- planning ---------------------------------------------------------------
@@ -60,28 +60,35 @@ class _Left:
     """Counts by length with the largest length not above a bound in one step."""
 
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
-        self.n = [0] * (capacity + 1)
-        self.floor = np.zeros(capacity + 1, np.int64)
+        self.n = np.zeros(capacity + 1, np.int64)
         for s, c in counts.items():
             self.n[s] = c
+        self._own = np.arange(capacity + 1)
         self._refit()
 
     def _refit(self) -> None:
-        own = np.arange(len(self.n)) * (np.array(self.n, dtype=object) > 0)
-        self.floor = np.maximum.accumulate(own.astype(np.int64))
+        self.floor = np.maximum.accumulate(np.where(self.n > 0, self._own, 0))
 
     def take(self, filling: dict[int, int], times: int) -> None:
         """Removes (or, with negative times, gives back) a filling."""
         change = False
         for s, c in filling.items():
             was = self.n[s]
-            self.n[s] -= c * times
+            self.n[s] = was - c * times
             change |= (was > 0) != (self.n[s] > 0)
         if change:
             self._refit()
 
     def times(self, filling: dict[int, int]) -> int:
-        return min(self.n[s] // c for s, c in filling.items())
+        return min(int(self.n[s]) // c for s, c in filling.items())
+
+    def pairs(self, room: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every length that fits, and the largest second one beside it (0 if none)."""
+        a = np.flatnonzero(self.n[1 : room + 1]) + 1
+        second = self.floor[np.minimum(a, room - a)]
+        twice = (second == a) & (self.n[a] < 2)
+        second[twice] = self.floor[a[twice] - 1]
+        return a, second
 
 
 def _topped_up(left: _Left, items: list[int], room: int) -> list[int]:
@@ -102,113 +109,136 @@ def _topped_up(left: _Left, items: list[int], room: int) -> list[int]:
 def fillings(left: _Left, largest: int, capacity: int, limit: int = FILLINGS) -> list[dict[int, int]]:
     """Undominated ways to fill the sequence that holds ``largest``, least waste first."""
     room = capacity - largest
-    found: dict[tuple[int, ...], None] = {}
-
-    def add(rest: list[int]) -> None:
-        found[tuple(sorted(_topped_up(left, [largest, *rest], room - sum(rest)), reverse=True))] = None
-
-    one = int(left.floor[room])
-    if one == room and room and left.n[one] > (one == largest):
-        return [dict(Counter([largest, one]))]  # an exact fit by one piece dominates every other filling
-    add([])
-    steps = 0
-    a = one
-    while a > 0 and steps < STEPS:  # pairs, the second as large as fits
-        if left.n[a] > (a == largest):
-            add([a])
-            b = int(left.floor[min(a, room - a)])
-            while b and left.n[b] <= (b == largest) + (b == a):
-                b = int(left.floor[b - 1])
-            if b:
-                add([a, b])
-                if a + b == room:
-                    break
-            steps += 20
-        a = int(left.floor[a - 1])
-    stack = [([], room, one)]
-    while stack and steps < STEPS:  # larger sets, depth first from the largest pieces
-        items, free, top = stack.pop()
-        steps += 1
-        s = int(left.floor[min(top, free)])
-        if not s:
-            add(items)
-            continue
-        if s > 1:
-            stack.append((items, free, s - 1))
-        if left.n[s] > items.count(s) + (s == largest):
-            stack.append(([*items, s], free - s, s))
-    ranked = sorted(found, key=lambda f: (-sum(f), tuple(-x for x in f)))
+    left.take({largest: 1}, 1)
+    try:
+        if room and left.n[room]:
+            return [dict(Counter([largest, room]))]  # an exact fit by one piece dominates every other filling
+        found: dict[tuple[int, ...], None] = {}
+
+        def add(rest: list[int]) -> None:
+            found[tuple(sorted(_topped_up(left, rest, room - sum(rest)), reverse=True))] = None
+
+        add([])
+        a, b = left.pairs(room)
+        if len(a):
+            for i in np.lexsort((-a, -(a + b)))[: 2 * limit].tolist():  # pairs, the second as large as fits
+                add([x for x in (int(a[i]), int(b[i])) if x])
+            if (a + b).max() < room:  # triples around the largest pieces
+                for first in a[::-1][: 8 * limit].tolist():
+                    left.take({first: 1}, 1)
+                    x, y = left.pairs(room - first)
+                    if len(x):
+                        i = int((x + y).argmax())
+                        third = [first, *(int(v) for v in (x[i], y[i]) if v)]
+                    left.take({first: 1}, -1)
+                    if len(x):
+                        add(third)
+        if limit > 1:  # larger sets, depth first from the largest pieces
+            stack, steps = [([], room, room)], 0
+            while stack and steps < STEPS:
+                items, free, top = stack.pop()
+                steps += 1
+                s = int(left.floor[min(top, free)])
+                if not s:
+                    add(items)
+                    continue
+                if s > 1:
+                    stack.append((items, free, s - 1))
+                if left.n[s] > items.count(s):
+                    stack.append(([*items, s], free - s, s))
+    finally:
+        left.take({largest: 1}, -1)
     out: list[tuple[int, ...]] = []
-    for f in ranked:
+    for f in sorted(found, key=lambda f: (-sum(f), tuple(-x for x in f))):
         if not any(len(g) <= len(f) and all(x >= y for x, y in zip(g, f)) for g in out):
             out.append(f)
         if len(out) == limit:
             break
-    return [dict(Counter(f)) for f in out]
+    return [dict(Counter([largest, *f])) for f in out]
 
 
 Plan = list[tuple[int, dict[int, int]]]
 
 
-def _best_fit(left: _Left, capacity: int) -> Plan:
-    """Greedy from here on: the first filling, as often as it can be used."""
-    plan: Plan = []
+def _sequences(plan_: Plan) -> int:
+    return sum(m for m, _ in plan_)
+
+
+def _best_fit(counts: dict[int, int], capacity: int) -> Plan:
+    """Greedy: the first filling of the largest piece left, as often as it can be used."""
+    left, out = _Left(counts, capacity), []
     while largest := int(left.floor[capacity]):
         f = fillings(left, largest, capacity, 1)[0]
-        plan.append((m := left.times(f), f))
+        out.append((m := left.times(f), f))
         left.take(f, m)
-    for m, f in plan:
-        left.take(f, -m)
-    return plan
+    return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """``[(sequences, {length: pieces})]`` for a histogram of lengths, in as few sequences as found."""
-    counts = {s: c for s, c in counts.items() if c}
-    if any(not 0 < s <= capacity for s in counts):
-        raise ValueError("lengths must be between 1 and the capacity")
+def branch_and_bound(counts: dict[int, int], capacity: int, incumbent: Plan, nodes: int = NODES) -> Plan:
+    """Bin completion: depth first over the fillings of the largest piece left, pruned by waste."""
+    best, fewest, bound = incumbent, _sequences(incumbent), lower_bound(counts, capacity)
+    total = sum(s * c for s, c in counts.items())
     left = _Left(counts, capacity)
-    best = _best_fit(left, capacity)
-    fewest, bound = sum(m for m, _ in best), lower_bound(counts, capacity)
-    slack = lambda n: n * capacity - sum(s * c for s, c in counts.items())  # noqa: E731  waste allowed in n sequences
     path: list[tuple[int, dict[int, int], int]] = []  # times, filling, waste
-    stack: list = [None]
 
     def options() -> list[tuple[int, dict[int, int]]]:
-        largest = int(left.floor[capacity])
-        found = fillings(left, largest, capacity)
+        found = fillings(left, int(left.floor[capacity]), capacity)
         out = []
         for f in found:
             most = left.times(f)
             out += [(m, f) for m in dict.fromkeys((most, (most + 1) // 2, 1))] if len(found) > 1 else [(most, f)]
         return out[::-1]
 
-    stack, opened = ([options()] if counts and fewest > bound else []), 0
+    stack, opened, wasted = ([options()] if counts else []), 0, 0
     while stack and opened < nodes and fewest > bound:
         if not stack[-1]:
             stack.pop()
             if path:
-                m, f, _ = path.pop()
+                m, f, waste = path.pop()
+                wasted -= waste
                 left.take(f, -m)
             continue
         m, f = stack[-1].pop()
         waste = m * (capacity - sum(s * c for s, c in f.items()))
-        if sum(w for _, _, w in path) + waste > slack(fewest - 1):
+        if wasted + waste > (fewest - 1) * capacity - total:  # no better solution wastes so much
             continue
         opened += 1
         left.take(f, m)
         path.append((m, f, waste))
+        wasted += waste
         if left.floor[capacity]:
-            if len(stack) <= 8 or opened % 16 == 0:  # dive by best fit from upper branches
-                rest = _best_fit(left, capacity)
-                if (n := sum(m for m, *_ in path) + sum(m for m, _ in rest)) < fewest:
-                    fewest, best = n, [*((m, f) for m, f, _ in path), *rest]
             stack.append(options())
-        else:
-            if (n := sum(m for m, *_ in path)) < fewest:
-                fewest, best = n, [(m, f) for m, f, _ in path]
-            m, f, _ = path.pop()
-            left.take(f, -m)
+            continue
+        if (n := sum(m for m, *_ in path)) < fewest:
+            fewest, best = n, [(m, f) for m, f, _ in path]
+        path.pop()
+        wasted -= waste
+        left.take(f, -m)
+    return best
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+    """``[(sequences, {length: pieces})]`` for a histogram of lengths, in as few sequences as found.
+
+    The best-fit incumbent's fullest sequences are fixed and the others packed
+    anew by branch and bound, for growing shares, up to all of them.
+    """
+    counts = {s: c for s, c in counts.items() if c}
+    if any(not 0 < s <= capacity for s in counts):
+        raise ValueError("lengths must be between 1 and the capacity")
+    best = _best_fit(counts, capacity)
+    bound = lower_bound(counts, capacity)
+    share = 8
+    while _sequences(best) > bound:
+        best.sort(key=lambda e: capacity - sum(s * c for s, c in e[1].items()))
+        tail: Counter = Counter()
+        for m, f in best[-share:]:
+            tail.update({s: m * c for s, c in f.items()})
+        again = branch_and_bound(dict(tail), capacity, best[-share:], nodes)
+        best = [*best[:-share], *again]
+        if share >= len(best):
+            break
+        share *= 2
     return best
 
 
