@@ -127,12 +127,12 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order, plane by plane from the last."""
-        now = np.zeros(self.n, np.uint32)
-        for level, plane in enumerate(reversed(self.planes)):
-            one = plane.bits()
-            z, back = self.n - int(one.sum()), np.empty(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
+        for level, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
+            one, back = plane.bits(), np.empty(self.n, kind)
             back[~one] = now[:z]
-            back[one] = now[z:] | np.uint32(1 << level)
+            back[one] = now[z:] | kind(1 << level)
             now = back
         return now
 

@@ -14,11 +14,14 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries kept per worker in each of the two tables (about 200 bytes an entry).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 END_ID = 49407
 
 #: The word pattern of the vocabulary file, for Latin text.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_WORDS_OR_END = re.compile(_WORDS.pattern + r"|\n")
+#: Eight bytes of ids beyond any vocabulary.
+_MARK = b"\xff" * 8
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
 
 
@@ -68,19 +71,29 @@ class WordBpe:
             start = stop
 
     def _learn(self, chunks: list[str]) -> None:
-        plain, known = [], self.words
-        for c in chunks:
-            if _PLAIN.fullmatch(c) and "<|" not in c and not any(x in c for x in _SEPARATORS):
-                plain.append((c, _WORDS.findall(c.lower())))
-            else:
-                self.chunks[c] = np.array(self.whole.encode(c, add_special_tokens=False).ids, "<u2").tobytes()
+        known = self.words
+        joined = "\n".join(chunks)
+        if not _PLAIN.fullmatch(joined) or "<|" in joined or any(x in joined for x in _SEPARATORS):
+            plain = []
+            for c in chunks:
+                if _PLAIN.fullmatch(c) and "<|" not in c and not any(x in c for x in _SEPARATORS):
+                    plain.append(c)
+                else:
+                    self.chunks[c] = np.array(self.whole.encode(c, add_special_tokens=False).ids, "<u2").tobytes()
+            chunks, joined = plain, "\n".join(plain)
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        new = list({w for _, ws in plain for w in ws if w not in known})
+        words = _WORDS_OR_END.findall(joined.lower())
+        new = [w for w in set(words) if w not in known and w != "\n"]
         for at in range(0, len(new), 4096):
             self._learn_words(new[at : at + 4096])
-        for c, ws in plain:
-            self.chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+        known["\n"] = _MARK  # splits the ids of all chunks at once
+        raws = b"".join(map(known.__getitem__, words)).split(_MARK) if len(chunks) > 1 else []
+        if len(raws) == len(chunks):
+            self.chunks.update(zip(chunks, raws))
+        else:  # one chunk, or ids that happen to hold the mark
+            for c in chunks:
+                self.chunks[c] = b"".join([known[w] for w in _WORDS.findall(c.lower())])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, chunks = [], self.chunks
