@@ -142,7 +142,7 @@ def keep_one(docs: DataFrame, k: int = 3, threshold: int = THRESHOLD) -> DataFra
     times = groups.groupBy("id").agg(
         F.count("*").alias("n"), F.bool_or(F.col("id").eqNullSafe(F.col("component_id"))).alias("least")
     )
-    chosen = materialise(times.where("least").select("id", "n"), "chosen")
+    chosen = materialise(times.where("least").select("id", "n"), "chosen").hint("merge")  # it grows with the corpus
     one = docs.join(chosen.where("n = 1"), docs.doc_id.eqNullSafe(chosen.id), "left_semi")
     more = docs.join(chosen.where("n > 1"), docs.doc_id.eqNullSafe(chosen.id), "left_semi")
     first = more.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row"))
