@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 K = 5
 SKETCH = 64
@@ -110,7 +110,8 @@ def with_next(docs: DataFrame, fields: list[str]) -> DataFrame:
     heads = placed.groupBy("_bucket").agg(F.max("doc_id").alias("_head"))
     order = Window.orderBy(F.col("_bucket").desc())
     before = F.coalesce(F.lag("_bucket").over(order), F.min("_bucket").over(Window.partitionBy()))
-    ghosts = heads.select(F.col("_bucket").alias("_of"), "_head", before.alias("_before"))
+    # written first, so that its true size is known and texts aren't shuffled to meet a few rows
+    ghosts = materialise(heads.select(F.col("_bucket").alias("_of"), "_head", before.alias("_before")), "ghosts")
     placed = placed.join(
         ghosts, (F.col("_bucket") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left"
     ).select(*docs.columns, "_bucket", "_before")
