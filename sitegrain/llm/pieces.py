@@ -40,7 +40,7 @@ SPACE = "▁"
 N_BEST = 4
 #: A character without a piece weighs so much less than the least single-character piece, as unknowns do in unigram models.
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 1_200_000
 #: Segments between which a vocabulary can have no piece, and between words and punctuation where it has none either.
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _FINE = re.compile(rf"{SPACE}*(?:[^\W\d_²]+|\d+|(?:[^{SPACE}\w]|[_²])+)|{SPACE}+")
