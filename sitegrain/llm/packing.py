@@ -32,9 +32,9 @@ from .word_bpe import encoder, tokenizer_path
 
 CAPACITY = 2048
 END = 0
-NODES = 300  # branches that one search may open after its incumbent
+NODES = 400  # choices that one search may open after its incumbent; levels with one choice are free
 FILLINGS = 4  # fillings tried at a branch
-STEPS = 300  # steps of one depth-first enumeration of fillings
+STEPS = 3000  # steps of one depth-first enumeration of fillings
 
 
 # --- planning ---------------------------------------------------------------
@@ -164,18 +164,24 @@ def _sequences(plan_: Plan) -> int:
     return sum(m for m, _ in plan_)
 
 
-def _best_fit(counts: dict[int, int], capacity: int) -> Plan:
-    """Greedy: the first filling of the largest piece left, as often as it can be used."""
-    left, out = _Left(counts, capacity), []
+def _best_fit(left: _Left, capacity: int) -> Plan:
+    """Greedy from here on: the first filling of the largest piece left, as often as it can be used."""
+    out: Plan = []
     while largest := int(left.floor[capacity]):
         f = fillings(left, largest, capacity, 1)[0]
         out.append((m := left.times(f), f))
         left.take(f, m)
+    for m, f in out:
+        left.take(f, -m)
     return out
 
 
 def branch_and_bound(counts: dict[int, int], capacity: int, incumbent: Plan, nodes: int = NODES) -> Plan:
-    """Bin completion: depth first over the fillings of the largest piece left, pruned by waste."""
+    """Bin completion: depth first over the fillings of the largest piece left, pruned by waste.
+
+    Partial paths are completed by best fit, from upper branches and at every
+    16th choice, so that solutions are found however deep the leaves are.
+    """
     best, fewest, bound = incumbent, _sequences(incumbent), lower_bound(counts, capacity)
     total = sum(s * c for s, c in counts.items())
     left = _Left(counts, capacity)
@@ -190,9 +196,11 @@ def branch_and_bound(counts: dict[int, int], capacity: int, incumbent: Plan, nod
         return out[::-1]
 
     stack, opened, wasted = ([options()] if counts else []), 0, 0
+    choices = [len(stack[0])] if stack else []  # options of each level on the stack at first
     while stack and opened < nodes and fewest > bound:
         if not stack[-1]:
             stack.pop()
+            choices.pop()
             if path:
                 m, f, waste = path.pop()
                 wasted -= waste
@@ -202,12 +210,18 @@ def branch_and_bound(counts: dict[int, int], capacity: int, incumbent: Plan, nod
         waste = m * (capacity - sum(s * c for s, c in f.items()))
         if wasted + waste > (fewest - 1) * capacity - total:  # no better solution wastes so much
             continue
-        opened += 1
+        choice = choices[-1] > 1
+        opened += choice
         left.take(f, m)
         path.append((m, f, waste))
         wasted += waste
         if left.floor[capacity]:
+            if choice and (len(stack) <= 8 or opened % 16 == 0):
+                rest = _best_fit(left, capacity)
+                if (n := sum(m for m, *_ in path) + _sequences(rest)) < fewest:
+                    fewest, best = n, [*((m, f) for m, f, _ in path), *rest]
             stack.append(options())
+            choices.append(len(stack[-1]))
             continue
         if (n := sum(m for m, *_ in path)) < fewest:
             fewest, best = n, [(m, f) for m, f, _ in path]
@@ -226,7 +240,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     counts = {s: c for s, c in counts.items() if c}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("lengths must be between 1 and the capacity")
-    best = _best_fit(counts, capacity)
+    best = _best_fit(_Left(counts, capacity), capacity)
     bound = lower_bound(counts, capacity)
     share = 8
     while _sequences(best) > bound:
