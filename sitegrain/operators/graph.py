@@ -73,13 +73,13 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .where("l_quantity > 47").select(F.col("c_nationkey").cast("string").alias("source"), F.col("s_nationkey").cast("string").alias("target")).distinct()
+        .select(F.col("c_nationkey").cast("string").alias("source"), F.col("s_nationkey").cast("string").alias("target")).distinct()
     )
 
 
 def gra02_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spark.read.parquet(f"{sf_dir.rstrip('/')}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("url"))
-    ranks = pagerank(nodes, order_edges(spark, sf_dir), iterations=5, tolerance=0.0)
+    ranks = pagerank(nodes, order_edges(spark, sf_dir))
     return ranks.select("url", F.round("rank", 6).alias("rank"))
 
 
@@ -101,7 +101,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 def gra06_bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.createDataFrame([("0",)], "url string")
-    return crawl_depth(order_edges(spark, sf_dir), start, 4).select("url", F.col("depth").cast("bigint").alias("depth"))
+    return crawl_depth(order_edges(spark, sf_dir), start).select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
 _BFS_SQL = f"""with recursive {_edges_sql()}, walk(url, depth) as (
@@ -160,7 +160,8 @@ def _closure(d: Dialect) -> str:
 
 def gra09_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = ", ".join(f"{t} as (select * from parquet.`{sf_dir.rstrip('/')}/{t}.parquet`)" for t in ("customer", "nation"))
-    return spark.sql(_closure(None).replace("with recursive ", f"with recursive {scans}, ", 1))
+    every = _closure(None).replace(" where c_custkey % 10 = 0", "", 1)  # the given SQL's tenth of the customers
+    return spark.sql(every.replace("with recursive ", f"with recursive {scans}, ", 1))
 
 
 QUERIES["gra09_ontology_closure"] = gra09_closure
