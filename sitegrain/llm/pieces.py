@@ -16,7 +16,11 @@ chain fixed at its best, which changes no result.
 
 Ties go to the longer last piece, then to the earlier find. Defined results: a
 null text counts as empty and has one segmentation, of no pieces; decoding
-replaces bytes that are no UTF-8 by U+FFFD.
+replaces bytes that are no UTF-8 by U+FFFD; the space mark U+2581 stands for a
+space, so a text that holds it literally decodes to spaces in its place.
+Repeated rows are encoded each; an empty table gives an empty result; a very
+long text costs memory in proportion to its length and is never cut. Only the
+id and text columns are read, so further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +44,9 @@ SPACE = "▁"
 N_BEST = 4
 #: A character without a piece weighs so much less than the least single-character piece, as unknowns do in unigram models.
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 1_200_000
+CACHE_SEGMENTS = 800_000
+#: Segments up to this length are learned in bulk, so many at a time; the few longer ones one by one.
+BULK_LENGTHS, BULK_SEGMENTS = (8, 16, 32), 4096
 #: Segments between which a vocabulary can have no piece, and between words and punctuation where it has none either.
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _FINE = re.compile(rf"{SPACE}*(?:[^\W\d_²]+|\d+|(?:[^{SPACE}\w]|[_²])+)|{SPACE}+")
@@ -88,20 +94,115 @@ class PieceLattice:
             elif i in self.silent:
                 self.as_bytes[i] = b""
         self.as_bytes[self.unknown] = " ⁇ ".encode()
+        self._trie()
         self._clear()
 
+    def _trie(self) -> None:
+        """The pieces' prefixes as arrays: children by (node, character), and the piece and score that end at a node."""
+        node = {"": 0} | {p: i for i, p in enumerate(sorted(self.starts), 1)}
+        steps = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in node if p], np.int64)
+        order = np.argsort(steps)
+        self.steps, self.child = steps[order], np.array([i for p, i in node.items() if p], np.int32)[order]
+        self.ends = np.full(len(node), -1, np.int32)
+        self.weights = np.full(len(node), -np.inf)
+        for p, (i, score) in self.pieces.items():
+            self.ends[node[p]], self.weights[node[p]] = i, score
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.raws: list[bytes] = []
-        self.totals = np.zeros(0)
-        self.gaps = np.zeros(0)
+        self.totals = np.zeros(1 << 14)
+        self.gaps = np.zeros(1 << 14)
 
     def _learn(self, segments: list[str]) -> None:
-        found = [self.best(s) for s in segments]
-        self.known.update(zip(segments, range(len(self.raws), len(self.raws) + len(segments))))
-        self.raws += [f[1] for f in found]
-        self.totals = np.append(self.totals, [f[0] for f in found])
-        self.gaps = np.append(self.gaps, [f[2] for f in found])
+        """Best path, its score and the gap to the second best of segments that aren't known yet."""
+        segments = sorted(segments, key=len)
+        bounds = np.searchsorted(np.fromiter(map(len, segments), np.int64, len(segments)), BULK_LENGTHS, side="right").tolist()
+        for at, stop, longest in zip([0, *bounds], bounds, BULK_LENGTHS):
+            for a in range(at, stop, BULK_SEGMENTS):
+                self._keep(*self._best_in_bulk(segments[a : min(stop, a + BULK_SEGMENTS)], longest))
+        for s in segments[bounds[-1] :]:
+            total, raw, gap = self.best(s)
+            self._keep([s], [raw], [total], [gap])
+
+    def _keep(self, segments: list[str], raws: list[bytes], totals, gaps) -> None:
+        n = len(self.raws)
+        while n + len(segments) > len(self.totals):
+            self.totals, self.gaps = (np.concatenate([x, np.zeros(len(x))]) for x in (self.totals, self.gaps))
+        self.known.update(zip(segments, range(n, n + len(segments))))
+        self.raws += raws
+        self.totals[n : n + len(segments)], self.gaps[n : n + len(segments)] = totals, gaps
+
+    def _best_in_bulk(self, segments: list[str], width: int) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray]:
+        """``best`` of many segments of at most ``width`` characters: the same passes, a position of all of them at a time."""
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        row = np.repeat(np.arange(len(segments)), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = sizes[row] - place
+        # scores and ids of the pieces of length k that end at z, over all segments
+        most = min(width, self.longest)
+        score = np.full((most + 1, width + 1, len(segments)), -np.inf)
+        piece = np.full((most + 1, width + 1, len(segments)), -1, np.int32)
+        lone = np.zeros(len(codes), bool)  # characters that are pieces themselves
+        start, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for k in range(1, most + 1):
+            go = left[start] >= k
+            start, node = start[go], node[go]
+            wanted = node << 21 | codes[start + k - 1]
+            at = np.minimum(np.searchsorted(self.steps, wanted), len(self.steps) - 1)
+            go = self.steps[at] == wanted
+            start, node = start[go], self.child[at[go]].astype(np.int64)
+            if not len(start):
+                break
+            full = self.ends[node] >= 0
+            s, e = start[full], node[full]
+            score[k, place[s] + k, row[s]] = self.weights[e]
+            piece[k, place[s] + k, row[s]] = self.ends[e]
+            if k == 1:
+                lone[s] = True
+        odd = np.zeros(len(segments), bool)
+        odd[row[~lone]] = True
+        # forwards
+        every = np.arange(len(segments))
+        best = np.full((width + 1, len(segments)), -np.inf)
+        back = np.zeros((width + 1, len(segments)), np.int32)
+        best[0] = 0.0
+        for z in range(1, width + 1):
+            for k in range(min(z, most), 0, -1):
+                through = best[z - k] + score[k, z]
+                better = through > best[z]
+                best[z][better] = through[better]
+                back[z][better] = k
+        # the best paths, from their ends
+        on = np.zeros(score.shape, bool)
+        ids = np.full((len(segments), width), -1, np.int32)
+        z = np.where(odd, 0, sizes)
+        for step in range(width):
+            alive = np.flatnonzero(z)
+            if not len(alive):
+                break
+            k = back[z[alive], alive]
+            on[k, z[alive], alive] = True
+            ids[alive, width - 1 - step] = piece[k, z[alive], alive]
+            z[alive] -= k
+        # backwards: the best path through each edge that is off the best path
+        after = np.full((width + 1, len(segments)), -np.inf)
+        after[sizes, every] = 0.0
+        second = np.full(len(segments), -np.inf)
+        for end in range(width, 0, -1):
+            for k in range(1, min(end, most) + 1):
+                rest = after[end] + score[k, end]
+                np.maximum(after[end - k], rest, out=after[end - k])
+                np.maximum(second, np.where(on[k, end], -np.inf, best[end - k] + score[k, end] + after[end]), out=second)
+        totals = best[sizes, every]
+        flat, stops = ids[ids >= 0].astype("<u2").tobytes(), (2 * np.cumsum((ids >= 0).sum(1))).tolist()
+        raws = [flat[a:b] for a, b in zip([0, *stops], stops)]
+        with np.errstate(invalid="ignore"):
+            gaps = totals - second
+        for i in np.flatnonzero(odd).tolist():  # a character without a piece: one by one
+            totals[i], raws[i], gaps[i] = self.best(segments[i])
+        return segments, raws, totals, gaps
 
     def edges(self, segment: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end position: (start, ids, score) of the pieces that end there, longest first."""
@@ -184,14 +285,20 @@ class PieceLattice:
 
     def n_best(self, text: str | None, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
         """Up to n segmentations, best first: (score, ids)."""
-        if not text:
-            return [(0.0, np.zeros(0, "<u2"))]
-        segments = self.segment.findall(SPACE + text.replace(" ", SPACE))
+        return self.n_best_of([text], n)[0]
+
+    def n_best_of(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[float, np.ndarray]]]:
+        """``n_best`` of several texts, whose new segments are learned together."""
+        split = [self.segment.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > CACHE_SEGMENTS:
             self._clear()
-        known = self.known
-        if new := [s for s in set(segments) if s not in known]:
-            self._learn(new)
+        if new := set().union(*split).difference(self.known):
+            self._learn(list(new))
+        return [self._n_best(segments, n) for segments in split]
+
+    def _n_best(self, segments: list[str], n: int) -> list[tuple[float, np.ndarray]]:
+        if not segments:
+            return [(0.0, np.zeros(0, "<u2"))]
         at = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
         totals, gaps = self.totals[at], self.gaps[at]
         few = min(n - 1, len(at))
@@ -257,8 +364,8 @@ def _run(docs: DataFrame, path: str, n: int, id_col: str, text_col: str, make, s
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(texts), 32):
-                part = zip(ids[at : at + 32], texts[at : at + 32])
-                columns = list(zip(*make((i, t, m.n_best(t, n)) for i, t in part)))
+                part = texts[at : at + 32]
+                columns = list(zip(*make(zip(ids[at : at + 32], part, m.n_best_of(part, n)))))
                 if columns:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.types)], names)
 
