@@ -35,7 +35,7 @@ class Grams:
         self.order = order
         pad = _PAD * (order - 1)
         flat = "".join([f"{pad}{w}{_STOP}" for w in words])
-        self.codes = np.frombuffer(flat.encode("utf-32-le"), "<u4")
+        self.codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4")
         self.at = np.flatnonzero(self.codes != ord(_PAD)).astype(np.int32)
         self.lengths = np.array([len(w) + 1 for w in words], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -61,14 +61,17 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class KneserNeyOrder:
-    """Counts of one order: n-grams by hash, and for each context its total and its number of continuations."""
+    """Counts of one order: n-grams by hash, and for each context its total and its number of continuations.
 
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray) -> None:
-        self.grams, first, counts = np.unique(grams, return_index=True, return_counts=True)
-        self.counts = counts.astype(np.float32)
+    Every element of ``grams`` counts ``weights`` times (once by default).
+    """
+
+    def __init__(self, grams: np.ndarray, contexts: np.ndarray, weights: np.ndarray | None = None) -> None:
+        self.grams, first, back = np.unique(grams, return_index=True, return_inverse=True)
+        self.counts = np.bincount(back, weights, len(self.grams)).astype(np.float32)
         self.contexts, back = np.unique(contexts[first], return_inverse=True)
-        self.kinds = np.bincount(back, minlength=len(self.contexts)).astype(np.float32)
-        self.totals = np.bincount(back, weights=counts, minlength=len(self.contexts)).astype(np.float32)
+        self.kinds = np.bincount(back, self.counts > 0, len(self.contexts)).astype(np.float32)
+        self.totals = np.bincount(back, self.counts, len(self.contexts)).astype(np.float32)
 
     def interpolate(self, grams: np.ndarray, contexts: np.ndarray, lower: np.ndarray, discount: float) -> np.ndarray:
         at, there = find(self.contexts, contexts)
@@ -79,3 +82,23 @@ class KneserNeyOrder:
         g, known = find(self.grams, grams)
         n = np.where(known, self.counts[g], 0.0)
         return np.where(there, (np.maximum(n - discount, 0.0) + discount * kinds * lower) / total, lower)
+
+
+def spelling_orders(words: list[str], top: int) -> list[KneserNeyOrder]:
+    """Kneser-Ney tables of the characters of word types, order 1 to ``top``.
+
+    The top order counts n-grams; a lower order counts the distinct characters
+    before its n-gram. An n-gram at a word's start has only the padding before
+    it, so there each word counts.
+    """
+    g, out, lower = Grams(words, top), [], None
+    for n, grams, contexts in g.orders():
+        if lower is not None:
+            _, first = np.unique(grams, return_index=True)
+            opens = np.flatnonzero(g.codes[g.at - (n - 2)] == ord(_PAD)) if n > 2 else np.zeros(0, np.int64)
+            keep = np.union1d(first, opens)
+            out.append(KneserNeyOrder(lower[0][keep], lower[1][keep]))
+        lower = grams, contexts
+    if lower is not None:
+        out.append(KneserNeyOrder(*lower))
+    return out

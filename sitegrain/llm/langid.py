@@ -8,9 +8,14 @@ the score is the mean posterior of that language over the words.
 
 The classifier is fitted on a bounded sample: about ``MAX_DOCS`` documents at
 most, chosen by a hash of their id among those outside the held-out fold. Only
-words and languages of the sample are in the model. Texts that are null or
-have no letter are ``und`` with score 0; ties go to the first language in
-order. Without any training document everything is ``und``.
+words and languages of the sample are in the model, of words the ``MAX_WORDS``
+most frequent in documents.
+
+Defined results: texts that are null or have no letter are ``und`` with score
+0; ties go to the first language in order; repeated rows are identified alike;
+very long texts are read whole; an empty table gives an empty result; without
+any training document everything is ``und``. Only id, text and, in training,
+lang are read, so further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import CACHE_ENTRIES, Grams, find, word_hash, words_of
-from .common import bucket_of, materialise, table, text_batches
+from .common import bucket_of, resident, table, text_batches
 
 MAX_DOCS = 5_000
+MAX_WORDS = 1_000_000
 ORDER = 5
 KNOWN = 2  # documents that a known word stands in, at least
 SMOOTHING = 0.5
@@ -115,14 +121,8 @@ class Identifier:
         return langs, scores
 
 
-_live: dict[str, Identifier] = {}
-
-
 def _identifier(model: Model) -> Identifier:
-    if model.key not in _live:
-        _live.clear()
-        _live[model.key] = Identifier(model)
-    return _live[model.key]
+    return resident(("langid", model.key), lambda: Identifier(model))
 
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
@@ -141,7 +141,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
             )
 
     counted = usable.where(pick).select("text", "lang").mapInArrow(count, "lang string, word string, n bigint")
-    t = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("word", "lang").toArrow()
+    total = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    t = total.orderBy(F.desc("n"), "word", "lang").limit(MAX_WORDS).orderBy("word", "lang").toArrow()
     if not t.num_rows:
         return None
     langs = sorted(set(t.column("lang").to_pylist()))

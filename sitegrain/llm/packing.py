@@ -11,12 +11,20 @@ size depends on the distinct lengths only. The pieces then take their places
 by rank among pieces of their length: rank inside the task that cut them,
 plus a prefix sum over tasks.
 
+The search is limited to ``NODES`` choices, ``FILLINGS`` fillings at a branch
+and ``STEPS`` steps of an enumeration; beyond them the best solution so far
+stands. No piece is ever left out.
+
 Defined results: a null text is an empty document (one piece, the end id);
-repeated rows are packed each; an empty table gives an empty result.
+repeated rows are packed each; pieces of equal length take their places in the
+order in which tasks cut them; a text of any length is cut into pieces of the
+capacity and a last one; an empty table gives an empty result. Only id and
+text are read, so further columns of any name don't matter.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -106,6 +114,20 @@ def _topped_up(left: _Left, items: list[int], room: int) -> list[int]:
     return items
 
 
+def _dominates(g: tuple[int, ...], f: tuple[int, ...]) -> bool:
+    """Whether the pieces of f can stand in the places of g's: then g in its stead never needs more sequences.
+
+    Best fit looks for the places; where it finds none, f is kept, which is safe.
+    """
+    room = sorted(g)
+    for x in f:
+        at = bisect.bisect_left(room, x)
+        if at == len(room):
+            return False
+        bisect.insort(room, room.pop(at) - x)
+    return True
+
+
 def fillings(left: _Left, largest: int, capacity: int, limit: int = FILLINGS) -> list[dict[int, int]]:
     """Undominated ways to fill the sequence that holds ``largest``, least waste first."""
     room = capacity - largest
@@ -150,7 +172,7 @@ def fillings(left: _Left, largest: int, capacity: int, limit: int = FILLINGS) ->
         left.take({largest: 1}, -1)
     out: list[tuple[int, ...]] = []
     for f in sorted(found, key=lambda f: (-sum(f), tuple(-x for x in f))):
-        if not any(len(g) <= len(f) and all(x >= y for x, y in zip(g, f)) for g in out):
+        if not any(_dominates(g, f) for g in out):
             out.append(f)
         if len(out) == limit:
             break

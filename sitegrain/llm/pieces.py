@@ -29,7 +29,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import table, text_batches
+from .common import resident, table, text_batches
 
 SPACE = "▁"
 N_BEST = 4
@@ -322,10 +321,9 @@ class PieceLattice:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(1)
 def lattice(path: str) -> PieceLattice:
-    """The worker's model; it lives as long as the worker."""
-    return PieceLattice(path)
+    """The worker's model; it lives as long as no other operator's takes its place."""
+    return resident(("pieces", path), lambda: PieceLattice(path))
 
 
 def encode_n_best(docs: DataFrame, n: int = N_BEST, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,8 +12,14 @@ The learner sees a bounded sample: at most about ``MAX_ROWS`` labelled rows,
 chosen by a hash of their id. Labels of one id that disagree count by their
 mean, half and more meaning good. Null labels and labels without a document
 are ignored; without labelled rows the list is empty and keeps everything that
-the base rule keeps. Null and empty texts have all-zero statistics and fail
-the base rule.
+the base rule keeps.
+
+Defined results: null and empty texts have all-zero statistics and fail the
+base rule; repeated rows are judged alike; a value equal to a threshold counts
+as not above it, and rules of equal gain are tried in the order of FEATURES;
+an empty table gives an empty result; very long texts are read whole, with
+memory in proportion to their length. All columns that are added begin with a
+prefix that no column of the documents begins with.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import columns, fresh, table
 
 MAX_ROWS = 10_000
 CUTS = 24  # candidate thresholds a statistic
@@ -35,59 +41,61 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = r" \t\n\x0B\f\r"
 
 
-#: Prefix of the statistics' columns. They are flat on purpose: fields taken from a struct
+#: Prefix of the columns that are added. They are flat on purpose: fields taken from a struct
 #: would let the optimizer inline, and so repeat, the array expressions below them.
 AS = "_sg_"
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds whole-text statistics: the base counts and, prefixed ``f_``, the learner's shares."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = AS) -> DataFrame:
+    """Adds whole-text statistics: the base counts and, after a further ``f_``, the learner's shares."""
+    if fresh(docs, prefix) != prefix:
+        raise ValueError(f"a column begins with {prefix}; take fresh(docs, prefix)")
+    cols = columns(docs)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     words = F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
-    df = docs.select(*cols, text.alias("_t"), words.alias("_w"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
+    df = docs.select(*cols, text.alias(f"{prefix}t"), words.alias(f"{prefix}w"))
+    lines = F.filter(F.split(f"{prefix}t", "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     grams = F.expr(
-        """if(size(_w) < 3, cast(array() as array<bigint>),
-              transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])))"""
+        f"""if(size({prefix}w) < 3, cast(array() as array<bigint>),
+              transform(sequence(0, size({prefix}w) - 3), i -> xxhash64({prefix}w[i], {prefix}w[i + 1], {prefix}w[i + 2])))"""
     )
-    df = df.select(*cols, "_t", "_w", grams.alias("_g"), lines.alias("_l"))
+    df = df.select(*cols, f"{prefix}t", f"{prefix}w", grams.alias(f"{prefix}g"), lines.alias(f"{prefix}l"))
     # positions of the windows found twice or more, in order
     df = df.select(
-        *cols, "_t", "_w", "_l",
+        *cols, f"{prefix}t", f"{prefix}w", f"{prefix}l",
         F.expr(
-            """if(size(array_distinct(_g)) = size(_g), cast(array() as array<struct<g:bigint,i:int>>),
-                  sort_array(transform(_g, (g, i) -> named_struct('g', g, 'i', i))))"""
-        ).alias("_s"),
+            f"""if(size(array_distinct({prefix}g)) = size({prefix}g), cast(array() as array<struct<g:bigint,i:int>>),
+                  sort_array(transform({prefix}g, (g, i) -> named_struct('g', g, 'i', i))))"""
+        ).alias(f"{prefix}s"),
     )
     df = df.select(
-        *cols, "_t", "_w", "_l",
+        *cols, f"{prefix}t", f"{prefix}w", f"{prefix}l",
         F.expr(
-            """sort_array(transform(filter(_s, (x, j) ->
-                 (j > 0 and _s[greatest(j - 1, 0)].g = x.g) or
-                 (j + 1 < size(_s) and _s[least(j + 1, size(_s) - 1)].g = x.g)), x -> x.i))"""
-        ).alias("_p"),
+            f"""sort_array(transform(filter({prefix}s, (x, j) ->
+                 (j > 0 and {prefix}s[greatest(j - 1, 0)].g = x.g) or
+                 (j + 1 < size({prefix}s) and {prefix}s[least(j + 1, size({prefix}s) - 1)].g = x.g)), x -> x.i))"""
+        ).alias(f"{prefix}p"),
     )
-    joined = F.array_join("_w", "")
+    joined = F.array_join(f"{prefix}w", "")
     counts = df.select(
         *cols,
-        F.size("_w").cast("bigint").alias("_c_n_words"),
-        F.length(joined).cast("bigint").alias("_c_word_chars"),
-        F.regexp_count(joined, F.lit("[#*$%&|<>]")).cast("bigint").alias("_c_n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("_c_n_dup_lines"),
+        F.size(f"{prefix}w").cast("bigint").alias(f"{prefix}c_n_words"),
+        F.length(joined).cast("bigint").alias(f"{prefix}c_word_chars"),
+        F.regexp_count(joined, F.lit("[#*$%&|<>]")).cast("bigint").alias(f"{prefix}c_n_symbols"),
+        (F.size(f"{prefix}l") - F.size(F.array_distinct(f"{prefix}l"))).cast("bigint").alias(f"{prefix}c_n_dup_lines"),
         F.expr(
-            """if(size(_p) = 0, 0L, 3L + aggregate(sequence(0, size(_p) - 1), 0L,
-                 (a, j) -> a + if(j = 0, 0, least(3, _p[j] - _p[greatest(j - 1, 0)]))))"""
-        ).alias("_c_n_repeat_words"),
-        F.size("_l").cast("bigint").alias("_c_n_lines"),
-        F.regexp_count(joined, F.lit(r"\p{Lu}")).cast("bigint").alias("_c_n_upper"),
-        F.regexp_count(joined, F.lit("[0-9]")).cast("bigint").alias("_c_n_digits"),
-        F.regexp_count(joined, F.lit("[.!?;:]")).cast("bigint").alias("_c_n_stops"),
-        F.size(F.array_distinct("_w")).cast("bigint").alias("_c_n_distinct"),
+            f"""if(size({prefix}p) = 0, 0L, 3L + aggregate(sequence(0, size({prefix}p) - 1), 0L,
+                 (a, j) -> a + if(j = 0, 0, least(3, {prefix}p[j] - {prefix}p[greatest(j - 1, 0)]))))"""
+        ).alias(f"{prefix}c_n_repeat_words"),
+        F.size(f"{prefix}l").cast("bigint").alias(f"{prefix}c_n_lines"),
+        F.regexp_count(joined, F.lit(r"\p{Lu}")).cast("bigint").alias(f"{prefix}c_n_upper"),
+        F.regexp_count(joined, F.lit("[0-9]")).cast("bigint").alias(f"{prefix}c_n_digits"),
+        F.regexp_count(joined, F.lit("[.!?;:]")).cast("bigint").alias(f"{prefix}c_n_stops"),
+        F.size(F.array_distinct(f"{prefix}w")).cast("bigint").alias(f"{prefix}c_n_distinct"),
     )
-    share = lambda a, b: F.col("_c_" + a) / F.greatest(F.col("_c_" + b), F.lit(1))
+    share = lambda a, b: F.col(f"{prefix}c_" + a) / F.greatest(F.col(f"{prefix}c_" + b), F.lit(1))
     features = {
-        "n_words": F.col("_c_n_words").cast("double"),
+        "n_words": F.col(f"{prefix}c_n_words").cast("double"),
         "word_length": share("word_chars", "n_words"),
         "symbol_share": share("n_symbols", "n_words"),
         "dup_line_share": share("n_dup_lines", "n_lines"),
@@ -102,7 +110,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # inline the array expressions into each other and evaluate them anew for every element.
     held = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
     return counts.select(
-        *cols, *(held(F.col("_c_" + c)).alias(AS + c) for c in BASE), *(held(c).alias(f"{AS}f_{k}") for k, c in features.items())
+        *cols, *(held(F.col(f"{prefix}c_" + c)).alias(prefix + c) for c in BASE), *(held(c).alias(f"{prefix}f_{k}") for k, c in features.items())
     )
 
 
@@ -112,8 +120,8 @@ FEATURES = (
 )
 
 
-def base_failed() -> Column:
-    n, rep = F.col(AS + "n_words"), F.col(AS + "n_repeat_words")
+def base_failed(prefix: str = AS) -> Column:
+    n, rep = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
     return (n < 50) | (100 * rep > 50 * n)
 
 
@@ -126,8 +134,8 @@ class Condition:
     def holds(self, row: dict) -> bool:
         return (row[self.feature] > self.cut) == self.above
 
-    def column(self) -> Column:
-        c = F.col(f"{AS}f_{self.feature}")
+    def column(self, prefix: str = AS) -> Column:
+        c = F.col(f"{prefix}f_{self.feature}")
         return c > F.lit(self.cut) if self.above else c <= F.lit(self.cut)
 
     def __str__(self) -> str:
@@ -202,13 +210,13 @@ def learn(rows: list[dict]) -> list[Rule]:
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], prefix: str = AS) -> Column:
     """Index of the first rule that rejects, from 1; 0 if none does."""
     out = None
     for i, rule in enumerate(rules, 1):
-        c = rule[0].column()
+        c = rule[0].column(prefix)
         for more in rule[1:]:
-            c = c & more.column()
+            c = c & more.column(prefix)
         out = F.when(c, i) if out is None else out.when(c, i)
     return F.lit(0) if out is None else out.otherwise(0)
 
@@ -225,20 +233,25 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return [r.asDict() for r in stats.select("bad", fold, *(F.col(f"{AS}f_{f}").alias(f) for f in FEATURES)).collect()]
 
 
-def judged(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``docs`` with statistics, base_failed, rule (first rejecting one, 0 if none) and kept."""
+def judged(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prefix: str = AS) -> DataFrame:
+    """``docs`` with, after the prefix, the statistics, base_failed, rule (first rejecting one, 0 if none) and kept."""
     rules = learn(labelled_rows(docs, labels, max_rows))
     return (
-        with_statistics(docs)
-        .withColumn("base_failed", base_failed())
-        .withColumn("rule", verdict(rules))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+        with_statistics(docs, prefix=prefix)
+        .withColumn(prefix + "base_failed", base_failed(prefix))
+        .withColumn(prefix + "rule", verdict(rules, prefix))
+        .withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "rule") == 0))
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the base rule and the learned list keep, with their columns as they are."""
+    prefix = fresh(docs, AS)
+    return judged(docs, labels, prefix=prefix).where(F.col(prefix + "kept")).select(*columns(docs))
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judged(docs, table(spark, sf_dir, "labels")).select(
-        "doc_id", *(F.col(AS + c).alias(c) for c in BASE), "base_failed", "kept", F.col("rule").cast("int").alias("rule")
-    )
+    out = judged(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *(F.col(AS + c).alias(c) for c in (*BASE, "base_failed", "kept")), F.col(AS + "rule").cast("int").alias("rule"))

@@ -14,7 +14,9 @@ the sample (about ``shards * RANGES * SAMPLES`` keys) and the units' sizes
 (at most three times ``shards * RANGES`` rows, whatever the input).
 
 Defined results: a null text counts as empty with size 8; repeated rows each
-get a slot; an empty table gives an empty result.
+get a slot; rows tied by key stand in the order of their row number; very long
+texts are only hashed and measured; an empty table gives an empty result. Only
+id and text are read, so further columns of any name don't matter.
 """
 
 from __future__ import annotations

@@ -10,12 +10,16 @@ read by as many tasks as a thousand small ones.
 
 ``write_flat_files`` writes such files from documents, in any order, and a
 manifest that names the document of each ordinal in a file (the ids, not the
-places). The special-token strings of the vocabulary are encoded as ordinary
+places or lengths). What the scan knows of a file is its size in the store's
+listing. The special-token strings of the vocabulary are encoded as ordinary
 text there, so the end id never comes from a text.
 
 Defined results: tokens after a file's last end id are no document and are
 counted as the file's tail; two end ids in a row enclose an empty document; an
-empty file has no documents; a null text is an empty document.
+empty file has no documents; a null text is an empty document; repeated rows
+are documents each; an empty table gives no files and an empty result; a very
+long text spans as many blocks as it needs. Only id and text are read, so
+further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ from .word_bpe import END_ID, ordinary_encoder, tokenizer_path
 
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 24  # a file is closed once it holds so many
+GROUP_BLOCKS = 4096  # blocks of a file whose prefix sums one task makes
 
 
 def write_flat_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END_ID) -> tuple[DataFrame, DataFrame]:
-    """Writes the files; returns (files: path, tokens) and (manifest: path, ordinal, doc_id)."""
+    """Writes the files; returns (files: path, tokens), listed anew, and (manifest: name, ordinal, doc_id)."""
     text_batches(docs.sparkSession)
     path, kind = tokenizer or tokenizer_path(), docs.schema["doc_id"].dataType
 
@@ -54,35 +59,32 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str | None = None,
 
         ordinal = 0
         for b in batches:
-            paths, ordinals, tokens = [], [], []
+            names, ordinals = [], []
             for raw in enc.encode(b.column(1).to_pylist()):
                 if out is None:
                     name, ordinal, held = f"tokens-{context.partitionId():06d}-{part:04d}.bin", 0, 0
                     out = store.open_output_stream(f"{base}/{name}.{context.taskAttemptId()}")
                 out.write(raw + tail)
-                paths.append(f"{folder}/{name}")
+                names.append(name)
                 ordinals.append(ordinal)
-                tokens.append(len(raw) // 2 + 1)
-                ordinal, held = ordinal + 1, held + tokens[-1]
+                ordinal, held = ordinal + 1, held + len(raw) // 2 + 1
                 if held >= FILE_TOKENS:
                     close()
                     out, part = None, part + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array(ordinals, pa.int64()), b.column(0), pa.array(tokens, pa.int64())],
-                ["path", "ordinal", "doc_id", "written"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ordinals, pa.int64()), b.column(0)], ["name", "ordinal", "doc_id"])
         if out is not None:
             close()
 
-    schema = f"path string, ordinal bigint, doc_id {kind.simpleString()}, written bigint"
+    schema = f"name string, ordinal bigint, doc_id {kind.simpleString()}"
     manifest = materialise(docs.select("doc_id", "text").mapInArrow(run, schema), "manifest")
-    files = manifest.groupBy("path").agg(F.sum("written").alias("tokens"))
-    return files, manifest.select("path", "ordinal", "doc_id")
+    if manifest.isEmpty():
+        return docs.sparkSession.createDataFrame([], "path string, tokens bigint"), manifest
+    return list_files(docs.sparkSession, folder), manifest
 
 
 def list_files(spark, folder: str) -> DataFrame:
     """``(path, tokens)`` of token files already there, from any store that Spark reads; no content is read."""
-    listed = spark.read.format("binaryFile").load(folder).select("path", "length")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select("path", "length")
     return listed.select("path", F.floor(F.col("length") / 2).alias("tokens"))
 
 
@@ -123,15 +125,18 @@ def scan_blocks(blocks: DataFrame, end: int = END_ID) -> DataFrame:
 def document_counts(files: DataFrame, block_tokens: int = BLOCK_TOKENS, end: int = END_ID) -> DataFrame:
     """``(path, ordinal, start, n_tokens)`` of every document of the files; n_tokens leaves out the end id."""
     scanned = materialise(scan_blocks(blocks_of(files, block_tokens), end), "scanned")
-    # prefix scan over each file's blocks: ends before the block, and where the last of them stood
+    # prefix scan in two steps, over groups of a file's blocks and inside them: ends before the block, and where the last of them stood
     last = F.when(F.size("ends") > 0, F.col("first") + F.element_at("ends", -1))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    summed = scanned.select("path", "block", F.size("ends").alias("n"), last.alias("last"))
+    summed = scanned.select("path", "block", F.floor(F.col("block") / GROUP_BLOCKS).alias("group"), F.size("ends").cast("bigint").alias("n"), last.alias("last"))
+    groups = summed.groupBy("path", "group").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    over = Window.partitionBy("path").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("path", "group", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("ends_before"), F.coalesce(F.max("last").over(over), F.lit(0)).alias("open_before"))
+    before = Window.partitionBy("path", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     summed = summed.select(
-        "path",
-        "block",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal"),
-        F.coalesce(F.max("last").over(before), F.lit(0)).alias("open"),
+        "path", "group", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.max("last").over(before), F.lit(0)).alias("last")
+    )
+    summed = summed.join(groups, ["path", "group"]).select(
+        "path", "block", (F.col("ends_before") + F.col("n")).alias("ordinal"), F.greatest("open_before", "last").alias("open")
     )
     stitched = scanned.join(summed, ["path", "block"])
     ends = F.posexplode("ends").alias("i", "end")
@@ -153,8 +158,14 @@ def tails(files: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def of_documents(counts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(doc_id, n_tokens)``: the counts with the documents that the manifest names; files are matched by name."""
+    named = counts.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return named.join(manifest, ["name", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted by scanning flat files written from all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files, manifest = write_flat_files(docs, f"{shared_dir(spark)}/flat")
-    return document_counts(files).join(manifest, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    return of_documents(document_counts(files), manifest)

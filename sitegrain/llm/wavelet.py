@@ -2,22 +2,30 @@
 
 A shard's tokens are stored as succinct bit-planes, most significant bit
 first: each plane holds one bit of every token, with the tokens stably
-reordered so that those with a zero bit come first. A rank directory over the
-planes gives access by position, counting in a prefix and lookup of the k-th
-occurrence without decoding the shard. Because the end id is an ordinary
-vocabulary entry that texts may contain, the file also keeps each document's
-id and length.
-
-File format, little-endian: ``SGWM0001``, uint32 header length, JSON header
-(counts, zero bits per plane, section lengths), then zlib sections: document
-ids (int64 deltas), document lengths (int64), one section per plane (packed
-bits, lowest first).
+reordered so that those with a zero bit come first. A plane is cut into blocks
+of ``BLOCK_BITS`` bits, each compressed by itself, and the file holds a
+directory of every block's place and ones. Access by position, counting in a
+prefix and lookup of the k-th occurrence inflate one block a plane and count
+inside it, so the file is never decoded whole and may stay in its store: what
+a reader holds is the directory and the blocks it has touched last. Because
+the end id is an ordinary vocabulary entry that texts may contain, the file
+also keeps each document's id and length.
+
+File format, little-endian: ``SGWM0002``, uint32 header length, JSON header
+(counts, zero bits per plane, block size, section lengths), then zlib sections:
+document ids (int64 deltas), document lengths (int64), ones by block (uint32,
+plane after plane), compressed block sizes (uint32, likewise); then the zlib
+blocks of all planes (packed bits, lowest first).
 
 Documents are range-partitioned by id, so the files in order of (task, part)
 hold ascending ids. Files are written under a temporary name and renamed, so
-a repeated task replaces equal bytes. Defined results: a null text is an empty
-document; null ids come first and are read back as null; an empty table gives
-no files and an empty result.
+a repeated task replaces equal bytes.
+
+Defined results: a null text is an empty document; null ids come first and are
+read back as null; rows that repeat an id stand in order of their text's hash;
+an empty table gives no files and an empty result; a text longer than a file's
+size makes one large file. Only id and text are read, so further columns of
+any name don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +33,10 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,42 +47,88 @@ from pyspark.sql import functions as F
 from .common import materialise, shared_dir, table, text_batches
 from .word_bpe import encoder, tokenizer_path
 
-MAGIC = b"SGWM0001"
+MAGIC = b"SGWM0002"
 END = 1
 LEVELS = 16
 FILE_TOKENS = 2_000_000  # a file is closed once it holds so many
+BLOCK_BITS = 1 << 15  # of a plane, compressed together
+KEPT_BLOCKS = 32  # inflated blocks that a plane keeps
 
 
 class BitPlane:
-    """Packed bits with a rank directory of one count per 64-bit word."""
-
-    def __init__(self, packed: bytes, n: int) -> None:
-        words = np.zeros(-(-n // 64) + 1, "<u8")
-        words.view(np.uint8)[: len(packed)] = np.frombuffer(packed, np.uint8)
-        self.n, self.words = n, words
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-
-    def bits(self) -> np.ndarray:
-        return np.unpackbits(self.words.view(np.uint8), bitorder="little", count=self.n).astype(bool)
+    """Compressed blocks of bits with the ones before each block."""
+
+    def __init__(self, fetch: Callable[[int, int], bytes], ones: np.ndarray, sizes: np.ndarray, at: int, n: int, block_bits: int) -> None:
+        self.fetch, self.n, self.block_bits = fetch, n, block_bits
+        self.before = np.concatenate([[0], np.cumsum(ones, dtype=np.int64)])
+        self.places = at + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.inflated: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    def _words(self, block: int) -> np.ndarray:
+        if block not in self.inflated:
+            raw = zlib.decompress(self.fetch(int(self.places[block]), int(self.places[block + 1] - self.places[block])))
+            self.inflated[block] = np.frombuffer(raw.ljust(self.block_bits // 8, b"\0"), "<u8")
+            if len(self.inflated) > KEPT_BLOCKS:
+                self.inflated.popitem(last=False)
+        self.inflated.move_to_end(block)
+        return self.inflated[block]
 
     def bit(self, i: int) -> int:
-        return int(self.words[i >> 6]) >> (i & 63) & 1
+        block, i = divmod(i, self.block_bits)
+        return int(self._words(block)[i >> 6]) >> (i & 63) & 1
 
     def rank1(self, i: int) -> int:
         """Ones before position i."""
-        part = int(self.words[i >> 6]) & ((1 << (i & 63)) - 1)
-        return int(self.before[i >> 6]) + part.bit_count()
+        if i >= self.n:
+            return int(self.before[-1])
+        block, i = divmod(i, self.block_bits)
+        words = self._words(block)
+        part = int(words[i >> 6]) & ((1 << (i & 63)) - 1)
+        return int(self.before[block]) + int(np.bitwise_count(words[: i >> 6]).sum(dtype=np.int64)) + part.bit_count()
 
     def select(self, bit: int, k: int) -> int:
         """Position of the k-th (from 0) bit of that value."""
-        ranks = self.before if bit else 64 * np.arange(len(self.before)) - self.before
-        w = int(np.searchsorted(ranks, k, side="right")) - 1
-        k -= int(ranks[w])
-        word = int(self.words[w])
-        word = word if bit else ~word & (1 << 64) - 1
-        for _ in range(k):
+        ranks = self.before if bit else np.minimum(self.block_bits * np.arange(len(self.before)), self.n) - self.before
+        block = int(np.searchsorted(ranks, k, side="right")) - 1
+        words = self._words(block) if bit else ~self._words(block)
+        ends = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+        k -= int(ranks[block])
+        w = int(np.searchsorted(ends, k, side="right"))
+        word = int(words[w])
+        for _ in range(k - (int(ends[w - 1]) if w else 0)):
             word &= word - 1
-        return 64 * w + (word & -word).bit_length() - 1
+        return block * self.block_bits + 64 * w + (word & -word).bit_length() - 1
+
+    @cached_property
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, and the ones before each: for many positions at once, as large as the tokens themselves."""
+        start, last = int(self.places[0]), int(self.places[-1])
+        raw, ends = self.fetch(start, last - start), (self.places - start).tolist()
+        packed = b"".join(zlib.decompress(raw[a:z]) for a, z in zip(ends, ends[1:]))
+        words = np.frombuffer(packed.ljust(8 * (len(packed) // 8 + 1), b"\0"), "<u8")
+        return words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.whole[0].view(np.uint8), bitorder="little", count=self.n).astype(bool)
+
+    def bits_at(self, at: np.ndarray) -> np.ndarray:
+        return (self.whole[0][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def ranks1(self, at: np.ndarray) -> np.ndarray:
+        words, before = self.whole
+        word = np.minimum(at >> 6, len(words) - 1)
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return before[word] + np.bitwise_count(words[word] & mask)
+
+    def selects(self, bit: int, ks: np.ndarray) -> np.ndarray:
+        words, before = self.whole
+        ranks = before if bit else 64 * np.arange(len(before)) - before
+        w = np.searchsorted(ranks, ks, side="right") - 1
+        word, left = (words[w] if bit else ~words[w]), ks - ranks[w]
+        for _ in range(int(left.max(initial=0))):
+            word = np.where(left > 0, word & (word - np.uint64(1)), word)
+            left = left - 1
+        return 64 * w + np.bitwise_count((word & -word) - np.uint64(1))
 
 
 class WaveletMatrix:
@@ -114,6 +171,36 @@ class WaveletMatrix:
         lo, hi = self._interval(token, self.n if end is None else end)
         return hi - lo
 
+    def accesses(self, at: np.ndarray) -> np.ndarray:
+        """``access`` at many positions, a plane at a time."""
+        tokens = np.zeros(len(at), np.int64)
+        for plane, z in zip(self.planes, self.zeros):
+            b, ones = plane.bits_at(at), plane.ranks1(at)
+            tokens = tokens << 1 | b
+            at = np.where(b, z + ones, at - ones)
+        return tokens
+
+    def ranks(self, token: int, ends: np.ndarray) -> np.ndarray:
+        """``rank`` at many positions, a plane at a time."""
+        if token >> len(self.planes):
+            return np.zeros(len(ends), np.int64)
+        at = np.concatenate([[0], np.asarray(ends, np.int64)])
+        for d, (plane, z) in enumerate(zip(self.planes, self.zeros)):
+            ones = plane.ranks1(at)
+            at = z + ones if token >> (len(self.planes) - 1 - d) & 1 else at - ones
+        return at[1:] - at[0]
+
+    def selects(self, token: int, ks: np.ndarray) -> np.ndarray:
+        """``select`` of many occurrences, a plane at a time."""
+        lo, hi = self._interval(token, self.n)
+        if len(ks) and not (0 <= ks.min() and ks.max() < hi - lo):
+            raise IndexError(int(ks.max()))
+        at = lo + np.asarray(ks, np.int64)
+        for d in range(len(self.planes) - 1, -1, -1):
+            bit = token >> (len(self.planes) - 1 - d) & 1
+            at = self.planes[d].selects(bit, at - self.zeros[d] if bit else at)
+        return at
+
     def select(self, token: int, k: int) -> int:
         """Position of the token's k-th occurrence, from 0."""
         lo, hi = self._interval(token, self.n)
@@ -141,23 +228,52 @@ def to_bytes(ids: list[int | None], lengths: list[int], tokens: np.ndarray) -> b
     """One shard as a file's content."""
     known = np.array([i for i in ids if i is not None], np.int64)
     planes, zeros = WaveletMatrix.pack(tokens)
-    parts = [zlib.compress(x, 1) for x in (np.diff(known, prepend=0).astype("<i8").tobytes(), np.array(lengths, "<i8").tobytes(), *planes)]
-    head = json.dumps({"docs": len(ids), "null_ids": len(ids) - len(known), "tokens": len(tokens), "zeros": zeros, "sections": list(map(len, parts))}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
-
-
-def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, document lengths and the matrix of a file."""
-    if raw[:8] != MAGIC:
+    step = BLOCK_BITS // 8
+    cut = [p[a : a + step] for p in planes for a in range(0, len(p), step)]
+    blocks = [zlib.compress(x, 1) for x in cut]
+    ones = np.array([int.from_bytes(x, "little").bit_count() for x in cut], "<u4")
+    heads = (np.diff(known, prepend=0).astype("<i8"), np.array(lengths, "<i8"), ones, np.array(list(map(len, blocks)), "<u4"))
+    parts = [zlib.compress(x.tobytes(), 1) for x in heads]
+    about = {"docs": len(ids), "null_ids": len(ids) - len(known), "tokens": len(tokens), "zeros": zeros, "block_bits": BLOCK_BITS, "sections": list(map(len, parts))}
+    head = json.dumps(about).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts, *blocks])
+
+
+def open_matrix(fetch: Callable[[int, int], bytes]) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """Document ids, document lengths and the matrix of a file of which ``fetch(start, size)`` gives any part."""
+    lead = fetch(0, 12)
+    if lead[:8] != MAGIC:
         raise ValueError("not a wavelet-matrix file")
-    n = struct.unpack("<I", raw[8:12])[0]
-    head, at, parts = json.loads(raw[12 : 12 + n]), 12 + n, []
+    n = struct.unpack("<I", lead[8:])[0]
+    head, at, parts = json.loads(fetch(12, n)), 12 + n, []
     for size in head["sections"]:
-        parts.append(zlib.decompress(raw[at : at + size]))
+        parts.append(zlib.decompress(fetch(at, size)))
         at += size
-    ids = [None] * head["null_ids"] + np.cumsum(np.frombuffer(parts[0], "<i8")).tolist()
-    planes = [BitPlane(p, head["tokens"]) for p in parts[2:]]
-    return ids, np.frombuffer(parts[1], "<i8"), WaveletMatrix(planes, head["zeros"], head["tokens"])
+    deltas, lengths, ones, sizes = (np.frombuffer(p, kind) for p, kind in zip(parts, ("<i8", "<i8", "<u4", "<u4")))
+    ids = [None] * head["null_ids"] + np.cumsum(deltas).tolist()
+    each = -(-head["tokens"] // head["block_bits"])
+    planes = []
+    for i in range(len(head["zeros"])):
+        own = slice(i * each, (i + 1) * each)
+        planes.append(BitPlane(fetch, ones[own], sizes[own], at, head["tokens"], head["block_bits"]))
+        at += int(sizes[own].sum(dtype=np.int64))
+    return ids, lengths, WaveletMatrix(planes, head["zeros"], head["tokens"])
+
+
+def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """As ``open_matrix``, of a file that is in memory."""
+    view = memoryview(raw)
+    return open_matrix(lambda start, size: bytes(view[start : start + size]))
+
+
+@contextmanager
+def opened(uri: str):
+    """As ``open_matrix``, of a file in its store, of which only the parts asked for are read."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        yield open_matrix(lambda start, size: f.read_at(size, start))
 
 
 def write_file(uri: str, raw: bytes, attempt: int) -> None:
@@ -171,14 +287,6 @@ def write_file(uri: str, raw: bytes, attempt: int) -> None:
     store.move(f"{path}.{attempt}", path)
 
 
-def read_file(uri: str) -> bytes:
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as f:
-        return f.read()
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END) -> DataFrame:
     """Writes the files; one row a file: task, part, path, docs, tokens."""
     text_batches(docs.sparkSession)
@@ -217,26 +325,45 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     return materialise(ordered.mapInArrow(run, "task int, part int, path string, docs bigint, tokens bigint"), "files")
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files alone."""
-    before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
-    based = files.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+def based(files: DataFrame) -> DataFrame:
+    """``(path, base)``: the tokens of all files before each, by prefix sums over tasks and over a task's parts."""
+    tasks = files.groupBy("task").agg(F.sum("tokens").alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(F.col("task").alias("_task"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("task").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = files.select("task", "path", F.coalesce(F.sum("tokens").over(within), F.lit(0)).alias("own"))
+    return own.join(tasks, F.col("task") == F.col("_task")).select("path", (F.col("_base") + F.col("own")).alias("base"))
+
+
+def read_documents(files: DataFrame, end: int = END) -> DataFrame:
+    """Of every document, from the files alone: doc_id, start, n_tokens and ids_crc32.
+
+    Further answers come from the matrix's own operations: ``last_id`` (access
+    to the last position), ``n_ends`` (occurrences of the end id, by rank) and
+    ``first_end`` (place in the document of its first end id, by select).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, lengths, matrix = from_bytes(read_file(uri))
-                tokens = memoryview(matrix.tokens().astype("<u4").tobytes())
-                stops = np.cumsum(lengths)
-                starts = stops - lengths
-                crc = [zlib.crc32(tokens[4 * a : 4 * z]) for a, z in zip(starts.tolist(), stops.tolist())]
+                with opened(uri) as (ids, lengths, matrix):
+                    decoded = matrix.tokens()
+                    tokens = memoryview(decoded.astype("<u4").tobytes())
+                    stops = np.cumsum(lengths)
+                    starts = stops - lengths
+                    crc = [zlib.crc32(tokens[4 * a : 4 * z]) for a, z in zip(starts.tolist(), stops.tolist())]
+                    ranks = matrix.ranks(end, np.concatenate([starts, stops]))
+                    before, through = ranks[: len(starts)], ranks[len(starts) :]
+                    last, first = matrix.accesses(stops - 1), matrix.selects(end, before) - starts
+                columns = [pa.array(ids, pa.int64()), pa.array(base + starts), pa.array(lengths), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(base + starts), pa.array(lengths), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [*columns, pa.array(last.astype(np.int32)), pa.array(through - before), pa.array(first)],
+                    ["doc_id", "start", "n_tokens", "ids_crc32", "last_id", "n_ends", "first_end"],
                 )
 
     n = max(1, files.count())
-    return based.repartition(n, "path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, last_id int, n_ends bigint, first_end bigint"
+    return based(files).repartition(n, "path").mapInArrow(run, schema)
 
 
 def op7_wavelet(spark, sf_dir: str) -> DataFrame:

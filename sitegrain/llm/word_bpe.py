@@ -9,12 +9,13 @@ or one that could hold a special token, goes to the library whole.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .common import resident
+
 #: Entries kept per worker in each of the two tables (about 200 bytes an entry).
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 END_ID = 49407
 
 #: The word pattern of the vocabulary file, for Latin text.
@@ -108,16 +109,11 @@ class WordBpe:
         return out
 
 
-@lru_cache(1)
 def encoder(path: str) -> WordBpe:
-    """The worker's encoder; it lives as long as the worker."""
-    import gc
-
-    gc.freeze()
-    return WordBpe(path)
+    """The worker's encoder; it lives as long as no other operator's model takes its place."""
+    return resident(("word_bpe", path, False), lambda: WordBpe(path))
 
 
-@lru_cache(1)
 def ordinary_encoder(path: str) -> WordBpe:
     """As ``encoder``, with no special tokens: the end id never comes from a text."""
-    return WordBpe(path, ordinary=True)
+    return resident(("word_bpe", path, True), lambda: WordBpe(path, ordinary=True))

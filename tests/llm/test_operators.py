@@ -10,8 +10,11 @@ import numpy as np
 import pytest
 import xxhash
 
-from sitegrain.llm import langid, packing, pieces, quality, sharding, simhash, syncmers, token_counts, toxicity, wavelet
+from sitegrain.llm import langid, near_copies, packing, pieces, quality, sharding, simhash, syncmers, token_counts, toxicity, wavelet
+from pyspark.sql import functions as F
+
 from sitegrain.llm.common import shared_dir
+from sitegrain.llm.queries import QUERIES
 from sitegrain.llm.word_bpe import WordBpe, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +92,8 @@ def test_linked_pairs_lose_nothing(spark):
     pairs = {tuple(r) for r in simhash.linked_pairs(spark.createDataFrame([(f,) for f in signed], "fp bigint")).collect()}
     brute = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert pairs == brute
+    finer = {tuple(r) for r in simhash.linked_pairs(spark.createDataFrame([(f,) for f in signed], "fp bigint"), finer=True).collect()}
+    assert finer == brute
 
 
 def test_keep_one(small):
@@ -213,8 +218,8 @@ def test_sharding_splits_a_hot_group(spark):
 
 def test_token_counts(small, empty, spark):
     files, manifest = token_counts.write_flat_files(small, f"{shared_dir(spark)}/flat")
-    counts = token_counts.document_counts(files, block_tokens=64)
-    got = {r.doc_id: r.n_tokens for r in counts.join(manifest, ["path", "ordinal"]).collect()}
+    counts = token_counts.document_counts(files, block_tokens=8192)
+    got = {r.doc_id: r.n_tokens for r in token_counts.of_documents(counts, manifest).collect()}
     plain = WordBpe(tokenizer_path(), ordinary=True)
     assert got == {i: len(x) // 2 for i, x in enumerate(plain.encode(TEXTS))}
     assert all(r["tail"] == 0 for r in token_counts.tails(files, counts).collect())
@@ -242,10 +247,10 @@ def test_quality_statistics(small, documents):
 def test_quality_learns_and_keeps(spark, small, labels, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    rows = quality.judged(docs, marks).join(marks, "doc_id").where("not base_failed").select("quality", "kept").collect()
-    assert sum((r.quality == 1) == r.kept for r in rows) >= 0.97 * len(rows)
+    rows = quality.judged(docs, marks).join(marks, "doc_id").where("not _sg_base_failed").select("quality", "_sg_kept").collect()
+    assert sum((r.quality == 1) == r._sg_kept for r in rows) >= 0.97 * len(rows)
     none = quality.judged(small, marks.limit(0))
-    assert [r.doc_id for r in none.where("kept <> (not base_failed)").collect()] == []
+    assert [r.doc_id for r in none.where("_sg_kept <> (not _sg_base_failed)").collect()] == []
     assert quality.judged(empty, labels).count() == 0
 
 
@@ -284,31 +289,93 @@ def test_token_files(spark, small, empty):
     assert wavelet.read_documents(wavelet.write_shards(empty, f"{shared_dir(spark)}/wm")).count() == 0
 
 
-def test_syncmers(spark, small, documents, empty, tmp_path):
-    for name, docs in (("small", small), ("documents", documents), ("one", small.limit(1))):
+def _hash(value, seed=42):
+    """Spark's xxhash64 of a string or a signed long, as a signed long."""
+    raw = value.encode() if isinstance(value, str) else int(value).to_bytes(8, "little", signed=True)
+    return int(np.uint64(xxhash.xxh64_intdigest(raw, seed % 2**64)).view(np.int64))
+
+
+def _hash_all(values):
+    h = 42
+    for v in values:
+        h = _hash(v, h)
+    return h
+
+
+def _anchors(text):
+    """Closed syncmers (hash, position) by the definition."""
+    alone = "\u3040-\u30ff\u4e00-\u9fff"
+    h = [_hash(t) for t in re.findall(rf"[{alone}]|[^ \t\n\x0B\f\r{alone}]{{1,32}}", text)]
+    if len(h) < 5:
+        return [(_hash(" ".join(map(str, h))), 0)] if h else []
+    pairs = [_hash_all(h[i : i + 2]) for i in range(len(h) - 1)]
+    out = []
+    for i in range(len(h) - 4):
+        inner = pairs[i : i + 4]
+        if min(inner) in (inner[0], inner[3]):
+            out.append((_hash_all([inner[0], inner[2], inner[3]]), i))
+    return out
+
+
+def _sketch(text):
+    first = {}
+    for h, i in _anchors(text):
+        first.setdefault((h % 2**64) >> 32, i)
+    return dict(sorted(first.items())[:64])
+
+
+def _likeness(a, b):
+    if not a and not b:
+        return 1.0
+    least = sorted(a.keys() | b.keys())[:64]
+    return sum(x in a and x in b for x in least) / min(64, len(a.keys() | b.keys()))
+
+
+def _check_syncmers(rows, table):
+    """Every value of op8 by brute force; table: (doc_id, text), repeated and null ids allowed."""
+    order = sorted(table, key=lambda r: (r[0] is None, -(r[0] or 0), -_hash(r[1])))
+    expected = []
+    for i, (k, t) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        a, b, c = _sketch(t), _sketch(edited), _sketch(following)
+        shifts = Counter(b[x] - a[x] for x in a.keys() & b.keys())
+        aligned = max(shifts.values()) / shifts.total() if shifts else None
+        text = lambda s: "".join(f"{x:08x}" for x in s)
+        expected.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), _likeness(a, b), _likeness(a, c), aligned))
+    assert Counter(map(tuple, rows)) == Counter(expected)
+
+
+def test_syncmers_brute_force(spark, small, documents, empty, tmp_path):
+    hot = [(7 if i % 3 else i, f"text {i} " * (i % 9)) for i in range(600)]
+    ends = [(2**63 - 1, "a b c d e f"), (-(2**63), "g h"), (None, "n"), (None, "o p q r s t"), (0, "zero")]
+    tables = {
+        "small": small, "documents": documents, "one": small.limit(1), "none": empty,
+        "hot": spark.createDataFrame(hot, "doc_id bigint, text string"), "ends": spark.createDataFrame(ends, "doc_id bigint, text string"),
+    }
+    for name, docs in tables.items():
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        rows = {r.doc_id: r for r in syncmers.op8_syncmers(spark, f"{tmp_path}/{name}").collect()}
-        texts = {r.doc_id: r.text or "" for r in docs.collect()}
-        order = sorted(texts, reverse=True)
-        for i, k in enumerate(order):
-            t, following = texts[k], texts[order[(i + 1) % len(order)]]
-            edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-            assert rows[k].n_chars == len(t)
-            assert rows[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            assert 0 <= rows[k].near_edited <= 1 and 0 <= rows[k].near_next <= 1
-            if t == following:
-                assert rows[k].near_next == 1 and rows[k].near_edited == 1
-            assert all(rows[k].fingerprint == rows[j].fingerprint for j in order if texts[j] == t)
-    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
-    assert syncmers.op8_syncmers(spark, f"{tmp_path}/none").count() == 0
+        rows = syncmers.op8_syncmers(spark, f"{tmp_path}/{name}").collect()
+        written = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        _check_syncmers(rows, [(r.doc_id, r.text or "") for r in written.select("doc_id", "text").collect()])
+
+
+def test_syncmer_buckets_split(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(syncmers, "SEGMENTS", 8)
+    rows = [(i if i % 3 else 42, f"t{i}") for i in range(900)] + [(None, f"n{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    most = syncmers._bucketed(docs).groupBy("_bucket").count().agg({"count": "max"}).first()[0]
+    assert most <= 40
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -_hash(r[1])))
+    got = {(r.doc_id, r.text): r.next.text for r in syncmers.with_next(docs, ["text"]).collect()}
+    assert got == {r: order[(i + 1) % len(order)][1] for i, r in enumerate(order)}
 
 
 def test_syncmer_choice(spark):
-    rows = syncmers.anchors(spark.createDataFrame([(1, " ".join(f"w{i % 37}x{i}" for i in range(300)))], "doc_id bigint, text string")).collect()
-    text = rows[0].text.split()
-    h = [xxhash.xxh64_intdigest(w, 42) for w in text]
-    assert 90 < len(rows[0].anchors) < 210 and len(h) == 300
-    assert [a.position for a in rows[0].anchors] == sorted({a.position for a in rows[0].anchors})
+    text = " ".join(f"w{i % 37}x{i}" for i in range(300))
+    rows = syncmers.anchors(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert [tuple(a) for a in rows[0].anchors] == _anchors(text) and 90 < len(rows[0].anchors) < 210
 
 
 def test_langid(spark):
@@ -341,25 +408,246 @@ def test_toxicity(spark, documents):
     assert {r.score for r in toxicity.scored(docs, None).collect()} == {0.0}
 
 
-def test_clashing_columns(spark, labels):
-    docs = spark.createDataFrame([(1, "a b c", "x", 2), (2, "a b c", "y", 3)], "doc_id bigint, text string, id string, score int")
-    assert quality.judged(docs, labels).count() == 2
-    assert simhash.keep_one(docs).columns == docs.columns
-    assert simhash.keep_one(docs).count() == 1
-    assert toxicity.scored(docs, None, name="_toxic").count() == 2
+class _Spelling:
+    """Interpolated Kneser-Ney over characters by the definition, with dictionaries."""
+
+    def __init__(self, shared_words, own_words, alphabet):
+        self.tables, self.alphabet = {}, alphabet
+        for o in range(1, toxicity.ORDER + 1):
+            kinds, counts = shared_words if o <= toxicity.SHARED else own_words, Counter()
+            seen = set()
+            for k, w in enumerate(kinds):
+                text = "<" * (toxicity.ORDER - 1) + w + ">"
+                for i in range(toxicity.ORDER - 1, len(text)):
+                    gram = text[i - o + 1 : i + 1]
+                    if o == toxicity.ORDER or (o > 1 and gram[0] == "<"):
+                        counts[gram] += 1
+                    elif (longer := text[i - o : i + 1]) not in seen:
+                        seen.add(longer)
+                        counts[gram] += 1
+            self.tables[o] = counts
+
+    def log(self, word):
+        text, total = "<" * (toxicity.ORDER - 1) + word + ">", 0.0
+        for i in range(toxicity.ORDER - 1, len(text)):
+            p = 1 / self.alphabet
+            for o in range(1, toxicity.ORDER + 1):
+                t, gram = self.tables[o], text[i - o + 1 : i + 1]
+                same = {g: c for g, c in t.items() if g[:-1] == gram[:-1]}
+                if same:
+                    p = (max(same.get(gram, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * p) / sum(same.values())
+            total += np.log(p)
+        return total
+
+
+def test_kneser_ney_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "TRUSTED", 2)
+    rnd = random.Random(4)
+    kinds = ["ab", "abc", "ba", "cab", "bad", "dab", "acd"]
+    corpus = [(rnd.choices(kinds[: 4 + 3 * y], k=rnd.randint(1, 9)), y) for y in (0, 1) for _ in range(14)]
+    pairs, words = Counter(), Counter()
+    for text, y in corpus:
+        pairs.update({(a, b, y) for a, b in zip(["^", *text], text)})
+        words.update({(w, y) for w in text})
+    names = sorted({w for w, _ in words})
+    h = dict(zip(names, toxicity.word_hash(names).tolist())) | {"^": int(toxicity.START)}
+    found = sorted({(a, b) for a, b, _ in pairs})
+    model = toxicity.Model.fit(
+        names, np.array([[words[w, y] for y in (0, 1)] for w in names], float),
+        *(np.array([h[p[i]] for p in found], np.uint64) for i in (0, 1)), np.array([[pairs[*p, y] for y in (0, 1)] for p in found], float),
+    )
+    alphabet = len(set("".join(names))) + 2
+    spelling = [_Spelling(names, [w for w in names if words[w, y]], alphabet) for y in (0, 1)]
+    d = toxicity.DISCOUNT
+
+    def unigram(w, y):
+        left = {b: len({a for a, x, z in pairs if x == b and z == y}) for _, b, z in pairs if z == y}
+        base = np.exp(spelling[y].log(w))
+        return (max(left.get(w, 0) - d, 0) + d * len(left) * base) / sum(left.values())
+
+    def probability(before, w, y):
+        after = {b: n for (a, b, z), n in pairs.items() if a == before and z == y}
+        return (max(after.get(w, 0) - d, 0) + d * len(after) * unigram(w, y)) / sum(after.values())
+
+    texts = [["ab", "cab", "bad"], ["bad", "zz", "abc"], ["acd"]]
+    scorer = toxicity.Scorer(model)
+    scorer.evidence([" ".join(t) for t in texts])
+    flat = [w for t in texts for w in t]
+    at = np.array([scorer.known[w] for w in flat])
+    got = model.log_ratios(scorer.hashes[at], scorer.own[at], scorer.there[at], scorer.context[at], np.array([0, 3, 6]))
+    expected = []
+    for t in texts:
+        for before, w in zip(["^", *t], t):
+            if w not in names:
+                word = pair = spelling[1].log(w) - spelling[0].log(w)
+            else:
+                word = pair = np.log(unigram(w, 1) / unigram(w, 0))
+                if all(sum(n for (a, _, z), n in pairs.items() if a == before and z == y) >= 2 for y in (0, 1)):
+                    pair = np.log(probability(before, w, 1) / probability(before, w, 0))
+            expected.append((pair, word))
+    assert np.allclose(got, np.array(expected).T, atol=1e-4)
+
+
+def test_langid_votes_brute_force():
+    words, langs = ["haus", "hause", "house", "mouse", "maus"], ["de", "en"]
+    docs = np.array([[3, 0], [1, 0], [0, 4], [0, 2], [2, 1]], float)
+    model = langid.Model.fit(langs, words, docs)
+    known = [i for i in range(5) if docs[i].sum() >= langid.KNOWN]
+
+    def logs(table):
+        totals = [sum(c[k] for c in table.values()) + langid.SMOOTHING * len(table) for k in (0, 1)]
+        return {x: [np.log((c[k] + langid.SMOOTHING) / totals[k]) for k in (0, 1)] for x, c in table.items()}
+
+    by_word = logs({words[i]: docs[i] for i in known})
+    grams = lambda w, n: [("\x02" * (langid.ORDER - 1) + w + "\x03")[i - n + 1 : i + 1] for i in range(langid.ORDER - 1, langid.ORDER + len(w))]
+    by_gram = {}
+    for n in range(1, langid.ORDER + 1):
+        table = {}
+        for w, c in zip(words, docs):
+            for g in grams(w, n):
+                table[g] = table.get(g, 0) + c
+        by_gram[n] = logs(table)
+
+    def votes(w):
+        if w in by_word:
+            return by_word[w]
+        for n in range(langid.ORDER, 0, -1):
+            if hit := [by_gram[n][g] for g in grams(w, n) if g in by_gram[n]]:
+                return np.mean(hit, 0)
+        return [0, 0]
+
+    wanted = ["haus", "hause", "hauses", "grouse", "xyz", "x"]
+    assert np.allclose(model.votes(wanted), [votes(w) for w in wanted], atol=1e-4)
+    assert langid.Identifier(model).identify(["haus maus", "house", "12 !", None])[0] == ["de", "en", "und", "und"]
+
+
+CLASHING = ("id", "row", "h", "n", "rule", "kept", "base_failed", "score", "toxicity", "_w", "_t", "_sg_kept", "_near_row", "_simhash_row", "digest", "a.b", "length", "path", "_at")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with further columns of every name that operators use themselves."""
+    rows = [(i, t, *range(i, i + len(CLASHING))) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c}` int" for c in CLASHING))
+
+
+def _same_rows(kept, docs):
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+
+
+def test_clashing_columns(spark, clashing, labels, documents):
+    long = clashing.union(documents.limit(60).selectExpr("doc_id + 1000", "text", *(str(i) for i in range(len(CLASHING)))))
+    marks = labels.selectExpr("doc_id + 1000 as doc_id", "quality", "toxic").union(spark.createDataFrame([(1000, 1, 1)], "doc_id bigint, quality int, toxic int"))
+    model = toxicity.train(long, marks, held_out_too=True)
+    for kept in (quality.keep_good(long, marks), toxicity.keep_clean(long, model), toxicity.keep_clean(long, None), simhash.keep_one(long), near_copies.keep_one(long)):
+        _same_rows(kept, long)
+    assert toxicity.scored(clashing, None).columns[-1] == "score_"
+    n = len(TEXTS)
+    assert pieces.encode_n_best(clashing, 1).count() == n and packing.pack(clashing).select("id").distinct().count() == n
+    assert sharding.shard_by_bytes(clashing, 3).count() == n and langid.identified(clashing, None).count() == n
+    assert syncmers.with_next(syncmers.with_sketch(clashing.select("doc_id", "text"), F.col("text"), "sketch"), ["text"]).count() == n
+    files, _ = token_counts.write_flat_files(clashing, f"{shared_dir(spark)}/flat")
+    assert token_counts.document_counts(files).count() == n
+    assert wavelet.read_documents(wavelet.write_shards(clashing, f"{shared_dir(spark)}/wm")).count() == n
+
+
+def test_keep_one_with_odd_ids(spark):
+    rows = [(None, "a b c d"), (None, "e f g h"), (7, "a b c d"), (8, "i j k l"), (8, "m n o p"), (9, "i j k l")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for kept in (simhash.keep_one(docs), near_copies.keep_one(docs)):
+        assert sorted((r.text, r.doc_id) for r in kept.collect()) == [("a b c d", 7), ("e f g h", None), ("i j k l", 8), ("m n o p", 8)]
+
+
+def _odd_tables(spark):
+    """Tables of documents and labels that every query must take."""
+    schema, marks = SCHEMA, "doc_id bigint, quality int, toxic int"
+    twice = [(1, "same text " * 40, "en", "s", 400)] * 5 + [(2, None, None, None, None)] * 3
+    nulls = [(None, None, None, None, None), (None, "no id " * 30, None, None, None), (3, "", "de", None, 0), (4, "   ", None, "s", 3)]
+    ends = [(2**63 - 1, "last " * 60, "en", "s", 300), (-(2**63), "first " * 60, "en", "s", 360)]
+    some = [(1, 1, 0), (1, 0, 1), (2, None, None), (None, 1, 1), (99, 0, 1)]
+    return {name: (spark.createDataFrame(rows, schema), spark.createDataFrame(lab, marks)) for name, rows, lab in (("none", [], []), ("twice", twice, some), ("nulls", nulls, some), ("ends", ends, []))}
+
+
+def test_queries_take_odd_tables(spark, tmp_path):
+    for name, (docs, marks) in _odd_tables(spark).items():
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        n = docs.count()
+        for query, run in QUERIES.items():
+            assert run(spark, f"{tmp_path}/{name}").count() == n, (name, query)
+        import corpus_pipeline
+
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() <= n
+
+
+def test_queries_by_contract(spark, documents):
+    """The columns that the contracts name, over whole tables, against brute force."""
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    rows = {name: {r.doc_id: r for r in run(spark, SF).collect()} for name, run in QUERIES.items() if name != "op3_packing"}
+    assert all(r.keys() == texts.keys() for r in rows.values())
+    fps = {i: _fingerprint(t) for i, t in texts.items()}
+    components, start = _components(fps), 0
+    for i, t in sorted(texts.items()):
+        assert (rows["op1_simhash"][i].fingerprint, rows["op1_simhash"][i].component_id) == (f"{fps[i]:016x}", components[i])
+        assert rows["op2_pieces"][i].decodes == ("\u2581" not in t)
+        r = rows["op4_sharding"][i]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(t.encode()) + 8, zlib.crc32(t.encode()), "bytes", None) and 0 <= r.shard < 24
+        r, stats = rows["op6_quality"][i], _statistics(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == stats
+        assert r.base_failed == (stats[0] < 50 or 100 * stats[4] > 50 * stats[0]) and not (r.base_failed and r.kept)
+        ids, r = _ids(t, [1]), rows["op7_wavelet"][i]
+        ends = np.flatnonzero(ids == 1)
+        assert (r.start, r.n_tokens, r.ids_crc32, r.last_id, r.n_ends, r.first_end) == (start, len(ids), zlib.crc32(ids.tobytes()), 1, len(ends), ends[0])
+        start += len(ids)
+        r = rows["op9_langid"][i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1
+        r = rows["op10_toxicity"][i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+    packed = QUERIES["op3_packing"](spark, SF).collect()
+    lengths, places = Counter(), {}
+    for r in packed:
+        ids = _ids(texts[r.doc_id], [0])[r.start : r.start + r.length]
+        assert r.start == 2048 * r.piece and (len(ids), zlib.crc32(ids.tobytes())) == (r.length, r.ids_crc32)
+        lengths[r.length] += 1
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all([o for o, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1]] and sum(n for _, n in p) <= 2048 for p in places.values())
+    assert len(places) == packing.lower_bound(lengths, 2048)
 
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    docs, kept = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
+    sf = "/root/testdata/sf0.01"
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "/root/testdata/sf0.01")
+        before = docs
+        docs = stage(spark, docs, sf)
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         kept.append(docs)
+        if name == "quality_rules":
+            judged = quality.judged(before, spark.read.parquet(f"{sf}/labels.parquet")).where("_sg_kept").select("doc_id")
+            assert {r.doc_id for r in judged.collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert [d.columns for d in kept[:3]] == [["doc_id", "text", "lang", "source", "n_chars"]] * 3
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in kept]
     assert ids[0] >= ids[1] >= ids[2] == ids[3]
-    fps = {r.doc_id: _fingerprint(r.text) for r in kept[1].collect()}
-    assert ids[2] == set(_components(fps).values())
+    texts = kept[0].select("doc_id", "text").collect()
+    scorer = toxicity.Scorer(toxicity.train(kept[0], spark.read.parquet(f"{sf}/labels.parquet")))
+    assert ids[1] == {r.doc_id for r, x in zip(texts, scorer.score([r.text for r in texts])) if x < 0.5}
+    sets = {r.doc_id: set(near_copies.shingles(r.text).tolist()) for r in kept[1].collect()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert ids[2] == {find(i) for i in sets}
+    lengths = Counter(r.length for r in kept[3].select("length").collect())
+    assert kept[3].select("sequence_id").distinct().count() == packing.lower_bound(lengths, 2048)
