@@ -7,22 +7,24 @@ values that reach the driver.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.plans.dialect import PLANS, Dialect, plan
+from sitegrain.plans.dialect import DUCK, SPARK, Dialect, plan
+from sitegrain.plans.stored import shared_dir
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 20, 1e-4
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's folder (a local one only where none is set)."""
+    """Reliable checkpoint in the cluster's folder; persisted first, so that it is computed once."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitegrain-"))
-    return df.checkpoint()
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    kept = df.persist()
+    cut = kept.checkpoint()
+    kept.unpersist()
+    return cut
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -46,7 +48,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
         moved = ranks.join(given, ranks.url == given.target, "left").select(
             "url", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("next"), "rank", "dangling"
         )
-        moved = _cut(moved) if i % 3 == 2 else moved.persist()
+        moved = _cut(moved)
         delta = moved.agg(F.sum(F.abs(F.col("next") - F.col("rank")))).first()[0]
         ranks = moved.select("url", F.col("next").alias("rank"), "dangling")
         if delta < tolerance:
@@ -85,18 +87,24 @@ def gra02_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edges_sql() -> str:
     return """edges as (select distinct cast(c_nationkey as varchar) as source, cast(s_nationkey as varchar) as target
-      from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity > 47),
-    nodes as (select cast(n_nationkey as varchar) as url from nation), n as (select cast(count(*) as double) as n from nodes),
-    degrees as (select source, count(*) as degree from edges group by source)"""
+      from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey),
+    nodes as (select cast(n_nationkey as varchar) as url from nation)"""
 
 
-def _pagerank_sql(rounds: int) -> str:
-    out = f"with {_edges_sql()}, r0 as (select url, 1e0 as rank from nodes)"
+def _pagerank_sql(ctes: str, rounds: int = ITERATIONS, tolerance: float = TOLERANCE) -> str:
+    """WITH entries up to ``ranks``, over ``nodes``, ``edges``: all rounds unrolled, of which the first that moves less than the tolerance counts."""
+    out = f"""{ctes}, links as materialized (select e.source, e.target from edges e join nodes v on e.target = v.url),
+    out_degrees as materialized (select source, cast(count(*) as double) as degree from edges group by source), n as materialized (select cast(count(*) as double) as n from nodes),
+    r0 as materialized (select url, 1e0 as rank from nodes)"""
     for i in range(rounds):
-        out += f""", r{i + 1} as (
-      select v.url, 0.15e0 + 0.85e0 * (select coalesce(sum(rank), 0e0) from r{i} where url not in (select source from degrees)) / n.n + 0.85e0 * coalesce(sum(r.rank / g.degree), 0e0) as rank
-      from nodes v cross join n left join edges e on e.target = v.url left join degrees g on g.source = e.source left join r{i} r on r.url = e.source group by v.url, n.n)"""
-    return out + f" select url, round(rank, 6) as rank from r{rounds}"
+        out += f""", r{i + 1} as materialized (
+      select v.url, 0.15e0 + 0.85e0 * (select coalesce(sum(rank), 0e0) from r{i} where url not in (select source from out_degrees)) / (select n from n) + 0.85e0 * coalesce(g.given, 0e0) as rank
+      from nodes v left join (select l.target, sum(r.rank / o.degree) as given from links l join out_degrees o on o.source = l.source join r{i} r on r.url = l.source group by l.target) g on g.target = v.url)"""
+    every = " union all ".join(f"select {i} as i, url, rank from r{i}" for i in range(rounds + 1))
+    return out + f""", rounds as materialized ({every}),
+    moves as (select a.i, sum(abs(a.rank - b.rank)) as delta from rounds a join rounds b on a.url = b.url and b.i = a.i - 1 group by a.i),
+    last_round as (select coalesce(min(case when delta < {tolerance} then i end), {rounds}) as i from moves),
+    ranks as (select url, rank from rounds where i = (select i from last_round))"""
 
 
 def gra06_bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,18 +113,17 @@ def gra06_bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BFS_SQL = f"""with recursive {_edges_sql()}, walk(url, depth) as (
-  select '0', cast(1 as bigint) union select e.target, w.depth + 1 from walk w join edges e on e.source = w.url where w.depth < 4)
+  select '0', cast(1 as bigint) union select e.target, w.depth + 1 from walk w join edges e on e.source = w.url where w.depth < 10)
   select url, min(depth) as depth from walk group by url"""
 
 QUERIES = {"gra02_pagerank": gra02_pagerank, "gra06_bfs_depth": gra06_bfs_depth}
-ORACLE_SQL = {"gra02_pagerank": _pagerank_sql(5), "gra06_bfs_depth": _BFS_SQL}
+ORACLE_SQL = {"gra02_pagerank": f"with {_pagerank_sql(_edges_sql())} select url, round(rank, 6) as rank from ranks", "gra06_bfs_depth": _BFS_SQL}
 
 
 def host_edges(d: Dialect) -> str:
-    """Bipartite graph of pages' hosts and all links on them; the given SQL still keeps hrefs of under six characters only."""
-    short = " where length(href) < 6" if d.name == "duckdb" else ""
+    """Bipartite graph of pages' hosts and all links on them."""
     return f"""base as (select page_id, lower({d.rx('url', r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)')}) as host, {d.explode(d.all("coalesce(html, '')", r'(?is)<a\s[^>]*href="([^"]*)"'))} as href from pages),
-    edges as (select distinct host as source, concat(host, href) as target from base{short}),
+    edges as (select distinct host as source, concat(host, href) as target from base),
     nodes as (select source as url from edges union select target from edges)"""
 
 
@@ -127,16 +134,29 @@ def gra01(d: Dialect) -> str:
     from nodes v left join ins i on v.url = i.url left join outs o on v.url = o.url"""
 
 
-@plan("gra03_authority", "pages")
-def gra03(d: Dialect) -> str:
-    return f"""with {host_edges(d)}, ins as (select target as url, cast(count(*) as double) as r from edges group by target),
-    top as (select max(r) as top from ins) select url, {d.big('floor(1 + 99 * r / greatest(top, 1e-4) + 0.5e0)')} as authority from ins cross join top"""
+def authority(ranks: DataFrame) -> DataFrame:
+    """``ranks(url, rank)`` → ``(url, authority)``: 1 to 100 by the largest rank."""
+    top = max(ranks.agg(F.max("rank")).first()[0] or 0.0, 1e-4)
+    return ranks.select("url", F.floor(1 + 99 * F.col("rank") / top + 0.5).cast("bigint").alias("authority"))
+
+
+def gra03_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = f"pages as (select * from parquet.`{sf_dir.rstrip('/')}/pages.parquet`)"
+    nodes, edges = (spark.sql(f"with {scan}, {host_edges(SPARK)} select * from {t}") for t in ("nodes", "edges"))
+    return authority(pagerank(nodes, edges))
+
+
+QUERIES["gra03_authority"] = gra03_authority
+ORACLE_SQL["gra03_authority"] = f"""with {_pagerank_sql(host_edges(DUCK))}, top as (select greatest(max(rank), 1e-4) as top from ranks)
+    select url, cast(floor(1 + 99 * rank / top + 0.5e0) as bigint) as authority from ranks cross join top"""
 
 
 @plan("gra04_hubs", "pages")
 def gra04(d: Dialect) -> str:
-    return f"""with {host_edges(d)}, outs as (select source as url, count(*) as n from edges group by source),
-    ranked as (select url, n, row_number() over (order by n desc, url) as rn from outs) select url, {d.big('n')} as out_degree, {d.big('rn')} as rn from ranked where rn <= 5"""
+    """The five largest by outgoing links and the five largest by incoming ones."""
+    top = lambda kind, col: f"select '{kind}' as kind, url, n from (select {col} as url, count(*) as n from edges group by {col} order by n desc, url limit 5) t"
+    return f"""with {host_edges(d)}, tops as ({top('hub', 'source')} union all {top('authority', 'target')})
+    select kind, url, {d.big('n')} as degree, {d.big('row_number() over (partition by kind order by n desc, url)')} as rn from tops"""
 
 
 @plan("agg13_graph_metrics", "pages")
@@ -147,21 +167,23 @@ def agg13(d: Dialect) -> str:
 
 @plan("gra10_link_sets", "pages")
 def gra10(d: Dialect) -> str:
-    return f"with {host_edges(d)} select target as url, {d.sorted_list('source')} as inbound from edges group by target"
+    """Inbound and outbound links as membership rows with the size of each set: a set of any size stays in rows."""
+    return f"""with {host_edges(d)}, ins as (select target as url, source as other, 'in' as direction from edges), outs as (select source as url, target as other, 'out' as direction from edges),
+    both as (select * from ins union all select * from outs), sizes as (select url, direction, count(*) as n from both group by url, direction)
+    select b.url, b.direction, b.other, s.n as set_size from both b join sizes s on b.url = s.url and b.direction = s.direction""".replace("both as", "members as").replace("from both", "from members")
 
 
 def _closure(d: Dialect) -> str:
     return """with recursive sub_class(child, parent) as (
-      select concat('c', cast(c_custkey as varchar(20))), concat('n', cast(c_nationkey as varchar(20))) from customer where c_custkey % 10 = 0
+      select concat('c', cast(c_custkey as varchar(20))), concat('n', cast(c_nationkey as varchar(20))) from customer
       union all select concat('n', cast(n_nationkey as varchar(20))), concat('r', cast(n_regionkey as varchar(20))) from nation),
-    closure(child, ancestor, depth) as (select child, parent, 1 from sub_class union all select c.child, s.parent, c.depth + 1 from closure c join sub_class s on c.ancestor = s.child where c.depth < 5)
+    closure(child, ancestor, depth) as (select child, parent, 1 from sub_class union all select c.child, s.parent, c.depth + 1 from closure c join sub_class s on c.ancestor = s.child)
     select child, ancestor, cast(depth as bigint) as depth from closure"""
 
 
 def gra09_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = ", ".join(f"{t} as (select * from parquet.`{sf_dir.rstrip('/')}/{t}.parquet`)" for t in ("customer", "nation"))
-    every = _closure(None).replace(" where c_custkey % 10 = 0", "", 1)  # the given SQL's tenth of the customers
-    return spark.sql(every.replace("with recursive ", f"with recursive {scans}, ", 1))
+    return spark.sql(_closure(None).replace("with recursive ", f"with recursive {scans}, ", 1))
 
 
 QUERIES["gra09_ontology_closure"] = gra09_closure

@@ -6,6 +6,7 @@ from sitegrain.plans.dialect import Dialect, plan
 
 #: Bytes assumed for an asset whose size is unknown.
 ASSET_BYTES = {"js": 35000, "css": 15000, "img": 60000}
+WIDTH, HEIGHT = (rf'(?is)\s{side}=["\x27]?[^"\x27\s>]' for side in ("width", "height"))
 
 
 def strip_html(d: Dialect, html: str) -> str:
@@ -50,6 +51,10 @@ def facts(d: Dialect) -> str:
         nullif({d.rx('html', r'(?is)<link[^>]+rel="canonical"[^>]*href="([^"]*)"')}, '') as canonical,
         {d.filter(d.all('html', r'(?is)<a\s[^>]*href="([^"]*)"'), 'h', f"not {d.has('h', r'^(?:#|javascript:|mailto:|tel:)')}")} as hrefs,
         {d.count('html', r'(?is)<img\s[^>]*src=')} as n_images,
+        {d.big(d.size(d.filter(d.all('html', r'(?is)<img\s[^>]*>', 0), 'i', f"not ({d.has('i', WIDTH)} and {d.has('i', HEIGHT)})")))} as n_undimensioned,
+        {d.all('html', r'(?is)<h([1-6])[\s>]')} as levels,
+        {d.all('html', r'(?is)<link[^>]+hreflang=[^>]*>', 0)} as alternates,
+        {d.join(d.all('html', r'(?is)<script[^>]+type="application/ld.json"[^>]*>(.*?)</script>'), ' ')} as json_ld,
         {d.big(d.size(d.filter(d.all('html', r'(?is)<img\s[^>]*>', 0), 'i', f"not {d.has('i', r'(?i)alt="[^"]*[^" ][^"]*"')}")))} as n_missing_alt,
         {d.count('html', r'(?is)<meta[^>]+property="og:')} as n_og,
         {d.count('html', r'(?is)<meta[^>]+name="twitter:')} as n_twitter,
@@ -87,7 +92,7 @@ def enriched(d: Dialect) -> str:
     vitals as (
       select *, n_links - n_external as n_internal,
         floor(load_ms * (1.1e0 + 0.1e0 * n_js + 0.02e0 * n_images) + 0.5e0) as lcp,
-        floor(least(0.5e0, 0.03e0 * n_images) * 100e0 + 0.5e0) / 100e0 as cls,
+        floor(least(0.5e0, 0.03e0 * n_undimensioned) * 100e0 + 0.5e0) / 100e0 as cls,
         floor(80e0 + 15e0 * n_js + least(300e0, js_bytes / 5000e0) + 0.5e0) as inp
       from counted
     ),

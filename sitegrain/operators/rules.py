@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from sitegrain.operators.pages import enriched
-from sitegrain.plans.dialect import Dialect, plan
+from sitegrain.plans.dialect import STORED, Dialect, Plan, plan
 
 Check = tuple[str, str, str]  # sub-check, severity, condition
 
@@ -42,7 +42,8 @@ def captured(d: Dialect) -> str:
         case page_id % 3 when 0 then 'nginx/1.25' when 1 then 'nginx' end as h_server,
         case page_id % 11 when 0 then 'Express' end as h_powered,
         case page_id % 4 when 0 then 'sid=1' when 1 then 'sid=1; Secure; HttpOnly; SameSite=Lax' end as h_cookie,
-        case page_id % 3 when 0 then 'max-age=600' end as h_cache, case page_id % 2 when 0 then 'abc' end as h_etag
+        case page_id % 3 when 0 then 'max-age=600' end as h_cache, case page_id % 2 when 0 then 'abc' end as h_etag,
+        cast(null as boolean) as robots_txt_found, cast(null as boolean) as sitemap_xml_found
       from page_facts
     )"""
 
@@ -66,6 +67,15 @@ def rules(d: Dialect) -> list[Rule]:
     author = has("html", r"(?i)rel=.author|class=.[^>]*author|\bby [A-Z][a-z]+ [A-Z]|written by|author:")
     trust = has("body_text", r"(?i)privacy policy|terms of service|about us|contact us|editorial")
     answer = has("html", r"(?is)<p[^>]*>\s*<(?:strong|b)[\s>]")
+    typed = lambda names: has("json_ld", rf'(?i)"@type"\s*:\s*"(?:{names})"')
+    entity, faq = typed("organization|person|corporation|localbusiness"), typed("faqpage")
+    same_as = has("json_ld", r'"sameAs"\s*:\s*(?:"[^"]*\S[^"]*"|\[\s*[^\]\s])')
+    level = lambda i: f"cast({d.at('levels', i)} as int)"
+    steps = d.seq("0", f"{d.size('levels')} - 2")
+    jumps = f"{level('cast(i as int) + 1')} - {level('cast(i as int)')} > 1"
+    jump = f"case when {d.size('levels')} < 2 then false else {d.size(d.filter(steps, 'i', jumps))} > 0 end"
+    own_alternate = """instr(t, concat('href="', url, '"')) > 0"""
+    valid_lang = has("t", r'hreflang="(?:[a-z]{2}(?:-[A-Z]{2})?|x-default)"')
     long_p = d.size(d.filter(d.all("html", r"(?is)<p(?:\s[^>]*)?>([^<]*)"), "p", "length(p) > 1200"))
     r = Rule
     return [
@@ -88,6 +98,12 @@ def rules(d: Dialect) -> list[Rule]:
         r("content-quality", "seo", "warning", 7, "core", (("thin-content", "warning", "words < 300"),)),
         r("internal-linking", "links", "warning", 5, "core", (
             ("no-outbound-links", "warning", "n_internal = 0"), ("excessive-links", "info", "n_links > 100"), ("deep-link", "info", "depth > 3"))),
+        r("missing-robots-txt", "indexing", "error", 6, "core", (("missing", "error", "path = '/' and robots_txt_found = false"),)),
+        r("missing-sitemap-xml", "indexing", "error", 6, "core", (("missing", "error", "path = '/' and sitemap_xml_found = false"),)),
+        r("hreflang", "indexing", "warning", 7, "hreflang", (
+            ("missing-self-reference", "warning", f"{d.size('alternates')} > 0 and {d.size(d.filter('alternates', 't', own_alternate))} = 0"),
+            ("missing-x-default", "info", f"{d.size('alternates')} > 1 and {d.size(d.filter('alternates', 't', has('t', '(?i)hreflang=.x-default')))} = 0"),
+            ("invalid-lang", "warning", f"{d.size(d.filter('alternates', 't', f'not {valid_lang}'))} > 0")), False),
         r("pagination-health", "seo", "warning", 6, "core", (
             ("missing-rel-next-prev", "warning", f"{has('html', '(?i)class=.[^>]*pagination')} and not {has('html', '(?i)rel=.(?:next|prev)')}"),
             ("infinite-scroll", "info", has("html", "(?i)infinite[-_]scroll|load[-_]more|autoload")))),
@@ -127,13 +143,14 @@ def rules(d: Dialect) -> list[Rule]:
         r("ai-extractability", "ai_visibility", "warning", 8, "aiVisibility", (
             ("no-semantic-containers", "warning", "n_semantic = 0"),
             ("no-answer-first", "info", f"length(body_text) > 500 and not {answer}")), False),
-        r("ai-entity-clarity", "ai_visibility", "error", 8, "aiVisibility", (("weak-entity", "error", "n_jsonld = 0"),), False),
+        r("ai-entity-clarity", "ai_visibility", "error", 8, "aiVisibility", (
+            ("weak-entity", "error", f"not {entity}"), ("missing-disambiguation", "warning", f"{entity} and not {same_as}")), False),
         r("ai-citation-readiness", "ai_visibility", "warning", 7, "aiVisibility", (
             ("no-external-citations", "warning", "n_external = 0"),
-            ("missing-faq-schema", "warning", f"{question} and n_jsonld = 0"),
+            ("missing-faq-schema", "warning", f"{question} and not {faq}"),
             ("no-statistics", "info", f"length(body_text) > 500 and not {stats}")), False),
         r("ai-structural-organization", "ai_visibility", "warning", 6, "aiVisibility", (
-            ("broken-hierarchy", "warning", "n_h1 > 0 and n_h2 = 0 and n_h3 > 0"),
+            ("broken-hierarchy", "warning", jump),
             ("no-lists-or-tables", "info", "n_lists = 0 and words > 200")), False),
         r("ai-retrieval-friendliness", "ai_visibility", "warning", 8, "aiVisibility", (
             ("paragraphs-too-long", "warning", f"{long_p} > 0"), ("thin-content", "warning", "words > 0 and words < 300")), False),
@@ -175,10 +192,7 @@ SET_RULES = (
     Rule("orphan-page", "indexing", "error", 8, "core", stateless=False),
     Rule("internal-link-distribution", "links", "warning", 7, "core", stateless=False),
     Rule("duplicate-content-similarity", "seo", "warning", 7, "core", stateless=False),
-    Rule("missing-robots-txt", "indexing", "error", 6, "core"),
-    Rule("missing-sitemap-xml", "indexing", "error", 6, "core"),
     Rule("eeat-score", "seo", "warning", 5, "core"),
-    Rule("hreflang", "indexing", "warning", 7, "hreflang", stateless=False),
     Rule("missing-backlink-data", "backlink_intelligence", "info", 2, "backlinks", stateless=False),
     Rule("anchor-text-over-optimization", "backlink_intelligence", "warning", 5, "backlinks", stateless=False),
     Rule("low-authority-backlinks", "backlink_intelligence", "warning", 4, "backlinks", stateless=False),
@@ -207,19 +221,60 @@ def _field(d: Dialect, n: int) -> str:
     return f"split_part(code, '|', {n})"
 
 
+def page_rows(d: Dialect) -> str:
+    """One pass over the captures: facts and headers of every page without its html, and the codes of the checks that hold."""
+    codes = [f"case when {cond} then {text('|'.join((r.id, sub, sev, r.category)))} end" for r in rules(d) for sub, sev, cond in r.checks]
+    kept = "* except (html, body_text, json_ld)" if d.name == "spark" else "* exclude (html, body_text, json_ld)"
+    return f"""with {captured(d)}, coded as (select *, {d.filter(d.array(*codes), 'c', 'c is not null')} as codes, {d.hash('lower(body_text)')} as body_hash from captured)
+    select {kept} from coded"""
+
+
+STORED["page_rows"] = Plan(page_rows, ("pages",))
+
+
 def set_rules(d: Dialect) -> str:
-    """WITH entries on top of ``per_page``: findings of duplicate titles and orphans, and ``findings``, all together."""
-    return f"""{per_page(d)},
+    """WITH entries ``page_facts``, ``page_links``, ``findings``: per-page findings and those that look at several pages."""
+    rows = "{{page_rows}}" if d.name == "spark" else f"({page_rows(d)})"
+    return f"""page_facts as (select * from {rows}),
+    fired as (select page_id, url, {d.explode('codes')} as code from page_facts),
+    page_findings as (
+      select page_id, url, {_field(d, 1)} as rule_id, {_field(d, 2)} as sub_check, {_field(d, 3)} as severity, {_field(d, 4)} as category from fired
+    ),
+    {page_links(d)},
     titles as (select norm_title, count(*) as n from page_facts where norm_title <> '' group by norm_title having count(*) > 1),
+    bodies as (select body_hash, count(*) as n from page_facts where words >= 5 group by body_hash having count(*) > 1),
+    first_page as (select min(page_id) as first_id from page_facts),
+    degrees as (select p.page_id, p.url, {d.big('coalesce(i.n, 0)')} as in_degree, {d.big('coalesce(o.n, 0)')} as out_degree from page_facts p
+      left join (select target, count(*) as n from page_edges group by target) i on i.target = p.url
+      left join (select source, count(*) as n from page_edges group by source) o on o.source = p.url),
+    sinks as (select count(*) as n from degrees where in_degree >= 5 and out_degree <= 1),
     findings as (
       select * from page_findings
       union all
       select p.page_id, p.url, 'duplicate-title', 'duplicate', 'error', 'metadata' from page_facts p join titles t on p.norm_title = t.norm_title
       union all
-      select page_id, url, 'orphan-page', 'orphan', 'error', 'indexing' from page_facts where page_id > 0
+      select p.page_id, p.url, 'duplicate-content-similarity', 'near-duplicates', 'error', 'seo' from page_facts p join bodies b on p.body_hash = b.body_hash where p.words >= 5
+      union all
+      select page_id, url, 'orphan-page', 'orphan', 'error', 'indexing' from degrees, first_page where in_degree = 0 and page_id <> first_id
+      union all
+      select page_id, url, 'internal-link-distribution', 'authority-sinks', 'warning', 'links' from page_facts, first_page, sinks where page_id = first_id and sinks.n > 0
     )"""
 
 
+def page_links(d: Dialect) -> str:
+    """WITH entries over ``page_facts``: ``page_links``, every link resolved, and ``page_edges``, distinct links between captured pages of one host."""
+    root = "concat(scheme, '://', host)"
+    folder = d.repl("path", r"[^/]*$", "")
+    return f"""raw_links as (select page_id, url as source, scheme, host, path, {d.explode('hrefs')} as href from page_facts),
+    page_links as (
+      select page_id, source, href, host,
+        case when {d.has('href', r'^[A-Za-z][A-Za-z0-9+.-]*:')} then href when {d.has('href', '^//')} then concat(scheme, ':', href)
+          when {d.has('href', '^/')} then concat({root}, href) when {d.has('href', r'^[?]')} then concat({root}, path, href)
+          else concat({root}, {folder}, href) end as target from raw_links),
+    page_edges as (select distinct l.source, l.target from page_links l join (select distinct url from page_facts) p on l.target = p.url
+      where lower({d.rx('l.target', r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)')}) = l.host)"""
+
+
 @plan("rules_all_findings", "pages")
 def all_findings(d: Dialect) -> str:
     return f"with {set_rules(d)} select page_id, rule_id, sub_check, severity, category from findings"
@@ -244,17 +299,29 @@ for _rule in (
 
 @plan("jon01_duplicate_titles", "pages")
 def jon01(d: Dialect) -> str:
-    return f"""with {enriched(d)} select norm_title, count(*) as n_pages, min(page_id) as first_page, {d.sorted_list('page_id')} as pages
-    from page_facts where norm_title <> '' group by norm_title having count(*) > 1"""
+    """Every page of a duplicated title beside the title's count and first page; a group of any size stays in rows."""
+    return f"""with {enriched(d)}, groups_ as (select norm_title, count(*) as n_pages, min(page_id) as first_page from page_facts where norm_title <> '' group by norm_title having count(*) > 1)
+    select g.norm_title, g.n_pages, g.first_page, p.page_id from groups_ g join page_facts p on p.norm_title = g.norm_title"""
 
 
 @plan("jon04_broken_links", "pages")
 def jon04(d: Dialect) -> str:
-    """Links to captured pages that answered 400 and above or not at all; the target graph is page_id's arithmetic."""
-    return f"""with links as (select page_id, url as source, (page_id * 7 + k) % (select count(*) from pages) as target_id
-      from pages cross join (select 1 as k union all select 2 union all select 3) s),
-    status as (select page_id as target_id, url as target, case when page_id % 7 = 0 then 404 when page_id % 11 = 0 then 0 else 200 end as status from pages)
-    select l.page_id, l.source, s.target, cast(s.status as int) as status from links l join status s on l.target_id = s.target_id where s.status >= 400 or s.status = 0"""
+    """Links that resolve to the captured host but to no captured page; a capture table has no other status to go by."""
+    return f"""with {set_rules(d)}, hosts as (select distinct host from page_facts), urls as (select distinct url from page_facts)
+    select l.page_id, l.source, l.target, count(*) as n_links from page_links l
+    join hosts h on lower({d.rx('l.target', r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)')}) = h.host left join urls u on u.url = l.target where u.url is null
+    group by l.page_id, l.source, l.target"""
+
+
+@plan("jon07_page_edges", "pages")
+def jon07(d: Dialect) -> str:
+    """Distinct links between captured pages of one host."""
+    return f"with {set_rules(d)} select source, target from page_edges"
+
+
+@plan("gra01_page_degrees", "pages")
+def page_degrees(d: Dialect) -> str:
+    return f"with {set_rules(d)} select page_id, url, in_degree, out_degree, in_degree = 0 and page_id <> first_id as is_orphan from degrees, first_page"
 
 
 @plan("jon06_canonical_noindex", "pages")
@@ -287,6 +354,6 @@ def jon19(d: Dialect) -> str:
 
 @plan("jon20_rule_weight", "pages")
 def jon20(d: Dialect) -> str:
-    weights = " union all ".join(f"select {text(r.id)} as rule_id, {r.weight} as weight" for r in rules(d)[:20])
+    weights = " union all ".join(f"select {text(r.id)} as rule_id, {r.weight} as weight" for r in [*rules(d), *SET_RULES])
     return f"""with {set_rules(d)}, weights as ({weights})
     select f.rule_id, coalesce(w.weight, 5) as weight, count(*) as n from findings f left join weights w on f.rule_id = w.rule_id group by f.rule_id, coalesce(w.weight, 5)"""

@@ -23,6 +23,7 @@ AI_DEDUCTIONS = {
     ("ai-retrieval-friendliness", "paragraphs-too-long"): 40, ("ai-retrieval-friendliness", "thin-content"): 50,
     ("ai-authority-signals", "missing-authorship"): 45, ("ai-authority-signals", "missing-trust-signals"): 40,
 }
+KEY_GAP, STRONG_GAP = 20, 15
 GRADES = ((95, "A+"), (90, "A"), (80, "B"), (70, "C"), (60, "D"))
 
 
@@ -71,8 +72,13 @@ def agg02(d: Dialect) -> str:
 
 @plan("agg04_overall", "pages")
 def agg04(d: Dialect) -> str:
-    return f"""with {scores(d)} select cast(floor(sum(case when audited then least(score, case when category = 'performance' then 50e0 else 100e0 end) * cat_weight end)
-      / sum(case when audited then cat_weight end) + 0.5e0) as bigint) as overall, {d.big('count(*)')} as n_categories from category_scores"""
+    """Category scores with the specialised ones in their place, performance capped while vitals are estimated, and their weighted mean."""
+    return f"""with {scores(d)}, {mobile(d)}, {assistant(d)}, {security(d)},
+    replaced as (
+      select c.category, c.cat_weight, c.audited, case c.category when 'mobile_seo' then (select mobile_score from mobile_total) when 'ai_visibility' then (select ai_score from ai_total)
+        when 'security' then (select total from security_capped) when 'performance' then least(c.score, 50e0) else c.score end as score from category_scores c)
+    select cast(floor(sum(case when audited then score * cat_weight end) / sum(case when audited then cat_weight end) + 0.5e0) as bigint) as overall,
+      {d.big('sum(case when audited then 1 else 0 end)')} as n_audited from replaced"""
 
 
 @plan("agg05_issue_groups", "pages")
@@ -88,54 +94,102 @@ def agg06(d: Dialect) -> str:
     union all select 'total', severity, '', count(*) from findings group by severity"""
 
 
+def mobile(d: Dialect) -> str:
+    """WITH entries ``mobile_parts`` and ``mobile_total``: flags of the site's sub-checks make four part scores."""
+    flag = lambda *subs: f"max(case when category = 'mobile_seo' and sub_check in ({', '.join(map(text, subs))}) then 1 else 0 end) = 1"
+    part = lambda full, none, less=(): f"(case when {flag(*none)} then 0e0 {' '.join(f'when {flag(s)} then {p}e0 / max(scale)' for s, p in less)} else {full}e0 end)"
+    unseen = "unverifiable-usability"
+    usability = [
+        part(40, ("missing-viewport", unseen), [("invalid-viewport", 20)]), part(20, ("no-inline-styles", "fixed-width", unseen)),
+        part(15, ("no-nav-element", unseen), [("poor-navigation", 5)]), part(25, ("no-tap-targets", unseen), [("tap-target", 10)]),
+    ]
+    speed = [
+        part(35, ("unverifiable-lcp",), [("poor-lcp", 5), ("needs-improvement-lcp", 15)]), part(25, ("unverifiable-cls",), [("poor-cls", 5), ("needs-improvement-cls", 10)]),
+        part(15, ("unverifiable-js-execution", "excessive-js"), [("heavy-js", 5)]), part(15, ("no-images-found", "unverifiable-image-load"), [("heavy-images", 5)]),
+        f"(case when {flag('render-blocking')} then 5e0 / max(scale) else 10e0 end)",
+    ]
+    responsive = [part(50, ("missing-media-queries",)), part(25, ("no-inline-styles", "fixed-layout")), part(25, ("missing-breakpoints", "unverifiable-breakpoints"))]
+    indexing = [part(40, ("hidden-content",)), part(40, ("missing-schema",)), part(20, ("missing-canonical",), [("canonical-mismatch", 10)])]
+    whole = lambda parts: f"floor({' + '.join(parts)} + 0.5e0)"
+    return f"""mobile_scale as (select case when count(*) > 1 then log10(cast(count(*) as double) + 9) else 1e0 end as scale from page_facts),
+    mobile_parts as (select {whole(usability)} as usability, case when {flag('unverifiable-lcp')} then least(50e0, {whole(speed)}) else {whole(speed)} end as speed,
+      {whole(responsive)} as responsive, {whole(indexing)} as indexing from mobile_scale left join findings on true),
+    mobile_total as (select *, floor(usability * 0.35e0 + speed * 0.35e0 + responsive * 0.2e0 + indexing * 0.1e0 + 0.5e0) as mobile_score from mobile_parts)"""
+
+
 @plan("agg07_mobile", "pages")
 def agg07(d: Dialect) -> str:
-    """Existence flags of each sub-check make four part scores."""
-    flag = lambda r, s: f"max(case when rule_id = '{r}' and sub_check = '{s}' then 1 else 0 end)"
-    u, p, r, i = "mobile-usability", "mobile-performance", "mobile-responsive", "mobile-indexing"
-    return f"""with {set_rules(d)}, flags as (
-      select 100 - 40 * greatest({flag(u, 'missing-viewport')}, {flag(u, 'invalid-viewport')}) - 20 * {flag(u, 'fixed-width')} - 15 * greatest({flag(u, 'no-nav-element')}, {flag(u, 'poor-navigation')})
-          - 25 * greatest({flag(u, 'no-tap-targets')}, {flag(u, 'tap-target')}) as usability,
-        100 - 35 * greatest({flag(p, 'poor-lcp')}, {flag(p, 'needs-improvement-lcp')}) - 25 * greatest({flag(p, 'poor-cls')}, {flag(p, 'needs-improvement-cls')})
-          - 15 * greatest({flag(p, 'excessive-js')}, {flag(p, 'heavy-js')}) - 15 * {flag(p, 'heavy-images')} - 10 * {flag(p, 'render-blocking')} as speed,
-        100 - 50 * {flag(r, 'missing-media-queries')} - 25 * {flag(r, 'fixed-layout')} - 25 * {flag(r, 'missing-breakpoints')} as responsive,
-        100 - 40 * {flag(i, 'hidden-content')} - 40 * {flag(i, 'missing-schema')} - 20 * greatest({flag(i, 'missing-canonical')}, {flag(i, 'canonical-mismatch')}) as indexing
-      from findings)
-    select {', '.join(f'{d.big(c)} as {c}' for c in ('usability', 'speed', 'responsive', 'indexing'))},
-      cast(floor(usability * 0.35e0 + speed * 0.35e0 + responsive * 0.2e0 + indexing * 0.1e0 + 0.5e0) as bigint) as mobile_score from flags"""
+    return f"with {set_rules(d)}, {mobile(d)} select {', '.join(f'{d.big(c)} as {c}' for c in ('usability', 'speed', 'responsive', 'indexing', 'mobile_score'))} from mobile_total"
+
+
+def assistant(d: Dialect) -> str:
+    """WITH entries ``ai_parts`` and ``ai_total``: six part scores and their mean."""
+    return f"""ai_dims as ({values(d, ('rule_id', 'sub_check', 'points'), [(*k, v) for k, v in AI_DEDUCTIONS.items()])}),
+    ai_areas as (select distinct rule_id from ai_dims), ai_pages as (select count(*) as pages_n from page_facts),
+    ai_lost as (select f.rule_id, sum(x.points) as points from findings f join ai_dims x on f.rule_id = x.rule_id and f.sub_check = x.sub_check where f.category = 'ai_visibility' group by f.rule_id),
+    ai_parts as (select a.rule_id as area, floor(greatest(0e0, 100 - coalesce(points, 0) / cast(greatest(1, pages_n) as double)) + 0.5e0) as score
+      from ai_areas a left join ai_lost l on a.rule_id = l.rule_id cross join ai_pages),
+    ai_total as (select floor(avg(score) + 0.5e0) as ai_score from ai_parts)"""
 
 
 @plan("agg08_ai", "pages")
 def agg08(d: Dialect) -> str:
-    return f"""with {set_rules(d)}, dims as ({values(d, ('rule_id', 'sub_check', 'points'), [(*k, v) for k, v in AI_DEDUCTIONS.items()])}),
-    areas as (select distinct rule_id from dims), n_pages as (select count(*) as pages_n from page_facts),
-    lost as (select f.rule_id, sum(x.points) as points from findings f join dims x on f.rule_id = x.rule_id and f.sub_check = x.sub_check group by f.rule_id)
-    select a.rule_id as area, cast(floor(greatest(0e0, 100 - coalesce(points, 0) / cast(pages_n as double)) + 0.5e0) as bigint) as score
-    from areas a left join lost l on a.rule_id = l.rule_id cross join n_pages"""
+    return f"""with {set_rules(d)}, {assistant(d)}
+    select area, cast(score as bigint) as score from ai_parts union all select 'overall', cast(ai_score as bigint) from ai_total"""
+
+
+#: Weights of the security buckets, and what each sub-check takes off a page.
+SECURITY_WEIGHTS = {
+    "transport": 0.20, "hsts": 0.15, "csp": 0.20, "browser-hardening": 0.15, "cross-origin-isolation": 0.10, "cookie-security": 0.12, "supply-chain-disclosure": 0.08,
+}
+SECURITY_DEDUCTIONS = {
+    "transport": {"not-https": 100, "mixed-content": 40, "insecure-form": 35, "no-https-redirect": 30},
+    "hsts": {"missing-hsts": 100, "hsts-invalid": 60, "hsts-short-max-age": 35, "hsts-missing-subdomains": 20, "hsts-missing-preload": 10},
+    "csp": {
+        "missing-csp": 70, "csp-report-only": 20, "csp-unsafe-inline-script": 35, "csp-unsafe-eval-script": 30, "csp-script-src-wildcard": 25,
+        "csp-object-src-wildcard": 20, "csp-missing-object-src": 15, "csp-missing-default-src": 15, "csp-missing-frame-ancestors": 10,
+    },
+    "browser-hardening": {
+        "missing-x-frame-options": 30, "missing-x-content-type-options": 30, "invalid-x-content-type-options": 15,
+        "missing-referrer-policy": 15, "missing-permissions-policy": 10,
+    },
+    "cross-origin-isolation": {"missing-coop": 34, "missing-coep": 33, "missing-corp": 33},
+    "cookie-security": {"cookie-missing-secure": 40, "cookie-missing-httponly": 35, "cookie-missing-samesite": 25},
+    "supply-chain-disclosure": {"missing-sri": 45, "server-version-disclosure": 15, "x-powered-by-disclosure": 15, "missing-security-txt": 10},
+}
+SECURITY_CAPS = ((40, ("not-https", "mixed-content")), (79, ("missing-csp", "missing-hsts")))
+SECURITY_ERROR_CAP = 89
+PREVALENCE = 0.4  # of a bucket's deduction that stands however few pages are affected
+
+
+def security(d: Dialect) -> str:
+    """WITH entries ``security_buckets`` and ``security_capped``: capped sums by bucket and page, means over affected pages scaled by coverage, then gates."""
+    dims = [(b, s, float(p), SECURITY_WEIGHTS[b]) for b, subs in SECURITY_DEDUCTIONS.items() for s, p in subs.items()]
+    gates = " ".join(f"when max(case when sub_check in ({', '.join(map(text, subs))}) then 1 else 0 end) = 1 then {cap}e0" for cap, subs in SECURITY_CAPS)
+    return f"""security_dims as ({values(d, ('bucket', 'sub_check', 'points', 'bucket_weight'), dims)}),
+    security_factors as ({values(d, ('severity', 'factor'), SECURITY_FACTORS.items())}), security_pages as (select cast(greatest(1, count(*)) as double) as pages_n from page_facts),
+    security_by_page as (
+      select x.bucket, f.url, least(100e0, sum(x.points * k.factor)) as lost
+      from findings f join security_dims x on f.sub_check = x.sub_check join security_factors k on f.severity = k.severity where f.category = 'security' group by x.bucket, f.url),
+    security_by_bucket as (
+      select bucket, avg(lost) * ({PREVALENCE}e0 + {1 - PREVALENCE}e0 * least(1e0, count(*) / max(pages_n))) as lost, count(*) as affected from security_by_page cross join security_pages group by bucket),
+    security_buckets as (
+      select w.bucket, w.bucket_weight, greatest(0e0, 100 - coalesce(b.lost, 0e0)) as raw, {d.big('coalesce(b.affected, 0)')} as affected
+      from (select distinct bucket, bucket_weight from security_dims) w left join security_by_bucket b on w.bucket = b.bucket),
+    security_one as (select floor(sum(raw * bucket_weight) + 0.5e0) as calculated from security_buckets),
+    security_gate as (select case {gates} when max(case when severity in ('critical', 'error') then 1 else 0 end) = 1 then {SECURITY_ERROR_CAP}e0 else 100e0 end as cap from findings where category = 'security'),
+    security_capped as (select calculated, cap, least(calculated, cap) as total from security_one cross join security_gate)"""
 
 
 @plan("agg09_security", "pages")
 def agg09(d: Dialect) -> str:
-    """Two levels: capped sums by bucket and page, then means over affected pages scaled by coverage."""
-    buckets = [
-        ("transport", "not-https", 80.0, 0.25), ("transport", "missing-hsts", 40.0, 0.25), ("transport", "hsts-short-max-age", 20.0, 0.25),
-        ("csp", "missing-csp", 70.0, 0.20), ("csp", "csp-unsafe-inline-script", 50.0, 0.20), ("csp", "csp-unsafe-eval-script", 50.0, 0.20),
-        ("framing", "missing-x-frame-options", 60.0, 0.10), ("mime", "missing-x-content-type-options", 50.0, 0.10), ("mime", "invalid-x-content-type-options", 50.0, 0.10),
-        ("privacy", "missing-referrer-policy", 40.0, 0.10), ("privacy", "missing-permissions-policy", 30.0, 0.10),
-        ("cookies", "cookie-missing-secure", 50.0, 0.15), ("cookies", "cookie-missing-httponly", 40.0, 0.15), ("disclosure", "server-version-disclosure", 40.0, 0.10),
-    ]
     grade = "case " + " ".join(f"when total >= {n} then '{g}'" for n, g in GRADES) + " else 'F' end"
-    return f"""with {set_rules(d)}, dims as ({values(d, ('bucket', 'sub_check', 'points', 'bucket_weight'), buckets)}),
-    factors as ({values(d, ('severity', 'factor'), SECURITY_FACTORS.items())}), n_pages as (select cast(count(*) as double) as pages_n from page_facts),
-    by_page as (
-      select x.bucket, max(x.bucket_weight) as bucket_weight, f.url, least(100e0, sum(x.points * k.factor)) as lost
-      from findings f join dims x on f.sub_check = x.sub_check join factors k on f.severity = k.severity where f.category = 'security' group by x.bucket, f.url),
-    by_bucket as (
-      select bucket, max(bucket_weight) as bucket_weight, avg(lost) * (0.4e0 + 0.6e0 * count(*) / max(pages_n)) as lost, count(*) as affected
-      from by_page cross join n_pages group by bucket),
-    one as (select floor(100 - sum(lost * bucket_weight) + 0.5e0) as calculated, max(case when bucket = 'transport' then 1 else 0 end) as insecure from by_bucket),
-    capped as (select calculated, case when insecure = 1 then least(calculated, 40e0) else calculated end as total from one)
-    select cast(calculated as bigint) as calculated, cast(total as bigint) as score, {grade} as grade from capped"""
+    return f"""with {set_rules(d)}, {security(d)} select cast(calculated as bigint) as calculated, cast(total as bigint) as score, {grade} as grade from security_capped"""
+
+
+@plan("agg09_security_buckets", "pages")
+def security_bucket_scores(d: Dialect) -> str:
+    return f"with {set_rules(d)}, {security(d)} select bucket, cast(floor(raw + 0.5e0) as bigint) as score, affected as n_pages from security_buckets"
 
 
 @plan("agg10_vitals", "pages")
@@ -159,39 +213,67 @@ def snk10(d: Dialect) -> str:
     select {d.big('case when n > 0 and code = 2 then 3 when code = 2 then 2 when n > 0 then 1 else 0 end')} as exit_code from fails cross join budgets"""
 
 
+def sides(d: Dialect) -> str:
+    """WITH entries ``a`` and ``b``: category scores of two sites, the pages of the host names in .org and all others."""
+    one = lambda side, cond: f"""side_{side} as (select f.* from findings f join page_facts p on f.page_id = p.page_id where {cond}),
+    pages_{side} as (select cast(count(*) as double) as pages_n from page_facts where {cond.replace('p.', '')}),
+    lost_{side} as (select f.category, sum(coalesce(w.weight, 5) * m.mult) as raw from side_{side} f left join weights w on f.rule_id = w.rule_id join multipliers m on f.severity = m.severity group by f.category),
+    {side} as (select c.category, greatest(cast(c.floor_score as double), least(100e0, floor(100 - coalesce(l.raw, 0e0) / case when n.pages_n > 1 then log10(n.pages_n + 9) else 1e0 end + 0.5e0))) as score
+      from categories c left join lost_{side} l on c.category = l.category cross join pages_{side} n)"""
+    return f"""{scores(d)}, {one('a', "p.host like '%.org'")}, {one('b', "p.host not like '%.org'")}"""
+
+
+def snapshots(d: Dialect) -> str:
+    """WITH entries ``baseline`` and ``latest``: findings of an audit held to errors and one held to all severities, the last of a key in order."""
+    keyed = "concat(rule_id, ':', url, ':', sub_check) as k, severity, row_number() over (partition by rule_id, url, sub_check order by page_id desc, severity desc) as rn"
+    return f"""{set_rules(d)}, keyed as (select {keyed} from findings),
+    baseline as (select k, severity from keyed where rn = 1 and severity in ('critical', 'error', 'info')),
+    latest as (select k, case when severity = 'info' then 'warning' else severity end as severity from keyed where rn = 1 and severity <> 'critical')"""
+
+
 @plan("jon13_findings_diff", "pages")
 def jon13(d: Dialect) -> str:
     """Two snapshots by rule, page and sub-check: new, fixed, changed severity."""
-    return f"""with {set_rules(d)},
-    baseline as (select concat(rule_id, ':', url, ':', sub_check) as k, max(severity) as severity from findings where page_id % 5 <> 0 group by 1),
-    latest as (select concat(rule_id, ':', url, ':', sub_check) as k, max(case when page_id % 9 = 0 and severity = 'warning' then 'error' else severity end) as severity
-      from findings where page_id % 7 <> 0 group by 1)
+    return f"""with {snapshots(d)}
     select coalesce(a.k, b.k) as finding_key, case when a.k is null then 'new' when b.k is null then 'fixed' else 'changed' end as change, a.severity as before_severity, b.severity as after_severity
     from baseline a full outer join latest b on a.k = b.k where a.k is null or b.k is null or a.severity <> b.severity"""
 
 
+@plan("st09_regressions", "pages")
+def st09(d: Dialect) -> str:
+    """The gate over two snapshots: new critical findings, severities that rose, and whether any did."""
+    order = values(d, ("severity", "severity_rank"), SEVERITY_ORDER.items())
+    return f"""with {snapshots(d)}, ranks as ({order}),
+    c as (select {d.big("coalesce(sum(case when a.k is null and b.severity = 'critical' then 1 else 0 end), 0)")} as new_critical, {d.big("coalesce(sum(case when y.severity_rank > x.severity_rank then 1 else 0 end), 0)")} as raised
+      from baseline a full outer join latest b on a.k = b.k left join ranks x on a.severity = x.severity left join ranks y on b.severity = y.severity)
+    select new_critical, raised, new_critical > 0 or raised > 0 as regressed from c"""
+
+
 @plan("jon14_category_diff", "pages")
 def jon14(d: Dialect) -> str:
-    return f"""with {set_rules(d)},
-    a as (select category, 100 - count(*) % 60 as score from findings where page_id % 2 = 0 and category <> 'links' group by category),
-    b as (select category, 100 - count(*) % 60 as score from findings where page_id % 2 = 1 and category <> 'seo' group by category)
-    select coalesce(a.category, b.category) as category, {d.big('coalesce(a.score, 100)')} as before_score, {d.big('coalesce(b.score, 100)')} as after_score,
-      {d.big('coalesce(b.score, 100) - coalesce(a.score, 100)')} as delta from a full outer join b on a.category = b.category"""
+    return f"""with {sides(d)} select coalesce(a.category, b.category) as category, cast(coalesce(a.score, 100e0) as bigint) as before_score, cast(coalesce(b.score, 100e0) as bigint) as after_score,
+      cast(coalesce(b.score, 100e0) - coalesce(a.score, 100e0) as bigint) as delta from a full outer join b on a.category = b.category"""
 
 
 @plan("jon15_site_compare", "pages")
 def jon15(d: Dialect) -> str:
-    return f"""with {set_rules(d)},
-    sides as (select f.category, case when p.host like '%.org' then 'a' else 'b' end as side, count(*) as n from findings f join page_facts p on f.page_id = p.page_id group by 1, 2),
-    a as (select category, greatest(0, 100 - n) as score from sides where side = 'a'), b as (select category, greatest(0, 100 - n) as score from sides where side = 'b')
-    select coalesce(a.category, b.category) as category, {d.big('coalesce(a.score, 0)')} as score_a, {d.big('coalesce(b.score, 0)')} as score_b,
-      {d.big('coalesce(a.score, 0) - coalesce(b.score, 0)')} as gap from a full outer join b on a.category = b.category where coalesce(a.category, b.category) <> 'security'"""
+    return f"""with {sides(d)} select coalesce(a.category, b.category) as category, cast(coalesce(a.score, 0e0) as bigint) as score_a, cast(coalesce(b.score, 0e0) as bigint) as score_b,
+      cast(coalesce(a.score, 0e0) - coalesce(b.score, 0e0) as bigint) as gap from a full outer join b on a.category = b.category where coalesce(a.category, b.category) <> 'security'"""
+
+
+@plan("jon16_domain_gap", "pages")
+def jon16(d: Dialect) -> str:
+    """Hosts linked to by one site only."""
+    return f"""with {set_rules(d)}, linked as (select distinct case when host like '%.org' then 'a' else 'b' end as side, lower({d.rx('target', r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)')}) as domain from page_links)
+    select domain, min(side) as only_in from linked where domain <> '' group by domain having count(*) = 1"""
 
 
 @plan("lim01_key_gaps", "pages")
 def lim01(d: Dialect) -> str:
-    return f"""with {set_rules(d)}, ranked as (
-      select category, rule_id, page_id, row_number() over (partition by category order by page_id, rule_id, sub_check) as rn from findings where severity in ('critical', 'error'))
+    """Of categories in which the second site is behind by a gap, its first five critical findings and errors."""
+    return f"""with {sides(d)}, gaps as (select a.category from a join b on a.category = b.category where a.score - b.score >= {KEY_GAP}), ranked as (
+      select f.category, f.rule_id, f.page_id, row_number() over (partition by f.category order by f.page_id, f.rule_id, f.sub_check) as rn
+      from side_b f join gaps g on f.category = g.category where f.severity in ('critical', 'error'))
     select category, rule_id, page_id, {d.big('rn')} as rn from ranked where rn <= 5"""
 
 

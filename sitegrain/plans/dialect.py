@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitegrain.plans.stored import written
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -93,6 +95,9 @@ class SparkSql(Dialect):
     def join(self, x: str, sep: str) -> str:
         return f"array_join({x}, '{sep}')"
 
+    def hash(self, x: str) -> str:
+        return f"md5({x})"
+
 
 class DuckSql(Dialect):
     name = "duckdb"
@@ -148,6 +153,9 @@ class DuckSql(Dialect):
     def join(self, x: str, sep: str) -> str:
         return f"array_to_string({x}, '{sep}')"
 
+    def hash(self, x: str) -> str:
+        return f"md5({x})"
+
 
 SPARK, DUCK = SparkSql(), DuckSql()
 
@@ -160,8 +168,16 @@ class Plan:
     tables: tuple[str, ...]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Tables named ``{{name}}`` in the text are written once by their entry in STORED and then read."""
+        text = self.build(SPARK)
+        for name, needed in STORED.items():
+            if (mark := "{{" + name + "}}") in text:
+                text = text.replace(mark, f"parquet.`{written(needed.run(spark, sf_dir), name)}`")
+        return self._over(spark, sf_dir, text)
+
+    def _over(self, spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         scans = ", ".join(f"{t} as (select * from parquet.`{sf_dir.rstrip('/')}/{t}.parquet`)" for t in self.tables)
-        body = self.build(SPARK).strip()
+        body = text.strip()
         return spark.sql(f"with {scans}, {body[5:]}" if body.lower().startswith("with ") else f"with {scans} {body}")
 
     def sql(self) -> str:
@@ -169,6 +185,8 @@ class Plan:
 
 
 PLANS: dict[str, Plan] = {}
+#: Plans whose result Spark writes before the queries that read it; DuckDB's text holds them inline.
+STORED: dict[str, Plan] = {}
 
 
 def plan(name: str, *tables: str):
