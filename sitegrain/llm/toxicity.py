@@ -20,8 +20,9 @@ counts turns the evidence into a probability.
 
 The classifier is fitted on a bounded sample: about ``MAX_DOCS`` labelled
 documents at most, chosen by a hash of their id, and at most ``MAX_PAIRS`` of
-their most frequent pairs and ``MAX_WORDS`` words; scoring covers all rows and
-whole texts.
+their most frequent pairs (those of ``PAIR_DOCS`` documents and more) and
+``MAX_WORDS`` words, so what is broadcast is bounded whatever the texts hold;
+scoring covers all rows and whole texts.
 
 Defined results: labels of one id that disagree count by their mean, one half
 and more meaning toxic; null labels and labels without a document are ignored;
@@ -37,6 +38,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,8 @@ from .charlm import CACHE_ENTRIES, Grams, KneserNeyOrder, find, spelling_orders,
 from .common import bucket_of, columns, materialise, resident, table, text_batches
 
 MAX_DOCS = 5_000
-MAX_PAIRS, MAX_WORDS = 2_000_000, 400_000
+MAX_PAIRS, MAX_WORDS = 500_000, 400_000
+PAIR_DOCS = 2  # documents from which a pair is in the model; of one document, the discount leaves a tenth
 ORDER = 6
 SHARED = 3  # character orders up to this are common to both classes
 DISCOUNT = 0.9
@@ -80,22 +83,15 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @staticmethod
-    def fit(words: list[str], by_class: np.ndarray, before: np.ndarray, word: np.ndarray, docs: np.ndarray) -> Model:
-        """words with their documents by class, for the spelling; pairs (before, word) as hashes with theirs."""
-        hashed = np.unique(word)
-        seen = docs > 0
-        at = np.searchsorted(hashed, word)
-        count = lambda place, weights: np.bincount(place, weights, len(hashed))
-        left = np.column_stack([count(at, seen[:, 0]), count(at, seen[:, 1])])
-        place, known = find(hashed, before)
-        after = np.column_stack([count(place[known], x[known]) for y in (0, 1) for x in (docs[:, y], seen[:, y])])
-        first = before == START
-        opening = np.array([x[first].sum() for y in (0, 1) for x in (docs[:, y], seen[:, y])], np.float64)
-        order = np.argsort(keys := pair_hash(before, word))
+    def fit(words: list[str], by_class: np.ndarray, left: dict, after: dict, pairs: np.ndarray, counts: np.ndarray) -> Model:
+        """words with their documents by class, for the spelling; left and after: rows by word hash (START too); pairs: hashes, with counts."""
+        hashed = np.sort(np.array(list(left), np.uint64))
+        order = np.argsort(pairs)
         shared = spelling_orders(words, SHARED + 1)[:SHARED]
         own = [spelling_orders([w for w, n in zip(words, by_class[:, y]) if n], ORDER)[SHARED:] for y in (0, 1)]
-        kinds = lambda x: x.astype(np.float32)
-        return Model(hashed, kinds(left), kinds(after), opening, keys[order], kinds(docs[order]), shared, own, len(set().union(*words)) + 2)
+        rows = lambda table, none: np.array([table.get(h, none) for h in hashed.tolist()], np.float32).reshape(len(hashed), len(none))
+        opening = np.array(after.get(int(START), (0, 0, 0, 0)), np.float64)
+        return Model(hashed, rows(left, (0, 0)), rows(after, (0, 0, 0, 0)), opening, pairs[order], counts[order].astype(np.float32), shared, own, len(set().union(*words)) + 2)
 
     def spelled(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word's characters, by class."""
@@ -175,7 +171,7 @@ class Scorer:
         if new := list(set().union(*split).difference(self.known)):
             self._learn(new)
         sizes = [len(words) for words in split]
-        at = np.fromiter((i for words in split for i in map(self.known.__getitem__, words)), np.int64, sum(sizes))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
         stops = np.cumsum(sizes)
         firsts = (stops - sizes)[np.array(sizes, bool)] if sizes else stops
         every = self.model.log_ratios(self.hashes[at], self.own[at], self.there[at], self.context[at], firsts)
@@ -262,18 +258,29 @@ def train(docs: DataFrame, labels: DataFrame, held_out_too: bool = False, max_do
             ones = (rows[:, 2] == 0).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 0], rows[:, 1], ones, 1 - ones)], ["before", "word", "n0", "n1"])
 
-    def gathered(df: DataFrame, keys: list[str], most: int) -> pa.Table:
-        total = df.groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        return total.orderBy((F.col("n0") + F.col("n1")).desc(), *keys).limit(most).toArrow()
+    def total(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+    def by_hash(table: pa.Table) -> dict:
+        key, *values = (c.to_numpy() for c in table.columns)
+        return dict(zip(key.view(np.uint64).tolist(), np.column_stack(values).tolist()))
 
     counted = sample.where("part > 0").select("text", "y")
-    t = gathered(counted.mapInArrow(count, "word string, n0 bigint, n1 bigint"), ["word"], MAX_WORDS)
+    most_seen = (F.col("n0") + F.col("n1")).desc()
+    t = total(counted.mapInArrow(count, "word string, n0 bigint, n1 bigint"), "word").orderBy(most_seen, "word").limit(MAX_WORDS).toArrow()
     classes = lambda t: np.column_stack([t.column(c).to_numpy() for c in ("n0", "n1")]) if t.num_rows else np.zeros((0, 2))
     if not all(classes(t).sum(0) > 0):
         return None
-    pairs = gathered(counted.mapInArrow(count_pairs, "before bigint, word bigint, n0 bigint, n1 bigint"), ["before", "word"], MAX_PAIRS)
-    hashes = (pairs.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
-    model = Model.fit(t.column("word").to_pylist(), classes(t), *hashes, classes(pairs))
+    # what a word needs of its pairs is summed where the pairs are; only those of several documents are gathered
+    pairs = materialise(total(counted.mapInArrow(count_pairs, "before bigint, word bigint, n0 bigint, n1 bigint"), "before", "word"), "pairs")
+    kinds = [F.count_if(F.col(c) > 0) for c in ("n0", "n1")]
+    left = pairs.groupBy("word").agg(F.count("*").alias("n"), *kinds).orderBy(F.desc("n"), "word").limit(MAX_WORDS).drop("n").toArrow()
+    after = pairs.groupBy("before").agg(F.count("*").alias("n"), F.sum("n0"), kinds[0].alias("k0"), F.sum("n1"), kinds[1].alias("k1"))
+    after = after.orderBy(F.desc("n"), "before").limit(MAX_WORDS).drop("n").toArrow()
+    strong = pairs.where(F.col("n0") + F.col("n1") >= PAIR_DOCS).orderBy(most_seen, "before", "word").limit(MAX_PAIRS).toArrow()
+    keys = pair_hash(*(strong.column(c).to_numpy().view(np.uint64) for c in ("before", "word")))
+    model = Model.fit(t.column("word").to_pylist(), classes(t), by_hash(left), by_hash(after), keys, classes(strong))
+    del t, left, after, strong, keys
     fit = _evidence(sample.where("part = 0").select("y", "text"), model).toArrow()
     y, x = fit.column("y").to_numpy(), np.array(fit.column("x").to_pylist())
     model.slopes, model.shift = _logistic(x, y) if len(set(y.tolist())) == 2 else ((0.0, 0.0, 0.0, 2.0, 0.0, 0.0), -6.0)
