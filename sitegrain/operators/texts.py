@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from sitegrain.operators.pages import strip_html
-from sitegrain.plans.dialect import Dialect, plan
+from sitegrain.plans.dialect import STORED, Dialect, Plan, plan
 
 #: Words that keyword counts leave out.
-STOP_WORDS = ("the", "and", "for", "that", "this", "with", "from", "are", "was", "der", "die", "und", "les", "des", "que", "los", "las", "una")
+STOP_WORDS = tuple(
+    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from "
+    "further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our "
+    "ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were "
+    "what when where which while who whom why will with would you your yours yourself yourselves".split()
+)
+#: A silent ending and a leading y that syllable counts drop, and what a syllable is.
+SILENT_ENDING, LEADING_Y, SYLLABLE = r"(?:[^laeiouy]es|ed|[^laeiouy]e)$", "^y", "[aeiouy]{1,2}"
 
 
 def _words(d: Dialect, text: str) -> str:
@@ -17,16 +24,18 @@ def _words(d: Dialect, text: str) -> str:
 
 @plan("fn03_norm_title", "documents")
 def fn03(d: Dialect) -> str:
-    return f"select doc_id, trim({d.repl('substring(text, 1, 80)', r'[ \t\n\r]+', ' ')}) as title, length(text) as n from documents".replace("length(text)", d.big("length(text)"))
+    """Whole texts trimmed, lower-cased and with white space collapsed."""
+    return f"select doc_id, lower(trim({d.repl('text', r'[ \t\n\r]+', ' ')})) as title from documents"
 
 
 @plan("fn05_shingles", "documents")
 def fn05(d: Dialect) -> str:
+    """Distinct five-word shingles and the least of them, inside the row: nothing is exploded or shuffled."""
     gram = " || ' ' || ".join(f"w[i + {k + (d.name == 'duckdb')}]" for k in range(5))
-    grams = d.map(d.seq("0", f"greatest({d.size('w')} - 5, 0)" if d.name == "spark" else f"greatest(len(w) - 5, 0)"), "i", gram)
-    return f"""with words as (select doc_id, {_words(d, 'text')} as w from documents), enough as (select * from words where {d.size('w')} >= 5),
-    grams as (select doc_id, {d.explode(d.distinct(grams))} as gram from enough)
-    select doc_id, count(*) as n_shingles, min(gram) as first_shingle from grams group by doc_id"""
+    grams = d.distinct(d.map(d.seq("0", f"{d.size('w')} - 5"), "i", gram))
+    least = "array_min(grams)" if d.name == "spark" else "list_min(grams)"
+    return f"""with words as (select doc_id, {d.once(_words(d, 'text'))} as w from documents), enough as (select * from words where {d.size('w')} >= 5),
+    sets as (select doc_id, {d.once(grams)} as grams from enough) select doc_id, {d.big(d.size('grams'))} as n_shingles, {least} as first_shingle from sets"""
 
 
 @plan("fn08_word_count", "documents")
@@ -34,21 +43,23 @@ def fn08(d: Dialect) -> str:
     return f"select doc_id, {d.big(d.size(d.filter(d.split('text', r'[ \t\n\r]+'), 'w', f'length(w) > 0')))} as words from documents"
 
 
+def _syllables(d: Dialect, words: str) -> str:
+    """Sum over an array of words: one for short words, else the vowel runs of one or two letters, at least one."""
+    word = d.repl(d.repl("w", SILENT_ENDING, ""), LEADING_Y, "")
+    each = d.map(words, "w", f"case when length(w) <= 3 then 1 else greatest(1, {d.size(d.all(word, SYLLABLE, 0))}) end")
+    return f"cast(aggregate({each}, 0, (a, n) -> a + n) as bigint)" if d.name == "spark" else f"cast(coalesce(list_sum({each}), 0) as bigint)"
+
+
 @plan("fn18_syllables", "documents")
 def fn18(d: Dialect) -> str:
-    """Vowel runs of one or two letters, after a silent ending and a leading y are dropped."""
-    word = d.repl(d.repl("w", r"(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-    return f"""with words as (select doc_id, {d.explode(_words(d, 'text'))} as w from documents)
-    select doc_id, count(*) as n_words, {d.big(f"sum(case when length(w) <= 3 then 1 else greatest(1, {d.size(d.all(word, '[aeiouy]{1,2}', 0))}) end)")} as syllables from words group by doc_id"""
+    return f"""with words as (select doc_id, {d.once(_words(d, 'text'))} as ws from documents)
+    select doc_id, {d.big(d.size('ws'))} as n_words, {_syllables(d, 'ws')} as syllables from words where {d.size('ws')} > 0"""
 
 
 @plan("fn19_flesch", "documents")
 def fn19(d: Dialect) -> str:
-    word = d.repl(d.repl("w", r"(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-    return f"""with parts as (select doc_id, greatest(1, {d.size(d.filter(d.split('text', '[.!?]+'), 's', 'length(trim(s)) > 0'))}) as sentences, {_words(d, 'text')} as ws from documents),
-    words as (select doc_id, sentences, {d.explode('ws')} as w from parts),
-    counts as (select doc_id, max(sentences) as sentences, cast(count(*) as double) as n,
-      cast(sum(case when length(w) <= 3 then 1 else greatest(1, {d.size(d.all(word, '[aeiouy]{1,2}', 0))}) end) as double) as syllables from words group by doc_id)
+    return f"""with parts as (select doc_id, greatest(1, {d.size(d.filter(d.split('text', '[.!?]+'), 's', 'length(trim(s)) > 0'))}) as sentences, {d.once(_words(d, 'text'))} as ws from documents),
+    counts as (select doc_id, sentences, cast({d.size('ws')} as double) as n, cast({_syllables(d, 'ws')} as double) as syllables from parts where {d.size('ws')} > 0)
     select doc_id, floor((206.835e0 - 1.015e0 * (n / sentences) - 84.6e0 * (syllables / n)) * 10 + 0.5e0) / 10 as reading_ease,
       floor((0.39e0 * (n / sentences) + 11.8e0 * (syllables / n) - 15.59e0) * 10 + 0.5e0) / 10 as grade from counts"""
 
@@ -69,27 +80,44 @@ def agg26(d: Dialect) -> str:
     select doc_id, term, n, {d.big('rn')} as rn, round(n * 100e0 / total, 4) as density from ranked where rn <= 10"""
 
 
-@plan("jon09_near_duplicate_titles", "pages")
-def jon09(d: Dialect) -> str:
-    """Pages whose word sets agree to 0.8 or more, found through their shared rare words (prefix filter), then verified."""
-    words = _words(d, "body_text")
+def page_shingles(d: Dialect) -> str:
+    """Sorted distinct five-word shingles, hashed, of every page of five words and more."""
+    gram = " || ' ' || ".join(f"w[i + {k + (d.name == 'duckdb')}]" for k in range(5))
+    grams = d.map(d.seq("0", f"{d.size('w')} - 5"), "i", d.hash(gram))
+    ordered = "array_sort" if d.name == "spark" else "list_sort"
     return f"""with texts as (select page_id, {strip_html(d, "coalesce(html, '')")} as body_text from pages),
-    sets as (select page_id, {d.distinct(words)} as w from texts), sized as (select page_id, w, {d.size('w')} as n from sets where {d.size('w')} > 0),
-    exploded as (select page_id, n, {d.explode('w')} as term from sized), freq as (select term, count(*) as df from exploded group by term),
-    ordered as (select e.page_id, e.n, e.term, row_number() over (partition by e.page_id order by f.df, e.term) as rn from exploded e join freq f on e.term = f.term),
-    prefix as (select page_id, term from ordered where rn <= n - ceil(0.8e0 * n) + 1),
-    candidates as (select distinct a.page_id as a, b.page_id as b from prefix a join prefix b on a.term = b.term and a.page_id < b.page_id)
-    select c.a as page_a, c.b as page_b, round({d.overlap('x.w', 'y.w')} / cast(x.n + y.n - {d.overlap('x.w', 'y.w')} as double), 6) as similarity
-    from candidates c join sized x on c.a = x.page_id join sized y on c.b = y.page_id
-    where {d.overlap('x.w', 'y.w')} >= 0.8e0 * (x.n + y.n - {d.overlap('x.w', 'y.w')})"""
+    words as (select page_id, {d.once(_words(d, "body_text"))} as w from texts) select page_id, {ordered}({d.distinct(grams)}) as g from words where {d.size('w')} >= 5"""
 
 
-@plan("win01_heading_jump", "conversations")
+STORED["page_shingles"] = Plan(page_shingles, ("pages",))
+
+
+@plan("jon09_near_duplicates", "pages")
+def jon09(d: Dialect) -> str:
+    """Pages whose five-word shingles agree to 0.8 or more: pairs of the representatives of equal sets, and every page's representative.
+
+    Found through shared rare shingles (prefix filter, exact), then verified; copies are never paired with each other.
+    """
+    sets = "{{page_shingles}}" if d.name == "spark" else f"({page_shingles(d)})"
+    return f"""with sets as (select * from {sets}),
+    keyed as (select page_id, g, {d.hash(d.join('g', ' '))} as k from sets), reps as (select k, min(page_id) as page_id from keyed group by k),
+    sized as (select r.page_id, s.g, {d.size('s.g')} as n from reps r join sets s on s.page_id = r.page_id),
+    exploded as (select page_id, n, {d.explode('g')} as term from sized), freq as (select term, count(*) as df from exploded group by term),
+    ordered as (select e.page_id, e.n, e.term, f.df, row_number() over (partition by e.page_id order by f.df, e.term) as rn from exploded e join freq f on e.term = f.term),
+    prefix as (select page_id, n, term from ordered where rn <= n - ceil(0.8e0 * n) + 1 and df > 1),
+    candidates as (select distinct a.page_id as a, b.page_id as b from prefix a join prefix b on a.term = b.term and a.page_id < b.page_id and least(a.n, b.n) >= 0.8e0 * greatest(a.n, b.n)),
+    verified as (select c.a, c.b, {d.overlap('x.g', 'y.g')} as common, x.n + y.n as both_n from candidates c join sized x on c.a = x.page_id join sized y on c.b = y.page_id)
+    select 'pair' as kind, a as page_a, b as page_b, round(common / cast(both_n - common as double), 6) as similarity from verified where common >= 0.8e0 * (both_n - common)
+    union all select 'member', r.page_id, s.page_id, 1e0 from keyed s join reps r on s.k = r.k"""
+
+
+@plan("win01_heading_jump", "pages")
 def win01(d: Dialect) -> str:
-    """Level against the next level in a sequence; the level is the text's length class."""
-    return f"""with levels as (select conv_id, turn, {d.big('length(text) % 4')} as level from conversations),
-    pairs as (select *, lead(level) over (partition by conv_id order by turn, level) as next_level from levels)
-    select conv_id, turn, level, next_level from pairs where next_level - level > 1"""
+    """Headings of a page, each against the next one: where a level is skipped."""
+    return f"""with heads as (select page_id, {d.all("coalesce(html, '')", r'(?is)<h([1-6])[\s>]')} as levels from pages),
+    numbered as (select page_id, {d.explode_at('levels', 'place', 'level_text')} from heads), levels as (select page_id, place, cast(level_text as int) as level from numbered),
+    pairs as (select page_id, place, level, lead(level) over (partition by page_id order by place) as next_level from levels)
+    select page_id, {d.big('place')} as place, level, next_level, coalesce(next_level - level > 1, false) as skipped from pairs"""
 
 
 @plan("win04_success_rate", "events")
@@ -112,7 +140,9 @@ def st10(d: Dialect) -> str:
 
 @plan("set04_new_fixed", "documents")
 def set04(d: Dialect) -> str:
-    return """with a as (select distinct substring(text, 1, 40) as k from documents where doc_id % 3 <> 0), b as (select distinct substring(text, 1, 40) as k from documents where doc_id % 3 <> 1)
+    """Whole texts by hash, of documents in English against all others: only in the one, only in the other, in both."""
+    side = lambda cond: f"select distinct {d.hash('text')} as k from documents where {cond}"
+    return f"""with a as ({side("lang = 'en'")}), b as ({side("lang <> 'en' or lang is null")})
     select k, 'new' as kind from (select k from b except select k from a) x union all select k, 'fixed' from (select k from a except select k from b) y
     union all select k, 'common' from (select k from a intersect select k from b) z"""
 

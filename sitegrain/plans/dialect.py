@@ -40,6 +40,10 @@ class Dialect:
     def big(self, x: str) -> str:
         return f"cast({x} as bigint)"
 
+    def once(self, x: str) -> str:
+        """``x`` as a column that later expressions read instead of repeating it, for arrays used inside lambdas."""
+        return x
+
 
 class SparkSql(Dialect):
     name = "spark"
@@ -47,6 +51,9 @@ class SparkSql(Dialect):
     def lit(self, pattern: str) -> str:
         return f"r'{pattern}'"
 
+    def once(self, x: str) -> str:
+        return f"if(monotonically_increasing_id() >= 0, {x}, null)"  # the optimizer doesn't inline what depends on the row's number
+
     def has(self, col: str, pattern: str) -> str:
         return f"({col} rlike {self.lit(pattern)})"
 

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.plans.stored import shared_dir
+
 #: Fixed values of the additive-increase controller: window, least success rate, back-off, bounds.
 WINDOW, SUCCESS, BACKOFF, LOWEST, HIGHEST = 20, 0.9, 0.5, 1, 10
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what its sink holds (tests and bounded backfills)."""
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over all that is there into Parquet files and returns them; a complete result replaces the files of the batch before."""
+    spark = stream.sparkSession
+    folder = shared_dir(spark)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{folder}/out").start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
