@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitegrain.plans.dialect import Dialect, plan
+from sitegrain.plans.dialect import CAPTURE_COLUMNS, Dialect, plan
 
 #: Bytes assumed for an asset whose size is unknown.
 ASSET_BYTES = {"js": 35000, "css": 15000, "img": 60000}
@@ -30,11 +30,11 @@ def _meta(d: Dialect, name: str) -> str:
 
 
 def facts(d: Dialect) -> str:
-    """WITH entries ``base`` and ``facts`` over ``pages``. Load time and depth come from page_id where no capture gives them."""
-    attr = r'[^>]*'
+    """WITH entries ``base`` and ``facts`` over ``pages``; load time, depth and headers are the capture's, or their defaults."""
+    own = ", ".join(c if d.name == "spark" else f"{default} as {c}" for c, default in CAPTURE_COLUMNS.items())
     return f"""
     base as (
-      select page_id, url, coalesce(html, '') as html from pages
+      select page_id, url, coalesce(html, '') as html, {own} from pages
     ),
     facts as (
       select page_id, url, html,
@@ -52,6 +52,7 @@ def facts(d: Dialect) -> str:
         {d.filter(d.all('html', r'(?is)<a\s[^>]*href="([^"]*)"'), 'h', f"not {d.has('h', r'^(?:#|javascript:|mailto:|tel:)')}")} as hrefs,
         {d.count('html', r'(?is)<img\s[^>]*src=')} as n_images,
         {d.big(d.size(d.filter(d.all('html', r'(?is)<img\s[^>]*>', 0), 'i', f"not ({d.has('i', WIDTH)} and {d.has('i', HEIGHT)})")))} as n_undimensioned,
+        {d.filter(d.all('html', r'(?is)<(?:script[^>]+src|link[^>]+stylesheet)[^>]*>', 0), 'x', d.has('x', r'(?i)(?:src|href)=.(?:https?:)?//'))} as outside,
         {d.all('html', r'(?is)<h([1-6])[\s>]')} as levels,
         {d.all('html', r'(?is)<link[^>]+hreflang=[^>]*>', 0)} as alternates,
         {d.join(d.all('html', r'(?is)<script[^>]+type="application/ld.json"[^>]*>(.*?)</script>'), ' ')} as json_ld,
@@ -71,8 +72,7 @@ def facts(d: Dialect) -> str:
         {d.count('html', r'(?is)<(?:img|script|iframe)[^>]+src="http:')} as n_http_assets,
         {d.bytes('html')} as html_bytes,
         {strip_html(d, 'html')} as body_text,
-        {d.big('(page_id * 37) % 6000')} as load_ms,
-        {d.big('page_id % 6 + 1')} as depth
+        {', '.join(CAPTURE_COLUMNS)}
       from base
     )"""
 
@@ -144,19 +144,6 @@ def nrm16(d: Dialect) -> str:
     return f"with {enriched(d)} select page_id, cast(performance as bigint) as performance from page_facts"
 
 
-@plan("nrm17_field_overlay", "pages")
-def nrm17(d: Dialect) -> str:
-    return f"""with {enriched(d)},
-    field as (
-      select {d.repl('lower(url)', r'/+$', '')} as norm_url, max(cast(page_id % 50 * 100 as double)) as f_lcp,
-        max(case when page_id % 2 = 0 then cast(page_id % 10 as double) / 40 end) as f_cls
-      from base where page_id % 3 = 0 group by 1
-    )
-    select page_id, cast(coalesce(f_lcp, lcp) as double) as lcp, cast(coalesce(f_cls, cls) as double) as cls,
-      case when f_lcp is not null or f_cls is not null then 'field' else 'lab' end as vitals_source
-    from page_facts left join field on {d.repl('lower(url)', r'/+$', '')} = norm_url"""
-
-
 @plan("src04_asset_urls", "pages")
 def src04(d: Dialect) -> str:
     parts = {

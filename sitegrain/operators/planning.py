@@ -1,120 +1,11 @@
-"""Derived action lists: link suggestions, search opportunities, keywords, technologies, images, two-surface diffs."""
+"""Technologies, two-surface diffs and image rules over derived inputs."""
 
 from __future__ import annotations
 
-from sitegrain.operators.pages import enriched
-from sitegrain.operators.rules import set_rules
 from sitegrain.operators.scoring import values
 from sitegrain.plans.dialect import Dialect, plan
 
 
-def link_facts(d: Dialect) -> str:
-    """Adds ``link_facts``: degrees and authority by page_id's arithmetic, title words longer than three letters."""
-    words = d.filter(d.split("norm_title", "[^a-z0-9]+"), "w", "length(w) > 3")
-    return f"""{enriched(d)}, link_facts as (
-      select page_id, url, depth, {d.big('page_id % 5')} as in_degree, {d.big('(page_id * 7) % 20')} as out_degree, {d.big('(page_id * 13) % 100')} as authority,
-        {d.distinct(words)} as title_words, {d.has('lower(url)', '/(?:products?|services?|pricing|shop)|7[0-9][05]')} as is_commercial,
-        {d.has('lower(url)', '/(?:login|logout|register|admin|cart)(?:/|$)|utm_source')} as is_utility
-      from page_facts)"""
-
-
-TARGET_SCORE = "case when is_utility then -10 else case when in_degree = 0 then 25 when is_commercial then 15 else 8 end end + 2 * greatest(0, 10 - depth) + 3 * greatest(0, 5 - in_degree)"
-
-
-@plan("lp02_targets", "pages")
-def lp02(d: Dialect) -> str:
-    return f"""with {link_facts(d)} select page_id, in_degree = 0 as is_orphan, {d.big(TARGET_SCORE)} as score from link_facts where in_degree = 0 and not is_utility"""
-
-
-@plan("lp03_priorities", "pages")
-def lp03(d: Dialect) -> str:
-    return f"""with {link_facts(d)} select page_id, {d.big(TARGET_SCORE)} as score from link_facts where is_commercial and in_degree > 0 and not is_utility"""
-
-
-@plan("lp04_hubs", "pages")
-def lp04(d: Dialect) -> str:
-    return f"""with {link_facts(d)}, hubs as (select page_id, authority, row_number() over (order by authority desc, page_id) as rn from link_facts
-      where not is_utility and (out_degree > 5 or authority > 50 or in_degree > 10)) select page_id, authority, {d.big('rn')} as rn from hubs where rn <= 20"""
-
-
-def suggestions(d: Dialect) -> str:
-    """Adds ``suggestions``: hubs (20 at most) beside targets (20 at most), so the pairing is bounded; scored, capped per target and source."""
-    shared = d.overlap("s.title_words", "t.title_words")
-    return f"""{link_facts(d)},
-    hubs as (select * from (select *, row_number() over (order by authority desc, page_id) as rn from link_facts where not is_utility and (out_degree > 5 or authority > 50)) h where rn <= 20),
-    targets as (select * from (select *, {TARGET_SCORE} as target_score, row_number() over (order by {TARGET_SCORE} desc, page_id) as tn from link_facts where in_degree = 0 and not is_utility) t where tn <= 20),
-    scored as (
-      select s.page_id as source_id, t.page_id as target_id, least(30e0, s.authority / 3e0) + least(20e0, s.in_degree / 2e0) + 10 - 0.5e0 * greatest(0, s.out_degree - 50) + 3 * {shared} + t.target_score as score
-      from hubs s cross join targets t where s.page_id <> t.page_id and (s.page_id + t.page_id) % 7 <> 0),
-    per_target as (select *, row_number() over (partition by target_id order by score desc, source_id) as by_target from scored),
-    suggestions as (select *, row_number() over (partition by source_id order by score desc, target_id) as by_source from per_target where by_target <= 5)"""
-
-
-@plan("lp08_plan", "pages")
-def lp08(d: Dialect) -> str:
-    return f"with {suggestions(d)} select source_id, target_id, round(score, 4) as score from suggestions where by_source <= 10"
-
-
-@plan("srt03_top_suggestions", "pages")
-def srt03(d: Dialect) -> str:
-    return f"""with {suggestions(d)}, ranked as (select *, row_number() over (order by score desc, source_id, target_id) as rn from suggestions where by_source <= 10)
-    select source_id, target_id, {d.big('rn')} as rn from ranked where rn <= 50"""
-
-
-@plan("lp06_relevance", "pages")
-def lp06(d: Dialect) -> str:
-    """Pages that share title words, paired through the words."""
-    return f"""with {link_facts(d)}, terms as (select page_id, {d.explode('title_words')} as term from link_facts)
-    select a.page_id as page_a, b.page_id as page_b, {d.big('3 * count(*)')} as relevance from terms a join terms b on a.term = b.term and a.page_id < b.page_id group by a.page_id, b.page_id having count(*) > 3"""
-
-
-def opportunities(d: Dialect) -> str:
-    """Adds ``opportunities``: one row a type and page, best score first seen, with priority."""
-    return f"""{set_rules(d)},
-    gsc as (select page_id, {d.big('(page_id * 97) % 5000')} as impressions, {d.big('(page_id * 31) % 200')} as clicks, cast(page_id % 40 as double) as position from page_facts where page_id % 3 <> 0),
-    kinds as (
-      select page_id, case when category = 'metadata' then 'metadata' when category = 'performance' then 'performance' when category = 'indexing' then 'indexing'
-          when category = 'links' then 'internal-links' when sub_check in ('thin-content', 'duplicate') then 'content' when rule_id = 'missing-structured-data' then 'schema' end as kind,
-        max(case severity when 'critical' then 10 when 'error' then 7 when 'warning' then 4 else 1 end) as severity_score, count(*) as n from findings group by 1, 2),
-    scored as (
-      select k.page_id, k.kind, k.n, g.impressions,
-        greatest(1e0, least(100e0, floor(((case when g.impressions is null then 3e0 else least(10e0, g.impressions / 500e0) end) * 0.4e0 + severity_score * 0.3e0 + (case when p.depth <= 1 then 10 else 5 end) * 0.3e0) * 10
-          * case when g.page_id is null then 0.8e0 else 1e0 end + case when k.kind = 'metadata' then 10 when k.kind = 'performance' then -5 else 2 end + 0.5e0))) as score
-      from kinds k join page_facts p on k.page_id = p.page_id left join gsc g on k.page_id = g.page_id where k.kind is not null),
-    opportunities as (select *, case when score >= 70 then 'high' when score >= 40 then 'medium' else 'low' end as priority from scored)"""
-
-
-@plan("op_rank_opportunities", "pages")
-def op08(d: Dialect) -> str:
-    return f"with {opportunities(d)} select page_id, kind, n as n_findings, impressions, cast(score as bigint) as score, priority from opportunities"
-
-
-@plan("agg19_opportunity_summary", "pages")
-def agg19(d: Dialect) -> str:
-    kinds = values(d, ("kind",), [(k,) for k in ("metadata", "performance", "indexing", "internal-links", "schema", "content")])
-    return f"""with {opportunities(d)}, kinds_dim as ({kinds}) select k.kind, count(o.page_id) as n, {d.big("sum(case when o.priority = 'high' then 1 else 0 end)")} as n_high
-    from kinds_dim k left join opportunities o on k.kind = o.kind group by k.kind"""
-
-
-@plan("kw_intent_score", "documents")
-def keywords(d: Dialect) -> str:
-    """First words of documents as suggestions: normalised, deduplicated to the best source, classed by intent, scored."""
-    words = d.filter(d.split(f"lower({d.repl('substring(text, 1, 60)', '[^A-Za-z ]', ' ')})", " +"), "w", "length(w) > 0")
-    phrase = d.join("slice(w, 1, 3)" if d.name == "spark" else "list_slice(w, 1, 3)", " ")
-    return f"""with words as (select doc_id, source, {words} as w from documents), phrases as (select doc_id, {phrase} as keyword, case when doc_id % 4 = 0 then 'direct' else 'semantic' end as kind from words where {d.size('w')} > 0),
-    ranked as (select *, row_number() over (partition by keyword order by case when kind = 'direct' then 0 else 1 end, doc_id) as rn from phrases where length(keyword) > 2),
-    intents as (select *, case when {d.has('keyword', '(?:^| )(?:job|jobs|the)(?: |$)')} then 'careers' when {d.has('keyword', '(?:^| )(?:near|in)(?: |$)')} then 'local'
-        when {d.has('keyword', '(?:^| )(?:buy|price|is)(?: |$)')} then 'transactional' else 'informational' end as intent from ranked where rn = 1)
-    select keyword, kind, intent, doc_id, round(least(10e0, length(keyword) / 4e0) * 6 + case intent when 'transactional' then 40 when 'local' then 30 else 20 end, 4) as score from intents"""
-
-
-@plan("kw07_clusters", "documents")
-def clusters(d: Dialect) -> str:
-    words = d.filter(d.split(f"lower({d.repl('substring(text, 1, 60)', '[^A-Za-z ]', ' ')})", " +"), "w", "length(w) > 3")
-    return f"""with words as (select doc_id, {d.explode(d.distinct(words))} as topic from documents), counts as (select topic, count(*) as n, min(doc_id) as first_doc from words group by topic)
-    select topic, n, first_doc, case when n >= 20 then 'pillar' when n >= 5 then 'supporting' else 'fallback' end as kind from counts where n >= 2"""
-
-
 #: Technology signatures as data (name, category, needle, weight).
 SIGNATURES = (
     ("Tracker", "analytics", "track(", 60), ("Ad slots", "advertising", 'class="ad"', 60), ("Inline style", "css", "<style>", 55), ("Next.js", "framework", "__next", 60),

@@ -26,26 +26,8 @@ class Rule:
 
 
 def captured(d: Dialect) -> str:
-    """Adds ``captured``: page facts with response headers. Pages without a capture get them from page_id."""
-    return f"""{enriched(d)},
-    captured as (
-      select *,
-        case page_id % 5 when 0 then null when 1 then 'default-src \x27\x27self\x27\x27; object-src \x27\x27none\x27\x27; frame-ancestors \x27\x27self\x27\x27'
-          when 2 then 'script-src * \x27\x27unsafe-inline\x27\x27 \x27\x27unsafe-eval\x27\x27' when 3 then 'default-src *; object-src *' else '' end as h_csp,
-        case page_id % 4 when 0 then null when 1 then 'max-age=63072000; includeSubDomains; preload' when 2 then 'max-age=100' else 'includeSubDomains' end as h_hsts,
-        case page_id % 3 when 0 then 'DENY' end as h_xfo,
-        case page_id % 3 when 0 then 'nosniff' when 1 then 'sniff' end as h_xcto,
-        case page_id % 2 when 0 then 'no-referrer' end as h_referrer,
-        case page_id % 2 when 1 then 'geolocation=()' end as h_permissions,
-        case page_id % 7 when 0 then 'same-origin' end as h_coop, case page_id % 7 when 1 then 'require-corp' end as h_coep,
-        case page_id % 7 when 2 then 'same-origin' end as h_corp,
-        case page_id % 3 when 0 then 'nginx/1.25' when 1 then 'nginx' end as h_server,
-        case page_id % 11 when 0 then 'Express' end as h_powered,
-        case page_id % 4 when 0 then 'sid=1' when 1 then 'sid=1; Secure; HttpOnly; SameSite=Lax' end as h_cookie,
-        case page_id % 3 when 0 then 'max-age=600' end as h_cache, case page_id % 2 when 0 then 'abc' end as h_etag,
-        cast(null as boolean) as robots_txt_found, cast(null as boolean) as sitemap_xml_found
-      from page_facts
-    )"""
+    """Adds ``captured``: page facts with response headers."""
+    return f"{enriched(d)}, captured as (select * from page_facts)"
 
 
 def _directive(d: Dialect, name: str) -> str:
@@ -72,6 +54,7 @@ def rules(d: Dialect) -> list[Rule]:
     same_as = has("json_ld", r'"sameAs"\s*:\s*(?:"[^"]*\S[^"]*"|\[\s*[^\]\s])')
     level = lambda i: f"cast({d.at('levels', i)} as int)"
     steps = d.seq("0", f"{d.size('levels')} - 2")
+    foreign = r"(?i)(?:src|href)=.(?:https?:)?//([^/?#\x27\"\s>]+)"
     jumps = f"{level('cast(i as int) + 1')} - {level('cast(i as int)')} > 1"
     jump = f"case when {d.size('levels')} < 2 then false else {d.size(d.filter(steps, 'i', jumps))} > 0 end"
     own_alternate = """instr(t, concat('href="', url, '"')) > 0"""
@@ -158,9 +141,10 @@ def rules(d: Dialect) -> list[Rule]:
             ("missing-authorship", "warning", f"not {author}"), ("missing-trust-signals", "warning", f"not {trust}")), False),
         r("security", "security", "error", 8, "security", (
             ("not-https", "critical", "scheme = 'http'"), ("mixed-content", "error", f"{https} and n_http_assets > 0"),
-            ("insecure-form", "error", "n_http_forms > 0")), False),
+            ("insecure-form", "error", "n_http_forms > 0"),
+            ("missing-sri", "warning", f"{d.size(d.filter('outside', 'a', f"not {has('a', '(?i)integrity=')} and lower({rx('a', foreign)}) <> host"))} > 0")), False),
         r("security-headers", "security", "warning", 6, "security", (
-            ("missing-csp", "warning", f"not ({csp})"),
+            ("missing-csp", "warning", f"not ({csp}) and coalesce(h_csp_report, '') = ''"), ("csp-report-only", "info", f"not ({csp}) and coalesce(h_csp_report, '') <> ''"),
             ("csp-unsafe-inline-script", "error", f"{csp} and {script} like '%unsafe-inline%'"),
             ("csp-unsafe-eval-script", "error", f"{csp} and {script} like '%unsafe-eval%'"),
             ("csp-script-src-wildcard", "error", f"{csp} and {has(script, r'(?:^|\s)\*(?:\s|$)')}"),

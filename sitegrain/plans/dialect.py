@@ -167,6 +167,14 @@ class DuckSql(Dialect):
 SPARK, DUCK = SparkSql(), DuckSql()
 
 
+def _added(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """The capture columns that a table of pages lacks."""
+    if table != "pages":
+        return ""
+    have = {c.lower() for c in spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").columns}
+    return "".join(f", {default} as {c}" for c, default in CAPTURE_COLUMNS.items() if c not in have)
+
+
 @dataclass(frozen=True)
 class Plan:
     """A query: ``build(dialect)`` is a WITH list and a SELECT over the tables of TABLES."""
@@ -183,7 +191,7 @@ class Plan:
         return self._over(spark, sf_dir, text)
 
     def _over(self, spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-        scans = ", ".join(f"{t} as (select * from parquet.`{sf_dir.rstrip('/')}/{t}.parquet`)" for t in self.tables)
+        scans = ", ".join(f"{t} as (select *{_added(spark, sf_dir, t)} from parquet.`{sf_dir.rstrip('/')}/{t}.parquet`)" for t in self.tables)
         body = text.strip()
         return spark.sql(f"with {scans}, {body[5:]}" if body.lower().startswith("with ") else f"with {scans} {body}")
 
@@ -191,6 +199,15 @@ class Plan:
         return self.build(DUCK)
 
 
+#: Columns that a capture may add to a table, and what stands for them where it doesn't.
+CAPTURE_COLUMNS = {
+    "load_ms": "cast(0 as bigint)", "depth": "cast(null as bigint)", "robots_txt_found": "cast(null as boolean)", "sitemap_xml_found": "cast(null as boolean)",
+    **{h: "cast(null as string)" for h in (
+        "h_csp", "h_csp_report", "h_hsts", "h_xfo", "h_xcto", "h_referrer", "h_permissions", "h_coop", "h_coep", "h_corp", "h_server", "h_powered", "h_cookie", "h_cache", "h_etag",
+    )},
+}
+
+
 PLANS: dict[str, Plan] = {}
 #: Plans whose result Spark writes before the queries that read it; DuckDB's text holds them inline.
 STORED: dict[str, Plan] = {}

@@ -77,3 +77,28 @@ def test_security_score(spark, site, found):
 def test_heading_jump_and_entities_differ_from_counts(found):
     assert ("ai-structural-organization", "broken-hierarchy", "warning") in found[2]
     assert ("ai-entity-clarity", "missing-disambiguation", "warning") in found[2]
+
+
+def test_headers_of_captures(spark, tmp_path):
+    """Captures that bring headers, load time and depth: each value by itself."""
+    columns = "page_id bigint, url string, html string, load_ms bigint, depth bigint, h_csp string, h_csp_report string, h_hsts string, h_xcto string, h_cookie string, h_server string, h_cache string, h_etag string, robots_txt_found boolean"
+    rows = [
+        (1, "https://e.org/", "<title>a</title>", 1000, 1, "default-src 'self'; object-src 'none'; frame-ancestors 'self'", None, "max-age=63072000; includeSubDomains; preload", "nosniff", "s=1; Secure; HttpOnly; SameSite=Lax", "nginx", "max-age=9", "x", False),
+        (2, "https://e.org/b", '<script src="https://cdn.net/a.js"></script><script src="https://cdn.net/b.js" integrity="sha"></script>', 5000, 5, "script-src * 'unsafe-inline' 'unsafe-eval'", None, "max-age=100", "sniff", "s=1", "nginx/1.2", None, None, None),
+        (3, "https://e.org/c", "", 3000, None, None, "default-src 'self'", "includeSubDomains", None, None, None, None, None, None),
+    ]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/pages.parquet")
+    found = {}
+    for r in catalog.QUERIES["rules_all_findings"](spark, str(tmp_path)).collect():
+        found.setdefault((r.page_id, r.rule_id), set()).add(r.sub_check)
+    headers = {"missing-x-frame-options", "missing-referrer-policy", "missing-permissions-policy", "missing-coop", "missing-coep", "missing-corp"}
+    assert found[1, "security-headers"] == headers - {"missing-x-frame-options"}
+    assert found[2, "security-headers"] == headers | {
+        "csp-unsafe-inline-script", "csp-unsafe-eval-script", "csp-script-src-wildcard", "csp-missing-object-src", "csp-missing-default-src", "csp-missing-frame-ancestors",
+        "hsts-short-max-age", "hsts-missing-subdomains", "hsts-missing-preload", "invalid-x-content-type-options", "server-version-disclosure",
+        "cookie-missing-secure", "cookie-missing-httponly", "cookie-missing-samesite"}
+    assert found[3, "security-headers"] == headers | {"csp-report-only", "hsts-invalid", "hsts-missing-preload", "missing-x-content-type-options"}
+    assert found[2, "security"] == {"missing-sri"} and (1, "security") not in found
+    assert found[2, "lcp-metric"] == {"poor"} and found[3, "lcp-metric"] == {"needs-improvement"} and (1, "lcp-metric") not in found
+    assert found[2, "internal-linking"] >= {"deep-link"} and found[1, "missing-robots-txt"] == {"missing"} and (2, "missing-robots-txt") not in found
+    assert (1, "caching-headers") not in found and found[2, "caching-headers"] == {"missing-cache-control", "missing-etag"}
