@@ -43,14 +43,19 @@ def resident(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Drops the worker's resident model and gives the memory back to the system where that is possible."""
+    """Drops the worker's resident model."""
     if _resident:
         _resident.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system where that is possible."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import CACHE_ENTRIES, Grams, KneserNeyOrder, find, spelling_orders, word_hash, words_of
-from .common import bucket_of, columns, materialise, resident, table, text_batches
+from .common import bucket_of, columns, materialise, resident, table, text_batches, trim
 
 MAX_DOCS = 5_000
 MAX_PAIRS, MAX_WORDS = 500_000, 400_000
@@ -83,15 +83,20 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @staticmethod
-    def fit(words: list[str], by_class: np.ndarray, left: dict, after: dict, pairs: np.ndarray, counts: np.ndarray) -> Model:
-        """words with their documents by class, for the spelling; left and after: rows by word hash (START too); pairs: hashes, with counts."""
-        hashed = np.sort(np.array(list(left), np.uint64))
+    def fit(words: list[str], by_class: np.ndarray, left: np.ndarray, after: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> Model:
+        """words with their documents by class, for the spelling; left and after: a word's hash and its numbers a row (START too); pairs: hashes, with counts."""
+        left = left[np.argsort(left[:, 0].view(np.uint64))]
+        after = after[np.argsort(after[:, 0].view(np.uint64))]
+        hashed, contexts = (np.ascontiguousarray(x[:, 0]).view(np.uint64) for x in (left, after))
+        at, there = find(contexts, hashed)
+        given = np.where(there[:, None], after[at, 1:] if len(after) else 0, 0).astype(np.float32).reshape(len(hashed), 4)
+        first = after[contexts == START, 1:]
+        opening = first[0].astype(np.float64) if len(first) else np.zeros(4)
         order = np.argsort(pairs)
+        alphabet = len(set().union(*words)) + 2
         shared = spelling_orders(words, SHARED + 1)[:SHARED]
         own = [spelling_orders([w for w, n in zip(words, by_class[:, y]) if n], ORDER)[SHARED:] for y in (0, 1)]
-        rows = lambda table, none: np.array([table.get(h, none) for h in hashed.tolist()], np.float32).reshape(len(hashed), len(none))
-        opening = np.array(after.get(int(START), (0, 0, 0, 0)), np.float64)
-        return Model(hashed, rows(left, (0, 0)), rows(after, (0, 0, 0, 0)), opening, pairs[order], counts[order].astype(np.float32), shared, own, len(set().union(*words)) + 2)
+        return Model(hashed, left[:, 1:].astype(np.float32), given, opening, pairs[order], counts[order].astype(np.float32), shared, own, alphabet)
 
     def spelled(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word's characters, by class."""
@@ -261,9 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out_too: bool = False, max_do
     def total(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    def by_hash(table: pa.Table) -> dict:
-        key, *values = (c.to_numpy() for c in table.columns)
-        return dict(zip(key.view(np.uint64).tolist(), np.column_stack(values).tolist()))
+    def rows(table: pa.Table) -> np.ndarray:
+        return np.column_stack([c.to_numpy() for c in table.columns])
 
     counted = sample.where("part > 0").select("text", "y")
     most_seen = (F.col("n0") + F.col("n1")).desc()
@@ -279,12 +283,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out_too: bool = False, max_do
     after = after.orderBy(F.desc("n"), "before").limit(MAX_WORDS).drop("n").toArrow()
     strong = pairs.where(F.col("n0") + F.col("n1") >= PAIR_DOCS).orderBy(most_seen, "before", "word").limit(MAX_PAIRS).toArrow()
     keys = pair_hash(*(strong.column(c).to_numpy().view(np.uint64) for c in ("before", "word")))
-    model = Model.fit(t.column("word").to_pylist(), classes(t), by_hash(left), by_hash(after), keys, classes(strong))
+    model = Model.fit(t.column("word").to_pylist(), classes(t), rows(left), rows(after), keys, classes(strong))
     del t, left, after, strong, keys
+    trim()
     fit = _evidence(sample.where("part = 0").select("y", "text"), model).toArrow()
     y, x = fit.column("y").to_numpy(), np.array(fit.column("x").to_pylist())
     model.slopes, model.shift = _logistic(x, y) if len(set(y.tolist())) == 2 else ((0.0, 0.0, 0.0, 2.0, 0.0, 0.0), -6.0)
     model.key = uuid.uuid4().hex  # workers keep the uncalibrated model under the old one
+    trim()
     return model
 
 

@@ -452,8 +452,9 @@ def test_kneser_ney_brute_force(monkeypatch):
     names = sorted({w for w, _ in words})
     h = dict(zip(names, toxicity.word_hash(names).tolist())) | {"^": int(toxicity.START)}
     found = sorted({(a, b) for a, b, _ in pairs})
-    left = {h[w]: [len({a for a, x, z in pairs if x == w and z == y}) for y in (0, 1)] for w in names}
-    after = {h[a]: [v for y in (0, 1) for own in ([n for (x, _, z), n in pairs.items() if x == a and z == y],) for v in (sum(own), len(own))] for a in h}
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    left = np.array([[signed(h[w]), *(len({a for a, x, z in pairs if x == w and z == y}) for y in (0, 1))] for w in names])
+    after = np.array([[signed(h[a]), *(v for y in (0, 1) for own in ([n for (x, _, z), n in pairs.items() if x == a and z == y],) for v in (sum(own), len(own)))] for a in h])
     keys = toxicity.pair_hash(*(np.array([h[p[i]] for p in found], np.uint64) for i in (0, 1)))
     by_class = np.array([[words[w, y] for y in (0, 1)] for w in names], float)
     model = toxicity.Model.fit(names, by_class, left, after, keys, np.array([[pairs[*p, y] for y in (0, 1)] for p in found], float))
