@@ -40,6 +40,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,12 +140,13 @@ class WaveletMatrix:
 
     @staticmethod
     def pack(tokens: np.ndarray, levels: int = LEVELS) -> tuple[list[bytes], list[int]]:
-        planes, zeros, now = [], [], tokens
+        planes, zeros, now = [], [], pa.array(tokens)
         for level in range(levels - 1, -1, -1):
-            one = (now >> level & 1).astype(bool)
+            one = (now.to_numpy() & tokens.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(one, bitorder="little").tobytes())
-            zeros.append(int(len(one) - one.sum()))
-            now = np.concatenate([now[~one], now[one]])
+            mask = pa.BooleanArray.from_buffers(pa.bool_(), len(one), [None, pa.py_buffer(planes[-1])])
+            zeros.append(len(one) - mask.true_count)
+            now = pa.concat_arrays([now.filter(pc.invert(mask)), now.filter(mask)])
         return planes, zeros
 
     def access(self, i: int) -> int:
