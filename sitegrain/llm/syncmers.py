@@ -32,6 +32,7 @@ any name don't matter.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +44,7 @@ K = 5
 SKETCH = 64
 SEGMENTS = 1024
 BUCKET_ROWS = 1_500
+CELL = 32  # segment bounds that one step of the lookup compares
 
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _TOKEN = rf"[{_ALONE}]|[^ \t\n\x0B\f\r{_ALONE}]{{1,32}}"
@@ -121,7 +123,7 @@ def _bucketed(docs: DataFrame) -> DataFrame:
     at = [i / SEGMENTS for i in range(1, SEGMENTS)]
     n, low, high, cuts = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", at, 10_000)).first()
     if low is None:
-        return docs.withColumn("_segment", F.lit(0)).withColumn("_bucket", F.floor(_order_key() * max(1, n // BUCKET_ROWS)).cast("bigint"))
+        return docs.withColumn("_segment", F.lit(0).cast("int")).withColumn("_bucket", F.floor(_order_key() * max(1, n // BUCKET_ROWS)).cast("bigint"))
     share = n / SEGMENTS / BUCKET_ROWS  # buckets a segment
     subs = max(1, -(-n // (SEGMENTS * BUCKET_ROWS)))
     times = Counter(cuts)
@@ -132,18 +134,18 @@ def _bucketed(docs: DataFrame) -> DataFrame:
             if c < 2**63 - 1:
                 starts.setdefault(c + 1, subs)
     bounds = sorted(starts)
-    about = F.array(*(
-        F.struct(F.lit(x).cast("bigint").alias("at"), F.lit(float(max(1, y - x))).alias("span"), F.lit(starts[x]).alias("subs"), F.lit(times[x] > 1).alias("alone"))
-        for x, y in zip(bounds, [*bounds[1:], high + 1])
-    ))
-    edges = F.array(*(F.lit(x).cast("bigint") for x in bounds))
-    # how many bounds are not above the id, by binary search
-    step, df = 1 << len(bounds).bit_length(), docs.withColumn("_segment", F.lit(0))
-    while step := step >> 1:
-        further = F.get(edges, F.col("_segment") + F.lit(step - 1)) <= F.col("doc_id")
-        df = df.withColumn("_segment", F.when(F.coalesce(further, F.lit(False)), F.col("_segment") + F.lit(step)).otherwise(F.col("_segment")))
-    own = F.get(about, F.greatest(F.col("_segment") - 1, F.lit(0)))
-    unnamed = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(1.0).alias("span"), F.lit(max(1, n // BUCKET_ROWS)).alias("subs"), F.lit(True).alias("alone"))
+    about = [
+        {"at": x, "span": float(max(1, y - x)), "subs": starts[x], "alone": times[x] > 1} for x, y in zip(bounds, [*bounds[1:], high + 1])
+    ]
+    # literals as JSON, which the optimizer folds once; an id's segment is the number of bounds not above it, found in two steps
+    cells = [bounds[i : i + CELL] for i in range(0, len(bounds), CELL)]
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), f"array<{kind}>")
+    below = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+    df = docs.withColumn("_cell", F.coalesce(below(literal([c[0] for c in cells], "bigint")), F.lit(0)))
+    inside = F.coalesce(below(F.get(literal(cells, "array<bigint>"), F.greatest(F.col("_cell") - 1, F.lit(0)))), F.lit(0))
+    df = df.withColumn("_segment", F.when(F.col("_cell") > 0, (F.col("_cell") - 1) * CELL + inside).otherwise(0)).drop("_cell")
+    own = F.get(literal(about, "struct<at:bigint,span:double,subs:bigint,alone:boolean>"), F.greatest(F.col("_segment") - 1, F.lit(0)))
+    unnamed = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(1.0).alias("span"), F.lit(max(1, n // BUCKET_ROWS)).cast("bigint").alias("subs"), F.lit(True).alias("alone"))
     df = df.withColumn("_own", F.when(F.col("doc_id").isNull(), unnamed).otherwise(own))
     part = F.when(F.col("_own.alone"), _order_key()).otherwise((F.col("doc_id").cast("double") - F.col("_own.at").cast("double")) / F.col("_own.span"))
     sub = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)) * F.col("_own.subs"))
