@@ -108,7 +108,7 @@ def kw07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src01_captures": src01, "nrm05_dom_links": nrm05_dom_links, "an03_trust_pillars": an03, "an04_citation_readiness": an04, "an05_alternates": an05,
-    "agg21_schema_coverage": agg21, "lp02_targets": lp02, "lp08_link_plan": lp08, "op08_opportunities": op08, "agg19_opportunity_summary": agg19,
+    "agg21_schema_coverage": agg21, "lp02_targets": lp02, "lp08_link_plan": lp08, "opp08_opportunities": op08, "agg19_opportunity_summary": agg19,
     "kw05_scored": kw05, "kw07_clusters": kw07,
 }
 
