@@ -10,6 +10,7 @@ from .langid import op9_langid
 from .packing import op3_packing
 from .pieces import op2_pieces
 from .quality import op6_quality
+from .runs import op11_runs
 from .sharding import op4_sharding
 from .simhash import op1_simhash
 from .syncmers import op8_syncmers
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_syncmers": op8_syncmers,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
+    "op11_runs": op11_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {}
