@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, overlaps
 from .langid import op9_langid
+from .mixing import op13_mixing
+from .overlaps import op12_overlaps
 from .packing import op3_packing
 from .pieces import op2_pieces
 from .quality import op6_quality
@@ -30,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
     "op11_runs": op11_runs,
+    "op12_overlaps": op12_overlaps,
+    "op13_mixing": op13_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_overlaps": overlaps.ORACLE, "op13_mixing": mixing.ORACLE}

@@ -33,7 +33,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,7 @@ def runs_of_texts(texts: list[list], least: int = LEAST, times: int = TIMES) ->
     number: defaultdict = defaultdict()
     number.default_factory = number.__len__
     sizes = np.array([len(t) for t in texts], np.int64)
-    ids = np.fromiter((i for t in texts for i in map(number.__getitem__, t)), np.int64, int(sizes.sum()))
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(texts)), sizes)
     starts, ends = _stretches(_repeated(ids, owner, overlap(least, times)), owner)
     large = ends - starts >= least
@@ -256,5 +257,4 @@ def op11_runs(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    digests: Callable = _digests
-    return docs.mapInArrow(digests, f"doc_id {kind}, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string")
+    return docs.mapInArrow(_digests, f"doc_id {kind}, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string")

@@ -571,13 +571,23 @@ def _odd_tables(spark):
     return {name: (spark.createDataFrame(rows, schema), spark.createDataFrame(lab, marks)) for name, rows, lab in (("none", [], []), ("twice", twice, some), ("nulls", nulls, some), ("ends", ends, []))}
 
 
+#: Queries with one row for each document, by its id.
+BY_DOCUMENT = {name: run for name, run in QUERIES.items() if name not in ("op3_packing", "op12_overlaps")}
+
+
 def test_queries_take_odd_tables(spark, tmp_path):
     for name, (docs, marks) in _odd_tables(spark).items():
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
         n = docs.count()
-        for query, run in QUERIES.items():
-            assert run(spark, f"{tmp_path}/{name}").count() == n, (name, query)
+        ids = Counter(r.doc_id for r in docs.select("doc_id").collect())
+        for query, run in BY_DOCUMENT.items():
+            rows = run(spark, f"{tmp_path}/{name}").collect()
+            assert Counter(r.doc_id for r in rows) == ids, (name, query)
+            if name == "twice" and query not in ("op4_sharding", "op7_wavelet", "op13_mixing"):  # these give equal rows places of their own
+                assert len({repr(r) for r in rows}) == len(ids), query
+        packed = QUERIES["op3_packing"](spark, f"{tmp_path}/{name}").collect()
+        assert Counter(r.doc_id for r in packed if r.piece == 0) == ids
         import corpus_pipeline
 
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() <= n
@@ -586,7 +596,7 @@ def test_queries_take_odd_tables(spark, tmp_path):
 def test_queries_by_contract(spark, documents):
     """The columns that the contracts name, over whole tables, against brute force."""
     texts = {r.doc_id: r.text or "" for r in documents.collect()}
-    rows = {name: {r.doc_id: r for r in run(spark, SF).collect()} for name, run in QUERIES.items() if name != "op3_packing"}
+    rows = {name: {r.doc_id: r for r in run(spark, SF).collect()} for name, run in BY_DOCUMENT.items()}
     assert all(r.keys() == texts.keys() for r in rows.values())
     fps = {i: _fingerprint(t) for i, t in texts.items()}
     components, start = _components(fps), 0
