@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from sitegrain.operators.pages import enriched
-from sitegrain.plans.dialect import STORED, Dialect, Plan, plan
+from sitegrain.operators import signatures
+from sitegrain.operators.pages import enriched, strip_html
+from sitegrain.plans.dialect import DUCK, STORED, Dialect, Made, Plan, plan
 
 Check = tuple[str, str, str]  # sub-check, severity, condition
 
@@ -70,8 +71,7 @@ def rules(d: Dialect) -> list[Rule]:
         r("multiple-h1", "seo", "warning", 4, "core", (("multiple", "warning", "n_h1 > 1"),)),
         r("missing-alt-text", "accessibility", "warning", 5, "core", (("missing", "warning", "n_missing_alt > 0"),)),
         r("canonical-issues", "indexing", "error", 7, "core", (
-            ("missing", "error", "canonical is null"),
-            ("mismatch", "warning", f"lower({d.repl('canonical', '/$', '')}) <> lower({d.repl('url', '/$', '')})"))),
+            ("missing", "error", "canonical is null"),)),
         r("noindex-detection", "indexing", "info", 2, "core", (("noindex", "info", "lower(robots) like '%noindex%'"),)),
         r("missing-structured-data", "seo", "warning", 3, "core", (("missing", "warning", "n_jsonld = 0"),)),
         r("social-meta", "metadata", "warning", 6, "core", (
@@ -216,33 +216,73 @@ def page_rows(d: Dialect) -> str:
 STORED["page_rows"] = Plan(page_rows, ("pages",))
 
 
-def set_rules(d: Dialect) -> str:
-    """WITH entries ``page_facts``, ``page_links``, ``findings``: per-page findings and those that look at several pages."""
-    rows = "{{page_rows}}" if d.name == "spark" else f"({page_rows(d)})"
-    return f"""page_facts as (select * from {rows}),
-    fired as (select page_id, url, {d.explode('codes')} as code from page_facts),
-    page_findings as (
-      select page_id, url, {_field(d, 1)} as rule_id, {_field(d, 2)} as sub_check, {_field(d, 3)} as severity, {_field(d, 4)} as category from fired
-    ),
+def fired_findings(d: Dialect) -> str:
+    """The findings of single pages, from ``page_facts``."""
+    fields = ", ".join(f"{_field(d, i)} as {c}" for i, c in enumerate(("rule_id", "sub_check", "severity", "category"), 1))
+    return f"with fired as (select page_id, url, {d.explode('codes')} as code from page_facts) select page_id, url, {fields} from fired"
+
+
+#: Finding rows of the rules that look at several pages: rule, sub-check, severity, category, and the relation with their page_id and url.
+SET_FINDINGS = (
+    ("duplicate-title", "duplicate", "'error'", "metadata", "page_facts p join titles t on p.norm_title = t.norm_title"),
+    ("content-quality", "duplicate-title", "'warning'", "seo", "page_facts p join same_titles t on lower(p.title) = t.title_key"),
+    ("duplicate-content-similarity", "near-duplicates", "case when t.likeness > 0.9e0 then 'error' else 'warning' end", "seo", "page_facts p join near_pages t on p.page_id = t.page_id"),
+    ("broken-links", "broken-links", "'error'", "links", "(select distinct page_id, source as url from broken_links) p"),
+    ("canonical-issues", "mismatch", "'warning'", "indexing", "canonical_targets p where not coalesce(target_noindex, false)"),
+    ("canonical-issues", "canonical-to-noindex", "'critical'", "indexing", "canonical_targets p where target_noindex"),
+    ("orphan-page", "orphan", "'error'", "indexing", "degrees p join first_pages t on p.host = t.host where in_degree = 0 and p.page_id <> t.first_id"),
+    ("internal-link-distribution", "authority-sinks", "'warning'", "links", "degrees p join first_pages t on p.page_id = t.first_id join sinks k on k.host = p.host"),
+)
+
+
+def set_rules(d: Dialect, rows: str | None = None, near: str | None = None) -> str:
+    """WITH entries ``page_facts``, ``page_links``, ``set_findings``, ``findings``: per-page findings and those that look at several pages.
+
+    ``rows``, ``near``: names of relations of page rows and of near pages instead of the stored ones. Hosts are audited by themselves: the first page of a host is its home.
+    """
+    stored = d.name == "spark" and rows is None
+    source = rows or ("{{page_rows}}" if d.name == "spark" else f"({page_rows(d)})")
+    alike = near or ("{{near_pages}}" if d.name == "spark" else f"({near_pages_sql()})")
+    clean = lambda c: f"lower({d.repl(c, '/$', '')})"
+    union = "\n      union all ".join(f"select p.page_id, p.url, '{r}' as rule_id, '{c}' as sub_check, {sev} as severity, '{cat}' as category from {rel}" for r, c, sev, cat, rel in SET_FINDINGS)
+    found = f"""set_findings as ({union}),
+    findings as (select * from page_findings union all select * from set_findings)"""
+    return f"""page_facts as (select * from {source}),
+    near_pages as (select * from {alike}),
+    page_findings as ({fired_findings(d)}),
     {page_links(d)},
     titles as (select norm_title, count(*) as n from page_facts where norm_title <> '' group by norm_title having count(*) > 1),
-    bodies as (select body_hash, count(*) as n from page_facts where words >= 5 group by body_hash having count(*) > 1),
-    first_page as (select min(page_id) as first_id from page_facts),
-    degrees as (select p.page_id, p.url, {d.big('coalesce(i.n, 0)')} as in_degree, {d.big('coalesce(o.n, 0)')} as out_degree from page_facts p
+    same_titles as (select lower(title) as title_key, count(*) as n from page_facts where title is not null group by lower(title) having count(*) > 1),
+    canonical_targets as (select p.page_id, p.url, p.canonical, t.noindex as target_noindex from page_facts p
+      left join (select url, max(case when robots like '%noindex%' then 1 else 0 end) = 1 as noindex from page_facts group by url) t on t.url = p.canonical
+      where p.canonical is not null and {clean('p.canonical')} <> {clean('p.url')}),
+    first_pages as (select host, min(page_id) as first_id from page_facts group by host),
+    degrees as (select p.page_id, p.url, p.host, {d.big('coalesce(i.n, 0)')} as in_degree, {d.big('coalesce(o.n, 0)')} as out_degree from page_facts p
       left join (select target, count(*) as n from page_edges group by target) i on i.target = p.url
       left join (select source, count(*) as n from page_edges group by source) o on o.source = p.url),
-    sinks as (select count(*) as n from degrees where in_degree >= 5 and out_degree <= 1),
-    findings as (
-      select * from page_findings
-      union all
-      select p.page_id, p.url, 'duplicate-title', 'duplicate', 'error', 'metadata' from page_facts p join titles t on p.norm_title = t.norm_title
-      union all
-      select p.page_id, p.url, 'duplicate-content-similarity', 'near-duplicates', 'error', 'seo' from page_facts p join bodies b on p.body_hash = b.body_hash where p.words >= 5
-      union all
-      select page_id, url, 'orphan-page', 'orphan', 'error', 'indexing' from degrees, first_page where in_degree = 0 and page_id <> first_id
-      union all
-      select page_id, url, 'internal-link-distribution', 'authority-sinks', 'warning', 'links' from page_facts, first_page, sinks where page_id = first_id and sinks.n > 0
-    )"""
+    sinks as (select host, count(*) as n from degrees where in_degree >= 5 and out_degree <= 1 group by host),
+    {found if not stored else "findings as (select * from {{findings}})"}"""
+
+
+def near_pages_sql() -> str:
+    """DuckDB's near pages: signatures of all pages, every pair of them compared."""
+    body = strip_html(DUCK, "coalesce(html, '')")
+    hashed = lambda base: f"list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(s, ''), lambda c: cast(unicode(c) as bigint))), lambda h, c: (h * {base} + c) % 4294967296)"
+    return f"""with texts as (select page_id, list_filter(regexp_split_to_array(lower({body}), '\\s+'), lambda w: length(w) > 2) as w from pages),
+      grams as (select page_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) as s from texts where len(w) >= 5),
+      mixed as (select page_id, {hashed(31)} as a, {hashed(37)} as b from grams),
+      slots as (select page_id, i, min(((a + i * b) % 4294967296) % 2147483647) as m from mixed, range(64) r(i) group by page_id, i),
+      signed as (select page_id, list(m order by i) as sig from slots group by page_id),
+      pairs as (select a.page_id as a, b.page_id as b, list_sum(list_transform(list_zip(a.sig, b.sig), lambda z: case when z[1] = z[2] then 1 else 0 end)) / 64e0 as likeness from signed a join signed b on a.page_id <> b.page_id)
+      select a as page_id, max(likeness) as likeness, count(*) as n_others from pairs where likeness >= 0.8e0 group by a"""
+
+
+def _findings(d: Dialect) -> str:
+    return f"with {set_rules(d, '{{page_rows}}', '{{near_pages}}')} select * from findings"
+
+
+STORED["near_pages"] = Made(lambda spark, sf_dir: signatures.near_pages(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")), ("pages",))
+STORED["findings"] = Plan(_findings, ("pages",))
 
 
 def page_links(d: Dialect) -> str:
@@ -255,8 +295,10 @@ def page_links(d: Dialect) -> str:
         case when {d.has('href', r'^[A-Za-z][A-Za-z0-9+.-]*:')} then href when {d.has('href', '^//')} then concat(scheme, ':', href)
           when {d.has('href', '^/')} then concat({root}, href) when {d.has('href', r'^[?]')} then concat({root}, path, href)
           else concat({root}, {folder}, href) end as target from raw_links),
-    page_edges as (select distinct l.source, l.target from page_links l join (select distinct url from page_facts) p on l.target = p.url
-      where lower({d.rx('l.target', r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)')}) = l.host)"""
+    captured_links as (select l.page_id, l.source, l.target, p.status_code from page_links l join (select url, max(status_code) as status_code from page_facts group by url) p on l.target = p.url
+      where lower({d.rx('l.target', r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)')}) = l.host),
+    page_edges as (select distinct source, target from captured_links),
+    broken_links as (select * from captured_links where status_code >= 400 or status_code = 0)"""
 
 
 @plan("rules_all_findings", "pages")
@@ -266,6 +308,8 @@ def all_findings(d: Dialect) -> str:
 
 def _one(rule_id: str):
     def build(d: Dialect) -> str:
+        if any(r == rule_id for r, *_ in SET_FINDINGS):  # with what the rule says about several pages
+            return f"with {set_rules(d)} select page_id, url, sub_check, severity from findings where rule_id = '{rule_id}'"
         return f"with {per_page(d, (rule_id,))} select page_id, url, sub_check, severity from page_findings"
 
     return build
@@ -290,11 +334,8 @@ def jon01(d: Dialect) -> str:
 
 @plan("jon04_broken_links", "pages")
 def jon04(d: Dialect) -> str:
-    """Links that resolve to the captured host but to no captured page; a capture table has no other status to go by."""
-    return f"""with {set_rules(d)}, hosts as (select distinct host from page_facts), urls as (select distinct url from page_facts)
-    select l.page_id, l.source, l.target, count(*) as n_links from page_links l
-    join hosts h on lower({d.rx('l.target', r'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)')}) = h.host left join urls u on u.url = l.target where u.url is null
-    group by l.page_id, l.source, l.target"""
+    """Links to captured pages of the host that answered with a failure or not at all; what was not captured is not judged."""
+    return f"with {set_rules(d)} select page_id, source, target, status_code, count(*) as n_links from broken_links group by page_id, source, target, status_code"
 
 
 @plan("jon07_page_edges", "pages")
@@ -305,7 +346,7 @@ def jon07(d: Dialect) -> str:
 
 @plan("gra01_page_degrees", "pages")
 def page_degrees(d: Dialect) -> str:
-    return f"with {set_rules(d)} select page_id, url, in_degree, out_degree, in_degree = 0 and page_id <> first_id as is_orphan from degrees, first_page"
+    return f"with {set_rules(d)} select page_id, url, in_degree, out_degree, in_degree = 0 and page_id <> first_id as is_orphan from degrees join first_pages on degrees.host = first_pages.host"
 
 
 @plan("jon06_canonical_noindex", "pages")

@@ -6,12 +6,13 @@ single quote (write ``\\x27``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.plans.stored import written
+from sitegrain.plans.stored import once
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -167,14 +168,31 @@ class DuckSql(Dialect):
 SPARK, DUCK = SparkSql(), DuckSql()
 
 
-def _added(spark: SparkSession, sf_dir: str, table: str) -> str:
+def _added(table: str, columns: list[str]) -> str:
     """The capture columns that a table of pages lacks."""
     if table != "pages":
         return ""
-    have = {c.lower() for c in spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").columns}
+    have = {c.lower() for c in columns}
     return "".join(f", {default} as {c}" for c, default in CAPTURE_COLUMNS.items() if c not in have)
 
 
+def _with(scans: str, text: str) -> str:
+    body = text.strip()
+    return f"with {scans}, {body[5:]}" if body.lower().startswith("with ") else f"with {scans} {body}"
+
+
+def over(spark: SparkSession, frames: dict[str, DataFrame], text: str) -> DataFrame:
+    """A plan's text over DataFrames instead of files, as for a micro-batch; the names are those of its tables."""
+    names = {n: f"_{n}_{uuid.uuid4().hex}" for n in frames}
+    for n, df in frames.items():
+        df.createOrReplaceTempView(names[n])
+    try:
+        return spark.sql(_with(", ".join(f"{n} as (select *{_added(n, df.columns)} from {names[n]})" for n, df in frames.items()), text))
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+
+
 @dataclass(frozen=True)
 class Plan:
     """A query: ``build(dialect)`` is a WITH list and a SELECT over the tables of TABLES."""
@@ -183,17 +201,18 @@ class Plan:
     tables: tuple[str, ...]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Tables named ``{{name}}`` in the text are written once by their entry in STORED and then read."""
+        """Tables named ``{{name}}`` in the text are written once by their entry in STORED and then read, by later queries too."""
         text = self.build(SPARK)
         for name, needed in STORED.items():
             if (mark := "{{" + name + "}}") in text:
-                text = text.replace(mark, f"parquet.`{written(needed.run(spark, sf_dir), name)}`")
-        return self._over(spark, sf_dir, text)
-
-    def _over(self, spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-        scans = ", ".join(f"{t} as (select *{_added(spark, sf_dir, t)} from parquet.`{sf_dir.rstrip('/')}/{t}.parquet`)" for t in self.tables)
-        body = text.strip()
-        return spark.sql(f"with {scans}, {body[5:]}" if body.lower().startswith("with ") else f"with {scans} {body}")
+                files = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in needed.tables]
+                text = text.replace(mark, f"parquet.`{once(spark, name, files, lambda n=needed: n.run(spark, sf_dir))}`")
+        scans = []
+        for t in self.tables:
+            path = f"{sf_dir.rstrip('/')}/{t}.parquet"
+            added = _added(t, spark.read.parquet(path).columns if t == "pages" else [])
+            scans.append(f"{t} as (select *{added} from parquet.`{path}`)")
+        return spark.sql(_with(", ".join(scans), text))
 
     def sql(self) -> str:
         return self.build(DUCK)
@@ -201,7 +220,7 @@ class Plan:
 
 #: Columns that a capture may add to a table, and what stands for them where it doesn't.
 CAPTURE_COLUMNS = {
-    "load_ms": "cast(0 as bigint)", "depth": "cast(null as bigint)", "robots_txt_found": "cast(null as boolean)", "sitemap_xml_found": "cast(null as boolean)",
+    "status_code": "cast(200 as bigint)", "load_ms": "cast(0 as bigint)", "depth": "cast(null as bigint)", "robots_txt_found": "cast(null as boolean)", "sitemap_xml_found": "cast(null as boolean)",
     **{h: "cast(null as string)" for h in (
         "h_csp", "h_csp_report", "h_hsts", "h_xfo", "h_xcto", "h_referrer", "h_permissions", "h_coop", "h_coep", "h_corp", "h_server", "h_powered", "h_cookie", "h_cache", "h_etag",
     )},
@@ -209,8 +228,21 @@ CAPTURE_COLUMNS = {
 
 
 PLANS: dict[str, Plan] = {}
-#: Plans whose result Spark writes before the queries that read it; DuckDB's text holds them inline.
-STORED: dict[str, Plan] = {}
+
+
+@dataclass(frozen=True)
+class Made:
+    """A stored table that DataFrame code makes, ``make(spark, sf_dir)``."""
+
+    make: Callable[[SparkSession, str], DataFrame]
+    tables: tuple[str, ...]
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.make(spark, sf_dir)
+
+
+#: Tables that Spark writes before the queries that read them, the later after the earlier; DuckDB's text holds them inline.
+STORED: dict[str, Plan | Made] = {}
 
 
 def plan(name: str, *tables: str):

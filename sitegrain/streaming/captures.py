@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.plans.stored import shared_dir
+from sitegrain.operators.rules import all_findings, near_pages_sql
+from sitegrain.plans.dialect import DUCK
+from sitegrain.plans.stored import is_folder, shared_dir
+from sitegrain.streaming import audit, index
 
 #: Fixed values of the additive-increase controller: window, least success rate, back-off, bounds.
 WINDOW, SUCCESS, BACKOFF, LOWEST, HIGHEST = 20, 0.9, 0.5, 1, 10
@@ -28,15 +31,12 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's file as a stream source; its schema comes from the file."""
+    """A table as a stream source, be it one file or a folder of files; its schema comes from them."""
     path = f"{sf_dir.rstrip('/')}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
-
-
-def page_stream(pages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Every micro-batch of captured pages goes through the per-page projection to the sink; html is dropped there."""
-    return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def first_seen(pages: DataFrame) -> DataFrame:
@@ -44,9 +44,27 @@ def first_seen(pages: DataFrame) -> DataFrame:
     return pages.dropDuplicates(["url"]).select("url", "page_id")
 
 
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
+def sliding_windows(events: DataFrame, size: str = "2 hours", slide: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
+    """Counts and sums by overlapping event-time windows: every event is in ``size / slide`` of them."""
+    timed = _timed(events, delay)
+    out = timed.groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("begin"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
+    """Sessions of every user: events no further apart than ``gap`` merge, also those that a late event joins, until the watermark closes them."""
+    timed = _timed(events.where("user_id is not null"), delay)
+    out = timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("begin"), F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "n")
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Counts by tumbling event-time window and type, closed by the watermark."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    timed = _timed(events, delay)
     return timed.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(
         F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n"
     )
@@ -100,8 +118,55 @@ def st05_aimd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(aimd(stream_of(spark, sf_dir, "events").select("user_id", "event_id", "event_type")))
 
 
-QUERIES = {"st02_dedupe": st02_dedupe, "st10_windows": st10_windows, "st05_aimd": st05_aimd}
+def st10_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drain(sliding_windows(stream_of(spark, sf_dir, "events")), "complete")
+
+
+def st10_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions; a session window has no update mode, so the complete result replaces itself."""
+    return drain(user_sessions(stream_of(spark, sf_dir, "events")), "complete")
+
+
+def st03_page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that share a title, description or first heading, from the index that two streams keep up."""
+    folder = shared_dir(spark)
+    captures = stream_of(spark, sf_dir, "pages").select("url", "html", F.col("page_id").alias("seq"))
+    changes, sizes = index.keep_up(captures, folder)
+    return index.duplicates(changes, sizes).select("url", "kind", "key", "n_others")
+
+
+def st03_near_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that others come near to, by the signatures in the streamed index."""
+    folder = shared_dir(spark)
+    changes, _ = index.keep_up(stream_of(spark, sf_dir, "pages").select("url", "html", F.col("page_id").alias("seq")), folder)
+    return index.near_duplicates(changes)
+
+
+def st01_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings, those of pages from the stream and those of several pages from its end."""
+    folder = shared_dir(spark)
+    audit.start(stream_of(spark, sf_dir, "pages"), folder).awaitTermination()
+    return audit.finish(spark, folder).select("page_id", "rule_id", "sub_check", "severity", "category")
+
+
+QUERIES = {
+    "st01_audit_stream": st01_audit_stream, "st02_dedupe": st02_dedupe, "st03_page_index": st03_page_index, "st03_near_pages": st03_near_pages, "st10_windows": st10_windows,
+    "st10_sliding": st10_sliding, "st10_sessions": st10_sessions, "st05_aimd": st05_aimd,
+}
+_TEXT = "nullif(lower(trim(regexp_replace({}, '[ \\t\\n\\r]+', ' ', 'g'))), '')"
 ORACLE_SQL = {
+    "st01_audit_stream": all_findings(DUCK),
+    "st03_page_index": f"""with v as (
+        select url, 'title' as kind, {_TEXT.format("replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')")} as key from pages
+        union all select url, 'description', {_TEXT.format("replace(regexp_extract(html, '(?is)<meta[^>]+name=.description.[^>]*content=.([^<>]*?).\\s*/?>', 1), '&amp;', '&')")} from pages
+        union all select url, 'h1', {_TEXT.format("replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '&amp;', '&')")} from pages)
+      select url, kind, key, count(*) over (partition by kind, key) - 1 as n_others from v where key is not null qualify count(*) over (partition by kind, key) > 1""",
+    "st03_near_pages": f"select p.url, likeness, cast(n_others as bigint) as n_others from ({near_pages_sql()}) n join pages p on n.page_id = p.page_id",
+    "st10_sliding": """select strftime(b, '%Y-%m-%d %H:%M') as begin, event_type, count(*) as n, round(sum(value), 4) as total from (
+        select unnest(list_transform(range(4), lambda k: time_bucket(interval 30 minute, ts) - to_minutes(cast(30 * k as bigint)))) as b, event_type, value from events where ts is not null) group by 1, 2""",
+    "st10_sessions": """with a as (select user_id, ts, case when ts <= lag(ts) over w + interval 30 minute then 0 else 1 end as cut from events where user_id is not null and ts is not null window w as (partition by user_id order by ts)),
+      b as (select *, sum(cut) over (partition by user_id order by ts rows unbounded preceding) as k from a)
+      select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as begin, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last, count(*) as n from b group by user_id, k""",
     "st02_dedupe": "select distinct url from pages",
     "st10_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as n from events group by 1, 2",
 }
