@@ -21,16 +21,6 @@ def technology(d: Dialect) -> str:
     select page_id, tech, category, {d.big('least(95, weight)')} as confidence from hits where weight >= 55""".replace("strpos(lower(html), needle)", "instr(lower(html), needle)")
 
 
-@plan("an09_js_diff", "pages")
-def js_diff(d: Dialect) -> str:
-    """Raw against rendered surface (a derived variant): title, word count and links that differ."""
-    rendered = "case when page_id % 3 = 0 then replace(html, '<title>', '<title>New ') when page_id % 3 = 1 then replace(html, '<a ', '<span ') else html end"
-    side = lambda html: f"""select page_id, {d.rx(html, r'(?is)<title[^>]*>(.*?)</title>')} as title, {d.count(html, r'(?is)<a\\s')} as links from s"""
-    return f"""with s as (select page_id, html, {rendered} as rendered from pages), a as ({side('html')}), b as ({side('rendered')})
-    select a.page_id, 'title' as aspect, 'error' as severity from a join b on a.page_id = b.page_id where a.title <> b.title
-    union all select a.page_id, 'links', 'critical' from a join b on a.page_id = b.page_id where a.links <> b.links""".replace(r"\\s", r"\s")
-
-
 def images(d: Dialect) -> str:
     """Image records from parts: bytes, dimensions, format and use follow from the part."""
     return f"""with images as (select p_partkey as image_id, {d.big('p_size * 20000')} as bytes, case when p_partkey % 3 = 0 then 'webp' when p_partkey % 3 = 1 then 'jpeg' else 'png' end as format,

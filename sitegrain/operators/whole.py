@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.functions.html import extract_page
-from sitegrain.operators import graph, keywords, linkplan, opportunities, structured, trust
+from sitegrain.operators import graph, keywords, linkplan, opportunities, structured, surfaces, trust
 from sitegrain.operators.rules import set_rules
 from sitegrain.plans.dialect import DUCK, Plan
 from sitegrain.plans.stored import materialise
@@ -106,10 +106,32 @@ def kw07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.clusters(materialise(kept, "keywords"), "steel")
 
 
+#: What a script does to a sixth of the pages each, as no table holds rendered pages: pattern and replacement; the last sixth stays.
+RENDERED = (("<title>", "<title>New "), ("<a ", "<span "), ("</head>", '<link rel="canonical" href="https://rendered.example/"></head>'), ("<h1", "<h2"), ("</head>", '<meta name="robots" content="noindex"></head>'))
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a rendered form that Spark derives from them."""
+    html = F.col("html")
+    for i, (old, new) in enumerate(RENDERED):
+        html = F.when(F.col("page_id") % 6 == i, F.replace(F.col("html"), F.lit(old), F.lit(new))).otherwise(html)
+    return _pages(spark, sf_dir).select("page_id", "url", F.col("html").alias("raw_html"), html.alias("rendered_html"))
+
+
+def an09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diffs = surfaces.listed(surfaces.compared(_rendered(spark, sf_dir)), "page_id")
+    return diffs.select("page_id", "place", "aspect", "severity", "title", F.size("evidence").alias("n_evidence"))
+
+
+def agg27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [*surfaces.SHARES, "overall", *(f"n_{s}" for s in surfaces.SEVERITIES)]
+    return surfaces.scored(surfaces.compared(_rendered(spark, sf_dir))).select("page_id", *parts, "strategy", F.array_join("advice", ",").alias("advice"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src01_captures": src01, "nrm05_dom_links": nrm05_dom_links, "an03_trust_pillars": an03, "an04_citation_readiness": an04, "an05_alternates": an05,
     "agg21_schema_coverage": agg21, "lp02_targets": lp02, "lp08_link_plan": lp08, "opp08_opportunities": op08, "agg19_opportunity_summary": agg19,
-    "kw05_scored": kw05, "kw07_clusters": kw07,
+    "kw05_scored": kw05, "kw07_clusters": kw07, "an09_js_diff": an09, "agg27_js_impact": agg27,
 }
 
 _COMMERCIAL = "lower(url) like '%/product%' or lower(url) like '%/service%' or lower(url) like '%/pricing%' or lower(url) like '%/buy%' or lower(url) like '%/shop%' or lower(url) like '%/checkout%' or lower(url) like '%/cart%'"
@@ -117,7 +139,30 @@ _UTILITY = " or ".join(f"lower(url) like '%{p}' or lower(url) like '%{p}/%'" for
 _TEXT = "replace(replace(replace(trim(regexp_replace({}, '[ \\t\\n\\r]+', ' ', 'g')), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 _LINKS = "list_filter(regexp_extract_all(html, '(?is)<a\\s[^>]*href=\"([^\"]*)\"', 1), lambda h: not regexp_matches(trim(lower(h)), '^(#|javascript:|mailto:|tel:)'))"
 
+_HREFS = "list_transform(list_filter(regexp_extract_all(html, '(?is)<a\\s[^>]*href=\"([^\"]*)\"', 1), lambda h: not regexp_matches(trim(lower(h)), '^(#|javascript:|mailto:|tel:)')), lambda h: case when h like '%://%' or h like '//%' then h else url || h end)"
+#: What each replacement must show, by what the pages hold. A link is internal if its host is the page's.
+_JS_DIFFS = f"""s as (select page_id, page_id % 6 as k, html, url, {_HREFS} as hrefs, lower(regexp_extract(url, '://([^/?#]+)', 1)) as host,
+      list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: trim(x)) as h1s, list_transform(regexp_extract_all(html, '(?is)<h[2-6][^>]*>(.*?)</h[2-6]>', 1), lambda x: trim(x)) as hs,
+      regexp_matches(html, '(?is)<link[^>]+rel=.canonical') as canon, regexp_extract(html, '(?is)<meta[^>]+name=.robots.[^>]*>') as robots from pages),
+    t as (select *, len(list_filter(hrefs, lambda h: lower(regexp_extract(h, '://([^/?#]+)', 1)) = host)) as n_in, list_filter(h1s, lambda x: x <> '') as ones from s),
+    d as (select page_id, 'metadata.title' as aspect, 'high' as severity, 'Title changed by JavaScript' as title, 2 as n_evidence from t where k = 0 and contains(html, '<title>')
+      union all select page_id, 'links.internal', 'medium', 'Link count changed between raw and rendered', 2 from t where k = 1 and len(hrefs) > 0
+      union all select page_id, 'links.internal', 'low', 'Internal links removed in rendered DOM', least(5, n_in) from t where k = 1 and n_in > 0
+      union all select page_id, 'links.external', 'low', 'External links differ between raw and rendered', least(3, len(list_distinct(list_filter(hrefs, lambda h: lower(regexp_extract(h, '://([^/?#]+)', 1)) <> host)))) from t where k = 1 and len(hrefs) > n_in
+      union all select page_id, 'indexability.canonical', 'critical', 'Canonical injected by JavaScript', 2 from t where k = 2 and not canon and contains(html, '</head>')
+      union all select page_id, 'headings.h1', 'medium', 'H1 heading differs between raw and rendered', 1 from t where k = 3 and len(ones) > 0
+      union all select page_id, 'headings.set', 'medium', 'Heading structure differs between raw and rendered', 1 from t where k = 3 and len(list_filter(ones, lambda x: not list_contains(hs, x))) > 0
+      union all select page_id, 'indexability.metaRobots', 'critical', 'noindex injected by JavaScript', 2 from t where k = 4 and robots = '' and contains(html, '</head>'))"""
+
 ORACLE_SQL = {
+    "an09_js_diff": f"""with {_JS_DIFFS}, o as (select *, list_position(['critical', 'high', 'medium', 'low'], severity) as s, list_position([{', '.join(f"'{a}'" for a in surfaces.ASPECTS)}], aspect) as p from d)
+      select page_id, cast(row_number() over (partition by page_id order by s, p, title) - 1 as int) as place, aspect, severity, title, cast(n_evidence as int) as n_evidence from o""",
+    "agg27_js_impact": f"""with {_JS_DIFFS}, c as (select t.page_id, count(*) filter (severity = 'critical') as n_critical, count(*) filter (severity = 'high') as n_high, count(*) filter (severity = 'medium') as n_medium, count(*) filter (severity = 'low') as n_low,
+        case when count(*) filter (aspect like 'index%') > 0 then 0 else 100 end as indexability, case when count(*) filter (aspect like 'metadata%') > 0 then 75 else 100 end as metadata,
+        case when count(*) filter (aspect like '%canonical') > 0 then 'canonical-ssr' when count(*) filter (aspect like '%Robots') > 0 then 'noindex-raw' when count(*) filter (aspect like 'metadata%') > 0 then 'metadata-ssr'
+          when count(*) filter (aspect like 'headings%') > 0 then 'headings-ssr' when count(*) filter (aspect like '%internal') > 0 then 'links-internal-raw' else '' end as advice from t left join d on t.page_id = d.page_id group by t.page_id)
+      select page_id, cast(indexability as int) as indexability, cast(100 as int) as content, cast(metadata as int) as metadata, cast(100 as int) as structured_data, cast(100 as int) as crawlability,
+        cast(floor(indexability * 0.35 + 25 + metadata * 0.15 + 25 + 0.5) as int) as overall, cast(n_critical as int) as n_critical, cast(n_high as int) as n_high, cast(n_medium as int) as n_medium, cast(n_low as int) as n_low, 'ssr' as strategy, advice from c""",
     "src01_captures": "select page_id, url, cast(200 as bigint) as status_code, cast(0 as bigint) as load_time_ms, 'text/html' as content_type, page_id as crawl_seq from pages",
     "nrm05_dom_links": f"""select page_id, {_TEXT.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as title,
       {_TEXT.format("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')")} as first_h1, cast(len({_LINKS}) as bigint) as n_links, cast(len({_LINKS}) as bigint) as n_internal,
