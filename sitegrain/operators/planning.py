@@ -1,26 +1,10 @@
-"""Technologies, two-surface diffs and image rules over derived inputs."""
+"""Image rules over derived inputs."""
 
 from __future__ import annotations
 
-from sitegrain.operators.scoring import values
 from sitegrain.plans.dialect import Dialect, plan
 
 
-#: Technology signatures as data (name, category, needle, weight).
-SIGNATURES = (
-    ("Tracker", "analytics", "track(", 60), ("Ad slots", "advertising", 'class="ad"', 60), ("Inline style", "css", "<style>", 55), ("Next.js", "framework", "__next", 60),
-    ("React", "framework", "data-reactroot", 60), ("Vue", "framework", "data-v-", 60), ("WordPress", "cms", "wp-content", 70), ("jQuery", "library", "jquery", 60),
-    ("Stripe", "payments", "js.stripe.com", 70), ("Tag manager", "analytics", "googletagmanager.com", 70), ("UTF-8", "charset", 'charset="utf-8"', 55),
-)
-
-
-@plan("an07_technology", "pages")
-def technology(d: Dialect) -> str:
-    return f"""with signatures as ({values(d, ('tech', 'category', 'needle', 'weight'), SIGNATURES)}),
-    hits as (select page_id, tech, category, sum(weight) as weight from pages cross join signatures where strpos(lower(html), needle) > 0 group by page_id, tech, category)
-    select page_id, tech, category, {d.big('least(95, weight)')} as confidence from hits where weight >= 55""".replace("strpos(lower(html), needle)", "instr(lower(html), needle)")
-
-
 def images(d: Dialect) -> str:
     """Image records from parts: bytes, dimensions, format and use follow from the part."""
     return f"""with images as (select p_partkey as image_id, {d.big('p_size * 20000')} as bytes, case when p_partkey % 3 = 0 then 'webp' when p_partkey % 3 = 1 then 'jpeg' else 'png' end as format,

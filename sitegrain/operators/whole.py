@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.functions.html import extract_page
-from sitegrain.operators import graph, keywords, linkplan, opportunities, structured, surfaces, trust
+from sitegrain.operators import graph, keywords, linkplan, opportunities, structured, surfaces, technology, trust
 from sitegrain.operators.rules import set_rules
 from sitegrain.plans.dialect import DUCK, Plan
 from sitegrain.plans.stored import materialise
@@ -128,10 +128,23 @@ def agg27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.scored(surfaces.compared(_rendered(spark, sf_dir))).select("page_id", *parts, "strategy", F.array_join("advice", ",").alias("advice"))
 
 
+#: Markup that an eighth of the pages each carry besides their own, as few given pages hold known markers.
+MARKED = (
+    '<script src="https://www.googletagmanager.com/gtm.js?id=1"></script>', '<script id="__NEXT_DATA__">{}</script><div data-reactroot></div>', '<meta name="generator" content="WordPress 6"><img src="/wp-content/a.png">',
+    '<style data-emotion="mui x"></style><p class="MuiButton-root">x</p>', '<link rel="stylesheet" href="https://fonts.googleapis.com/css"><script>gtag("js")</script>', '<div data-v-app></div>', '<link href="/bootstrap.min.css"><p class="navbar">x</p>',
+)
+
+
+def an07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(*map(F.lit, (*MARKED, "")))
+    pages = _pages(spark, sf_dir).select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.get(marks, (F.col("page_id") % 8).cast("int"))).alias("html"))
+    return technology.listed(pages, "page_id").select("page_id", "category", "name", "confidence", "level", F.size("evidence").alias("n_evidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src01_captures": src01, "nrm05_dom_links": nrm05_dom_links, "an03_trust_pillars": an03, "an04_citation_readiness": an04, "an05_alternates": an05,
     "agg21_schema_coverage": agg21, "lp02_targets": lp02, "lp08_link_plan": lp08, "opp08_opportunities": op08, "agg19_opportunity_summary": agg19,
-    "kw05_scored": kw05, "kw07_clusters": kw07, "an09_js_diff": an09, "agg27_js_impact": agg27,
+    "kw05_scored": kw05, "kw07_clusters": kw07, "an09_js_diff": an09, "agg27_js_impact": agg27, "an07_technology": an07,
 }
 
 _COMMERCIAL = "lower(url) like '%/product%' or lower(url) like '%/service%' or lower(url) like '%/pricing%' or lower(url) like '%/buy%' or lower(url) like '%/shop%' or lower(url) like '%/checkout%' or lower(url) like '%/cart%'"
@@ -157,6 +170,12 @@ _JS_DIFFS = f"""s as (select page_id, page_id % 6 as k, html, url, {_HREFS} as h
 ORACLE_SQL = {
     "an09_js_diff": f"""with {_JS_DIFFS}, o as (select *, list_position(['critical', 'high', 'medium', 'low'], severity) as s, list_position([{', '.join(f"'{a}'" for a in surfaces.ASPECTS)}], aspect) as p from d)
       select page_id, cast(row_number() over (partition by page_id order by s, p, title) - 1 as int) as place, aspect, severity, title, cast(n_evidence as int) as n_evidence from o""",
+    "an07_technology": """with p as (select page_id, page_id % 8 as k, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*</head>', ''), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) >= 200 as full_text from pages),
+      t as (select page_id, unnest(case k when 0 then ['analytics/Google Tag Manager/75/1'] when 1 then ['frontendFramework/Next.js/60/1', case when full_text then 'renderingStrategy/Hybrid / SSR / SSG/90/0' else 'renderingStrategy/Hybrid / SSR / SSG/80/0' end]
+          when 2 then ['cms/WordPress/95/2', case when full_text then 'renderingStrategy/Server-rendered HTML/85/0' else 'renderingStrategy/Server-rendered HTML/70/0' end] when 3 then ['uiLibraries/Material UI/85/2'] when 4 then ['fonts/Google Fonts/75/1']
+          when 5 then ['frontendFramework/Vue/60/1', case when full_text then 'renderingStrategy/Client framework with pre-rendered HTML/65/0' else 'renderingStrategy/Likely client-rendered shell/70/0' end] when 6 then ['uiLibraries/Bootstrap/95/2'] else [] end) as r from p)
+      select page_id, split_part(r, '/', 1) as category, regexp_extract(r, '^[^/]*/(.*)/[0-9]+/[0-9]+$', 1) as name, cast(regexp_extract(r, '/([0-9]+)/[0-9]+$', 1) as int) as confidence,
+        case when cast(regexp_extract(r, '/([0-9]+)/[0-9]+$', 1) as int) >= 80 then 'high' else 'medium' end as level, cast(regexp_extract(r, '/([0-9]+)$', 1) as int) as n_evidence from t""",
     "agg27_js_impact": f"""with {_JS_DIFFS}, c as (select t.page_id, count(*) filter (severity = 'critical') as n_critical, count(*) filter (severity = 'high') as n_high, count(*) filter (severity = 'medium') as n_medium, count(*) filter (severity = 'low') as n_low,
         case when count(*) filter (aspect like 'index%') > 0 then 0 else 100 end as indexability, case when count(*) filter (aspect like 'metadata%') > 0 then 75 else 100 end as metadata,
         case when count(*) filter (aspect like '%canonical') > 0 then 'canonical-ssr' when count(*) filter (aspect like '%Robots') > 0 then 'noindex-raw' when count(*) filter (aspect like 'metadata%') > 0 then 'metadata-ssr'
