@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.functions.html import extract_page
-from sitegrain.operators import graph, keywords, linkplan, opportunities, structured, surfaces, technology, trust
+from sitegrain.operators import graph, keywords, linkplan, opportunities, surfaces, technology, trust
 from sitegrain.operators.rules import set_rules
-from sitegrain.plans.dialect import DUCK, Plan
+from sitegrain.plans.dialect import Plan
 from sitegrain.plans.stored import materialise
-from sitegrain.sources import captures
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +28,6 @@ def dom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(pages.select("page_id", "url", "html", extract_page("html", "url").alias("p")).select("page_id", "url", "html", "p.*"), "dom")
 
 
-def src01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = captures.capture_scan(_pages(spark, sf_dir))
-    return rows.select("page_id", "url", F.col("status_code").cast("bigint").alias("status_code"), "load_time_ms", "content_type", "crawl_seq")
-
-
 def nrm05_dom_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dom(spark, sf_dir)
     inner = F.size(F.filter("links", lambda x: x["is_internal"]))
@@ -48,15 +42,6 @@ def an04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.citation_readiness(dom(spark, sf_dir)).select("url", "has_schema", "semantic", "has_author", F.col("score").cast("bigint").alias("score"))
 
 
-def an05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trust.alternate_issues(dom(spark, sf_dir).select("url", "hreflang"))
-
-
-def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = materialise(structured.extracted(_pages(spark, sf_dir)), "structured")
-    return structured.coverage(found).select("entities", "refs", F.col("coverage").cast("bigint").alias("coverage"), F.size("missing").cast("bigint").alias("n_missing"))
-
-
 def _link_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the link plan: the DOM's, with degrees and authority from the graph of captured pages."""
     d = dom(spark, sf_dir)
@@ -67,10 +52,6 @@ def _link_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", "title", "h1", "h2", F.lit(None).cast("int").alias("depth"), "in_degree", "out_degree", "authority", (F.col("in_degree") == 0).alias("is_orphan"), F.size("json_ld").alias("n_schemas"), "links")
 
 
-def lp02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkplan.orphans(_link_facts(spark, sf_dir)).select("url", F.col("target_score").cast("bigint").alias("target_score"))
-
-
 def lp08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkplan.suggestions(_link_facts(spark, sf_dir)).select("source_url", "target_url", "score", "confidence", "relevance", "reason", "anchor_text")
 
@@ -142,13 +123,11 @@ def an07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "src01_captures": src01, "nrm05_dom_links": nrm05_dom_links, "an03_trust_pillars": an03, "an04_citation_readiness": an04, "an05_alternates": an05,
-    "agg21_schema_coverage": agg21, "lp02_targets": lp02, "lp08_link_plan": lp08, "opp08_opportunities": op08, "agg19_opportunity_summary": agg19,
+    "nrm05_dom_links": nrm05_dom_links, "an03_trust_pillars": an03, "an04_citation_readiness": an04, 
+    "lp08_link_plan": lp08, "opp08_opportunities": op08, "agg19_opportunity_summary": agg19,
     "kw05_scored": kw05, "kw07_clusters": kw07, "an09_js_diff": an09, "agg27_js_impact": agg27, "an07_technology": an07,
 }
 
-_COMMERCIAL = "lower(url) like '%/product%' or lower(url) like '%/service%' or lower(url) like '%/pricing%' or lower(url) like '%/buy%' or lower(url) like '%/shop%' or lower(url) like '%/checkout%' or lower(url) like '%/cart%'"
-_UTILITY = " or ".join(f"lower(url) like '%{p}' or lower(url) like '%{p}/%'" for p in linkplan.UTILITY)
 _TEXT = "replace(replace(replace(trim(regexp_replace({}, '[ \\t\\n\\r]+', ' ', 'g')), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 _LINKS = "list_filter(regexp_extract_all(html, '(?is)<a\\s[^>]*href=\"([^\"]*)\"', 1), lambda h: not regexp_matches(trim(lower(h)), '^(#|javascript:|mailto:|tel:)'))"
 
@@ -182,7 +161,6 @@ ORACLE_SQL = {
           when count(*) filter (aspect like 'headings%') > 0 then 'headings-ssr' when count(*) filter (aspect like '%internal') > 0 then 'links-internal-raw' else '' end as advice from t left join d on t.page_id = d.page_id group by t.page_id)
       select page_id, cast(indexability as int) as indexability, cast(100 as int) as content, cast(metadata as int) as metadata, cast(100 as int) as structured_data, cast(100 as int) as crawlability,
         cast(floor(indexability * 0.35 + 25 + metadata * 0.15 + 25 + 0.5) as int) as overall, cast(n_critical as int) as n_critical, cast(n_high as int) as n_high, cast(n_medium as int) as n_medium, cast(n_low as int) as n_low, 'ssr' as strategy, advice from c""",
-    "src01_captures": "select page_id, url, cast(200 as bigint) as status_code, cast(0 as bigint) as load_time_ms, 'text/html' as content_type, page_id as crawl_seq from pages",
     "nrm05_dom_links": f"""select page_id, {_TEXT.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as title,
       {_TEXT.format("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')")} as first_h1, cast(len({_LINKS}) as bigint) as n_links, cast(len({_LINKS}) as bigint) as n_internal,
       cast(len(regexp_extract_all(html, '(?i)<img[^>]*src=')) as bigint) as n_images, cast(len(regexp_extract_all(html, '(?i)application/ld.json')) as bigint) as n_json_ld from pages""",
@@ -190,8 +168,4 @@ ORACLE_SQL = {
       len(regexp_extract_all(lower(html), '<(article|section|header|footer|nav|aside|main|figure|figcaption)[ \t\n>]')) >= 3 as semantic,
       regexp_matches(lower(html), '<meta[^>]+name=.author.|class=.[^"]*author|rel=.author.|<address[ >]') as has_author from pages)
       select *, cast(least(100, 50 + case when has_schema then 30 else 0 end + case when semantic then 20 else 0 end + case when has_author then 15 else 0 end) as bigint) as score from f""",
-    "an05_alternates": "select cast(null as varchar) as url, '' as lang, '' as target, '' as issue where false",
-    "agg21_schema_coverage": "select cast(0 as bigint) as entities, cast(0 as bigint) as refs, cast(100 as bigint) as coverage, cast(13 as bigint) as n_missing",
-    "lp02_targets": f"""with {set_rules(DUCK)}, lone as (select distinct url from degrees where in_degree = 0)
-      select url, cast(case when {_UTILITY} then -10 else 25 + case when {_COMMERCIAL} then 15 else 0 end + 20 + 15 end as bigint) as target_score from lone""",
 }
