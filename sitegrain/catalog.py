@@ -12,7 +12,7 @@ from sitegrain.plans.dialect import PLANS
 from sitegrain.streaming import captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: p.run for name, p in PLANS.items()} | graph.QUERIES | captures.QUERIES | whole.QUERIES | site.QUERIES
-ORACLE_SQL: dict[str, str] = {name: p.sql() for name, p in PLANS.items()} | graph.ORACLE_SQL | captures.ORACLE_SQL | whole.ORACLE_SQL | site.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = {name: p.sql() for name, p in PLANS.items()} | graph.ORACLE_SQL | captures.ORACLE_SQL | whole.ORACLE_SQL | site.ORACLE_SQL | texts.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,15 @@ def _words(d: Dialect, text: str) -> str:
     return d.filter(d.split(clean, r"[ \t\n\r]+"), "w", "length(w) > 2")
 
 
+#: White space as scripts split at it.
+SPACE = r"[ \t\n\x0b\f\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
+
+def _tokens(d: Dialect, text: str) -> str:
+    """Lower-case words of more than two characters, split at white space only: punctuation and letters of any script stay."""
+    return d.filter(d.split(f"lower({text})", SPACE), "w", "length(w) > 2")
+
+
 @plan("fn03_norm_title", "documents")
 def fn03(d: Dialect) -> str:
     """Whole texts trimmed, lower-cased and with white space collapsed."""
@@ -34,7 +43,7 @@ def fn05(d: Dialect) -> str:
     gram = " || ' ' || ".join(f"w[i + {k + (d.name == 'duckdb')}]" for k in range(5))
     grams = d.distinct(d.map(d.seq("0", f"{d.size('w')} - 5"), "i", gram))
     least = "array_min(grams)" if d.name == "spark" else "list_min(grams)"
-    return f"""with words as (select doc_id, {d.once(_words(d, 'text'))} as w from documents), enough as (select * from words where {d.size('w')} >= 5),
+    return f"""with words as (select doc_id, {d.once(_tokens(d, 'text'))} as w from documents), enough as (select * from words where {d.size('w')} >= 5),
     sets as (select doc_id, {d.once(grams)} as grams from enough) select doc_id, {d.big(d.size('grams'))} as n_shingles, {least} as first_shingle from sets"""
 
 
@@ -86,7 +95,7 @@ def page_shingles(d: Dialect) -> str:
     grams = d.map(d.seq("0", f"{d.size('w')} - 5"), "i", d.hash(gram))
     ordered = "array_sort" if d.name == "spark" else "list_sort"
     return f"""with texts as (select page_id, {strip_html(d, "coalesce(html, '')")} as body_text from pages),
-    words as (select page_id, {d.once(_words(d, "body_text"))} as w from texts) select page_id, {ordered}({d.distinct(grams)}) as g from words where {d.size('w')} >= 5"""
+    words as (select page_id, {d.once(_tokens(d, "body_text"))} as w from texts) select page_id, {ordered}({d.distinct(grams)}) as g from words where {d.size('w')} >= 5"""
 
 
 STORED["page_shingles"] = Plan(page_shingles, ("pages",))
@@ -177,3 +186,18 @@ def low_authority(d: Dialect) -> str:
     return f"""with links as (select s_suppkey, {d.big('s_suppkey % 90')} as domain_authority, {d.big('(s_suppkey * 7) % 60')} as spam from supplier),
     c as (select {d.big('sum(case when domain_authority <= 15 or spam >= 50 then 1 else 0 end)')} as risky, count(*) as n, {d.big('sum(case when domain_authority >= 60 then 1 else 0 end)')} as strong from links)
     select risky, n, strong, risky >= 3 or risky >= 0.35e0 * n as risky_profile, strong < 3 as missing_high_authority from c"""
+
+
+#: SQL written apart from the builders above: shingles by a window over words, likeness by comparing all pairs.
+ORACLE_SQL = {
+    "fn05_shingles": r"""with w as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+'), lambda x: length(x) >= 3) as w from documents)),
+      g as (select doc_id, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o || ' ' || lead(w, 3) over o || ' ' || lead(w, 4) over o as g from w window o as (partition by doc_id order by i))
+      select doc_id, count(distinct g) as n_shingles, min(g) as first_shingle from g where g is not null group by doc_id""",
+    "jon09_near_duplicates": r"""with t as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as b from pages),
+      w as (select page_id, list_filter(string_split(lower(b), ' '), lambda x: length(x) >= 3) as w from t),
+      s as (select page_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as g from w where len(w) >= 5),
+      r as (select page_id, g, min(page_id) over (partition by g) as rep from s), u as (select page_id, g from r where page_id = rep),
+      p as (select a.page_id as a, b.page_id as b, len(list_intersect(a.g, b.g)) as c, len(a.g) + len(b.g) as n from u a join u b on a.page_id < b.page_id and 5 * least(len(a.g), len(b.g)) >= 4 * greatest(len(a.g), len(b.g)))
+      select 'pair' as kind, a as page_a, b as page_b, round(c / cast(n - c as double), 6) as similarity from p where 10 * c >= 8 * (n - c)
+      union all select 'member', page_id, rep, 1.0 from r""",
+}
