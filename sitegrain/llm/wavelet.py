@@ -17,9 +17,10 @@ document ids (int64 deltas), document lengths (int64), ones by block (uint32,
 plane after plane), compressed block sizes (uint32, likewise); then the zlib
 blocks of all planes (packed bits, lowest first).
 
-Documents are range-partitioned by id, so the files in order of (task, part)
-hold ascending ids. Files are written under a temporary name and renamed, so
-a repeated task replaces equal bytes.
+Documents are range-partitioned by id and, among equal and null ids, by their
+text's hash, so the files in order of (task, part) hold ascending ids and no id
+fills a task. Every attempt of a task writes files of its own; the table of
+files, which a task commits once, lists those that count.
 
 Defined results: a null text is an empty document; null ids come first and are
 read back as null; rows that repeat an id stand in order of their text's hash;
@@ -278,15 +279,14 @@ def opened(uri: str):
         yield open_matrix(lambda start, size: f.read_at(size, start))
 
 
-def write_file(uri: str, raw: bytes, attempt: int) -> None:
-    """Write under a temporary name and rename; any store that pyarrow knows."""
+def write_file(uri: str, raw: bytes) -> None:
+    """Any store that pyarrow knows."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(f"{path}.{attempt}") as out:
+    with store.open_output_stream(path) as out:
         out.write(raw)
-    store.move(f"{path}.{attempt}", path)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END) -> DataFrame:
@@ -302,8 +302,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         def flush() -> pa.RecordBatch:
             tokens = np.frombuffer(b"".join(raws), "<u2")
-            uri = f"{folder}/shard-{task:06d}-{part:04d}.wm"
-            write_file(uri, to_bytes(ids, [len(r) // 2 for r in raws], tokens), context.taskAttemptId())
+            uri = f"{folder}/shard-{task:06d}-{part:04d}-{context.taskAttemptId()}.wm"
+            write_file(uri, to_bytes(ids, [len(r) // 2 for r in raws], tokens))
             return pa.RecordBatch.from_pylist([{"task": task, "part": part, "path": uri, "docs": len(ids), "tokens": len(tokens)}], schema)
 
         schema = pa.schema([("task", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
@@ -321,7 +321,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     ordered = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     return materialise(ordered.mapInArrow(run, "task int, part int, path string, docs bigint, tokens bigint"), "files")

@@ -85,7 +85,7 @@ class WordBpe:
         if len(known) > CACHE_ENTRIES:
             known.clear()
         words = _WORDS_OR_END.findall(joined.lower())
-        new = [w for w in set(words) if w not in known and w != "\n"]
+        new = list(set(words).difference(known, "\n"))
         for at in range(0, len(new), 4096):
             self._learn_words(new[at : at + 4096])
         known["\n"] = _MARK  # splits the ids of all chunks at once
@@ -102,8 +102,8 @@ class WordBpe:
             split = [_chunks(t or "") for t in texts[at : at + 32]]
             if len(chunks) > CACHE_ENTRIES:
                 chunks.clear()
-            if new := [c for c in set().union(*split) if c not in chunks]:
-                self._learn(new)
+            if new := set().union(*split).difference(chunks):
+                self._learn(list(new))
             get = chunks.__getitem__
             out += [b"".join(map(get, s)) for s in split]
         return out
