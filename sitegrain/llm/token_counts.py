@@ -55,6 +55,8 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str | None = None,
 
         def close() -> None:
             out.close()
+            if store.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:  # of an earlier attempt; not every store's rename replaces
+                store.delete_file(f"{base}/{name}")
             store.move(f"{base}/{name}.{context.taskAttemptId()}", f"{base}/{name}")
 
         ordinal = 0
