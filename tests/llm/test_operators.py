@@ -440,8 +440,8 @@ class _Spelling:
         return total
 
 
-def test_kneser_ney_brute_force(monkeypatch):
-    monkeypatch.setattr(toxicity, "TRUSTED", 2)
+def test_kneser_ney_brute_force():
+    """By the definition, with the production settings."""
     rnd = random.Random(4)
     kinds = ["ab", "abc", "ba", "cab", "bad", "dab", "acd"]
     corpus = [(rnd.choices(kinds[: 4 + 3 * y], k=rnd.randint(1, 9)), y) for y in (0, 1) for _ in range(14)]
@@ -465,11 +465,15 @@ def test_kneser_ney_brute_force(monkeypatch):
     def unigram(w, y):
         left = {b: len({a for a, x, z in pairs if x == b and z == y}) for _, b, z in pairs if z == y}
         base = np.exp(spelling[y].log(w))
-        return (max(left.get(w, 0) - d, 0) + d * len(left) * base) / sum(left.values())
+        classes = {b: len({z for _, x, z in pairs if x == b}) for b in names}
+        shared = (max(classes[w] - toxicity.SHARED_DISCOUNT, 0) + toxicity.SHARED_DISCOUNT * len(names) * base) / sum(classes.values())
+        return (max(left.get(w, 0) - d, 0) + d * len(left) * shared) / sum(left.values())
 
     def probability(before, w, y):
         after = {b: n for (a, b, z), n in pairs.items() if a == before and z == y}
-        return (max(after.get(w, 0) - d, 0) + d * len(after) * unigram(w, y)) / sum(after.values())
+        if not after:
+            return unigram(w, y), 0
+        return (max(after.get(w, 0) - d, 0) + d * len(after) * unigram(w, y)) / sum(after.values()), sum(after.values())
 
     texts = [["ab", "cab", "bad"], ["bad", "zz", "abc"], ["acd"]]
     scorer = toxicity.Scorer(model)
@@ -484,12 +488,21 @@ def test_kneser_ney_brute_force(monkeypatch):
                 word = pair = spelling[1].log(w) - spelling[0].log(w)
             else:
                 word = pair = np.log(unigram(w, 1) / unigram(w, 0))
-                if all(sum(n for (a, _, z), n in pairs.items() if a == before and z == y) >= 2 for y in (0, 1)):
-                    pair = np.log(probability(before, w, 1) / probability(before, w, 0))
+                (p0, n0), (p1, n1) = (probability(before, w, y) for y in (0, 1))
+                weight = min(n0, n1) / (min(n0, n1) + toxicity.EXPERIENCE)
+                pair = word + weight * (np.log(p1 / p0) - word)
             expected.append((pair, word))
     assert np.allclose(got, np.array(expected).T, atol=1e-4)
 
 
+def test_calibration_never_lowers_a_score():
+    rnd = np.random.default_rng(3)
+    y = (np.arange(400) % 4 == 0).astype(float)
+    x = np.column_stack([y + rnd.normal(size=400), -y + rnd.normal(size=400), rnd.normal(size=400) * 0.1])
+    slopes, shift = toxicity._calibrated(x, y)
+    assert min(slopes) >= 0 and slopes[0] > 0.3 and slopes[1] == 0.0 and np.isfinite(shift)
+
+
 def test_langid_votes_brute_force():
     words, langs = ["haus", "hause", "house", "mouse", "maus"], ["de", "en"]
     docs = np.array([[3, 0], [1, 0], [0, 4], [0, 2], [2, 1]], float)
