@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.operators import ontology
 from sitegrain.plans.dialect import DUCK, SPARK, Dialect, plan
 from sitegrain.plans.stored import shared_dir
 
@@ -188,3 +189,21 @@ def gra09_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["gra09_ontology_closure"] = gra09_closure
 ORACLE_SQL["gra09_ontology_closure"] = _closure(None)
+
+
+def gra09_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of classes made from parts: two parents each (a diamond at every step) and a cycle at the top; a brand is a property of the first part that has it."""
+    parts = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet").where("p_partkey is not null")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    k = F.col("p_partkey")
+    parents = F.when(k > 3, F.array(F.floor(k / 2), F.floor(k / 3))).otherwise(F.array(k % 3 + 1))
+    edges = parts.select(name(k).alias("child"), F.explode(parents).alias("parent")).select("child", name(F.col("parent")).alias("parent"))
+    stated = parts.groupBy(F.col("p_brand").alias("property")).agg(F.min("p_partkey").alias("k")).select(name(F.col("k")).alias("class"), "property")
+    return ontology.inherited(ontology.closure(edges), stated)
+
+
+QUERIES["gra09_inherited_properties"] = gra09_inherited
+ORACLE_SQL["gra09_inherited_properties"] = """with recursive e as (select p_partkey as child, unnest(case when p_partkey > 3 then [p_partkey // 2, p_partkey // 3] else [p_partkey % 3 + 1] end) as parent from part),
+  up(class, origin) as (select child, parent from e union select u.class, e.parent from up u join e on u.origin = e.child),
+  s as (select p_brand as property, min(p_partkey) as k from part group by 1), w as (select class, origin from up union select k, k from s)
+  select 'c' || class as class, property, count(distinct origin) as n_origins from w join s on s.k = w.origin group by 1, 2"""
