@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.functions.html import extract_page
-from sitegrain.operators import linkplan, signatures, structured, trust
+from sitegrain.operators import directories, linkplan, signatures, structured, trust
 from sitegrain.operators.rules import page_rows, set_rules
 from sitegrain.plans.dialect import SPARK, over
 from sitegrain.plans.stored import materialise, once
@@ -143,9 +143,24 @@ def lp01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkplan.priorities(link_facts(spark, sf_dir)).select("url", F.col("target_score").cast("bigint").alias("target_score"))
 
 
+def listed_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best listing of every client in two directories, whose listings Spark derives from clients: names with additions, numbers and sites that some lack."""
+    c = spark.read.parquet(f"{sf_dir.rstrip('/')}/clients.parquet").where("client_id is not null")
+    n, none = F.col("client_id"), F.lit(None).cast("string")
+    phone, site = _say("+1 2", F.lpad((n % 1000000000).cast("string"), 9, "0")), _say("https://www.c", n, ".example/")
+    sources = c.select(n.alias("source_id"), "name", phone.alias("phone"), F.col("city").alias("address"), site.alias("website"))
+    listings = c.select(
+        F.when(n % 2 == 0, "A").otherwise("B").alias("directory"), _say("https://listing.example/", n).alias("url"), F.when(n % 5 == 0, F.lit("Somebody Else")).otherwise(F.concat(F.lit("The "), F.col("name"), F.lit(" Inc"))).alias("name"),
+        F.when(n % 3 == 0, none).when(n % 7 == 0, F.lit("+1 999 999 9999")).otherwise(phone).alias("phone"), F.col("city").alias("address"), F.when(n % 4 == 0, site).otherwise(none).alias("website"),
+        F.lit(None).cast("array<string>").alias("links"), none.alias("title"), none.alias("snippet"), (n % 11 == 0).alias("own_link"),
+    )
+    return directories.best(directories.evidence(sources, listings)).select("source_id", "directory", "listing_url", "website_match", "phone_match", F.round("name_score", 6).alias("name_score"), F.round("address_score", 6).alias("address_score"), "confidence", "status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src01_captures": src01, "jon07_site_edges": site_edges, "gra01_site_degrees": site_degrees, "jon04_site_broken_links": site_broken, "rules_site_findings": site_findings, "lim02_evidence": evidence,
     "an05_alternates": an05, "agg21_schema_coverage": agg21, "gra07_schema_edges": schema_edges, "gra08_schema_isolated": schema_isolated, "agg23_schema_conflicts": schema_conflicts, "lp02_targets": lp02, "lp03_priorities": lp01,
+    "an15_directory_listings": listed_clients,
 }
 
 _LINKS = "l as (select page_id as a, unnest([(page_id * 7 + 1) % 97, page_id // 4 * 4 + 2, page_id // 2]) as b from pages), e as (select distinct a, b from l semi join pages p on l.b = p.page_id)"
@@ -177,6 +192,17 @@ ORACLE_SQL = {
       select {_URL} page_id as url, 'Product' as from_kind, '#p' || page_id as from_id, 'brand' as property, case when k is not null then 'Organization' end as to_kind, '#b' || page_id % 3 as to_id, k is not null as resolved from pages left join b on page_id % 3 = k where page_id % 5 = 0""",
     "gra08_schema_isolated": f"select {_URL} page_id as url, 'Organization' as kind, '#b' || page_id % 7 as id from pages where page_id % 5 = 1 and page_id % 7 not in (select page_id % 3 from pages where page_id % 5 = 0)",
     "agg23_schema_conflicts": "select 'Organization' as kind, '#b' || page_id % 7 as id, 'name' as property, count(distinct page_id % 2) as n_values, count(*) as n_nodes from pages where page_id % 5 = 1 group by page_id % 7 having count(distinct page_id % 2) > 1",
+    "an15_directory_listings": """with c as (select client_id as n, name, city, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[^a-z0-9]+'), lambda w: length(w) > 1)) as w, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(city, '')), '[^a-z0-9]+'), lambda w: length(w) > 1)) as k from clients where client_id is not null),
+      v as (select *, list_filter(w, lambda x: not list_contains(['the', 'and', 'for', 'of', 'inc', 'llc', 'co', 'company', 'corp', 'corporation', 'clinic', 'center', 'services', 'service', 'group', 'healthcare'], x)) as t from c),
+      l as (select *, case when n % 5 = 0 then ['somebody', 'else'] else t end as lt, n % 3 <> 0 as has_phone, n % 3 <> 0 and n % 7 <> 0 as own_phone from v),
+      p as (select s.n as source_id, case when l.n % 2 = 0 then 'A' else 'B' end as directory, 'https://listing.example/' || l.n as listing_url, s.n = l.n and l.n % 4 = 0 as website_match, s.n = l.n and l.own_phone as phone_match,
+          case when len(s.t) > 0 and len(l.lt) > 0 then len(list_intersect(s.t, l.lt)) / cast(len(s.t) as double) else 0 end as ns, case when len(s.k) > 0 and len(l.k) > 0 then len(list_intersect(s.k, l.k)) / cast(len(s.k) as double) else 0 end as sa, l.n % 11 = 0 as own, l.has_phone, l.n as ln,
+          l.n % 5 = 0 or l.name is not null as named from v s, l),
+      e as (select *, round(least(1.0, case when website_match then 0.55 else 0 end + case when phone_match then 0.25 else 0 end + ns * 0.15 + sa * 0.1 + case when own then 0.1 else 0 end), 6) as confidence, named and ns < 0.6 as bad_name, has_phone and not phone_match as bad_phone
+        from p where website_match or (phone_match and (ns >= 0.6 or sa >= 0.5)) or (ns >= 0.75 and sa >= 0.65)),
+      b as (select *, row_number() over (partition by source_id, directory order by confidence desc, listing_url) as rn from e)
+      select source_id, directory, listing_url, website_match, phone_match, round(ns, 6) as name_score, round(sa, 6) as address_score, confidence,
+        case when bad_name and bad_phone then 'Wrong Business Name, Wrong Phone Number' when bad_name then 'Wrong Business Name' when bad_phone then 'Wrong Phone Number' when not has_phone then 'No Phone Number' else 'Issues not found' end as status from b where rn = 1""",
     "agg21_schema_coverage": """with x as (select count(*) filter (page_id % 5 < 2) as entities, count(*) filter (page_id % 5 = 0) as refs from pages), r as (select count(*) as resolved from pages where page_id % 5 = 0 and page_id % 3 in (select page_id % 7 from pages where page_id % 5 = 1))
       select entities, refs, resolved, cast(case when refs > 0 then floor(resolved * 100.0 / refs + 0.5) else 100 end as bigint) as coverage, cast(11 as bigint) as n_missing from x, r""",
 }

@@ -17,6 +17,7 @@ from sitegrain.plans.stored import once
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+    "clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps",
 )
 
 
