@@ -13,6 +13,7 @@ FRAMEWORKS = (
     ("remix", "__remix|remix-run"), ("angular", "<app-root|<ng-"), ("react", r'<div[^>]*id="(root|__next)"|<script[^>]*src=".*react'),
     ("vue", r'<div[^>]*id="app"|<script[^>]*src=".*vue'),
 )
+#: Names of files that hold a hash of their content.
 HASHED_NAME = r"(?i)\.[a-f0-9]{8,32}\.|-[a-f0-9]{8,32}\.|/[a-f0-9]{20,40}/"
 
 

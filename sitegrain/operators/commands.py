@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Category groups of a comparison, steps of grades, weights of the assistant breakdown, deductions of the printed breakdowns.
@@ -108,7 +108,7 @@ def image_variants(images: DataFrame) -> DataFrame:
     """``images(src)`` → (src, variants): other images whose address begins with the same stem."""
     path = F.regexp_extract("src", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     stems = images.withColumn("stem", F.substring_index(F.substring_index(path, "-", 1), "_", 1))
-    return stems.withColumn("variants", F.count("*").over(Window.partitionBy("stem")) - 1).select("src", "variants")
+    return stems.join(stems.groupBy("stem").agg((F.count("*") - 1).alias("variants")), "stem").select("src", "variants")
 
 
 def diff_settings(before: DataFrame, after: DataFrame) -> DataFrame:

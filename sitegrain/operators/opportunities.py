@@ -9,7 +9,7 @@ depth 3; a page or URL without search data is scored by depth alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds, what easiness adds, severity points, valuable paths, utility paths, thresholds.
@@ -60,7 +60,7 @@ def _known(pages: DataFrame, gsc: DataFrame | None) -> DataFrame:
     """Pages with their search data; a URL that the export repeats counts by its last values."""
     spark = pages.sparkSession
     rows = gsc if gsc is not None else spark.createDataFrame([], GSC)
-    rows = rows.dropDuplicates(["url"]).withColumn("known", F.lit(True))
+    rows = last_rows(rows).withColumn("known", F.lit(True))
     return pages.join(rows, "url", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "impressions": F.coalesce("impressions", F.lit(0)), "ctr": F.coalesce("ctr", F.lit(0.0))})
 
 
@@ -188,6 +188,8 @@ def enriched_pages(pages: DataFrame, gsc: DataFrame, crux: DataFrame) -> int:
     return pages.join(gsc.select("url").union(crux.select("url")).distinct(), "url", "left_semi").distinct().count()
 
 
-def last_rows(rows: DataFrame, seq: str) -> DataFrame:
-    """The last row of each URL, for exports that repeat URLs."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy(F.desc(seq)))).where("_n = 1").drop("_n", seq)
+def last_rows(rows: DataFrame, seq: str = "seq") -> DataFrame:
+    """The last row of each URL, for exports that repeat URLs: by ``seq``, and without one the greatest by its values, so that reruns agree."""
+    rest = [c for c in rows.columns if c not in ("url", seq)]
+    order = F.struct(*([seq] if seq in rows.columns else []), *rest)
+    return rows.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("_last")).select("url", "_last.*")

@@ -89,8 +89,8 @@ def agg05(d: Dialect) -> str:
 
 @plan("agg06_severity_totals", "pages")
 def agg06(d: Dialect) -> str:
-    return f"""with {set_rules(d)}, ranked as (select *, row_number() over (order by page_id, rule_id, sub_check) as rn from findings where severity in ('critical', 'error'))
-    select 'quick-win' as kind, rule_id as name, sub_check, page_id as n from ranked where rn <= 5
+    return f"""with {set_rules(d)}, first_five as (select * from findings where severity in ('critical', 'error') order by page_id, rule_id, sub_check limit 5)
+    select 'quick-win' as kind, rule_id as name, sub_check, page_id as n from first_five
     union all select 'total', severity, '', count(*) from findings group by severity"""
 
 

@@ -33,11 +33,17 @@ def test_udfs(spark):
 
 
 def test_robots(spark):
-    text = "User-agent: other\nDisallow: /all\nUser-agent: *\nDisallow: /admin/ # c\nDisallow: /private/*\nDisallow: /*.php$\nAllow: /"
-    rules = protocols.robots_rules(spark.createDataFrame([("h", text)], "host string, content string"))
-    paths = ["/admin/x", "/private/y", "/index.php", "/index.php?id=123", "/all", "/"]
-    kept = protocols.robots_allowed(spark.createDataFrame([("h", p) for p in paths], "host string, path string"), rules).collect()
-    assert {r.path for r in kept} == {"/index.php?id=123", "/all", "/"}
+    """Groups of several agents, comments, stars in the middle, an end mark, and rules of another host."""
+    rules = "User-agent: crawler-x\nDisallow: /\n\nUser-agent: *\nDisallow: /cart # not for machines\nDisallow: /*/draft-\nDisallow: /print$\nAllow: /"
+    hosts = [("shop.test", rules), ("open.test", "User-agent: *\nDisallow:\n"), ("shut.test", "User-agent: *\nDisallow: /")]
+    table = protocols.robots_rules(spark.createDataFrame(hosts, "host string, content string"))
+    asked = {
+        "shop.test": {"/": True, "/cart": False, "/cart/7": False, "/news/draft-2": False, "/draft-2": True, "/print": False, "/print/a": True},
+        "open.test": {"/cart": True}, "shut.test": {"/": False, "/x": False},
+    }
+    paths = spark.createDataFrame([(h, p) for h, x in asked.items() for p in x], "host string, path string")
+    kept = {(r.host, r.path) for r in protocols.robots_allowed(paths, table).collect()}
+    assert kept == {(h, p) for h, x in asked.items() for p, allowed in x.items() if allowed}
 
 
 def test_llms_and_sitemap(spark):
