@@ -3,6 +3,7 @@
 import shutil
 
 from sitegrain.plans import stored
+from sitegrain.operators import scoring  # noqa: F401  registers its plans
 from sitegrain.plans.dialect import PLANS, over
 
 SF = "/root/testdata/sf0.001"
