@@ -597,7 +597,7 @@ def test_queries_take_odd_tables(spark, tmp_path):
         for query, run in BY_DOCUMENT.items():
             rows = run(spark, f"{tmp_path}/{name}").collect()
             assert Counter(r.doc_id for r in rows) == ids, (name, query)
-            if name == "twice" and query not in ("op4_sharding", "op7_wavelet", "op13_mixing"):  # these give equal rows places of their own
+            if name == "twice" and query not in ("op4_sharding", "op7_wavelet", "op8_syncmers", "op13_mixing"):  # these give equal rows places, or neighbours, of their own
                 assert len({repr(r) for r in rows}) == len(ids), query
         packed = QUERIES["op3_packing"](spark, f"{tmp_path}/{name}").collect()
         assert Counter(r.doc_id for r in packed if r.piece == 0) == ids
