@@ -199,7 +199,7 @@ def gra09_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = F.when(k > 3, F.array(F.floor(k / 2), F.floor(k / 3))).otherwise(F.array(k % 3 + 1))
     edges = parts.select(name(k).alias("child"), F.explode(parents).alias("parent")).select("child", name(F.col("parent")).alias("parent"))
     stated = parts.groupBy(F.col("p_brand").alias("property")).agg(F.min("p_partkey").alias("k")).select(name(F.col("k")).alias("class"), "property")
-    return ontology.inherited(ontology.closure(edges), stated)
+    return ontology.inherited_along(edges, stated)
 
 
 QUERIES["gra09_inherited_properties"] = gra09_inherited

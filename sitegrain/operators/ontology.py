@@ -1,5 +1,10 @@
 """A class hierarchy as tables: its closure, inherited properties, and whether one class is under another.
 
+Inherited properties need no closure: only the classes that state something are
+handed down, a step a round, and a round takes what the last one added. So the
+rows made are those of the result times the number of parents, in as many
+rounds as the hierarchy is deep.
+
 The closure doubles the length of its paths each round and ends when a round
 adds nothing, so it takes the logarithm of the depth in rounds, and a cycle
 ends it like any other path. Every pair is kept once, however many ways lead to
@@ -16,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.plans.stored import materialise
+from sitegrain.plans.stored import materialise, written
+
 
 def clean_uri(c: Column) -> Column:
     """One scheme for the vocabulary's own names."""
@@ -67,6 +73,26 @@ def inherited(above: DataFrame, stated: DataFrame) -> DataFrame:
     return own.union(down).distinct().groupBy("class", "property").agg(F.count("*").alias("n_origins"))
 
 
+def handed_down(edges: DataFrame, origins: DataFrame) -> DataFrame:
+    """``edges(child, parent)``, ``origins(class)`` → ``(class, origin)``: the origins that are the class or above it, each pair once."""
+    steps = materialise(edges.where("child <> '' and parent <> ''").select("child", F.col("parent").alias("class")).distinct(), "steps")
+    first = origins.select("class", F.col("class").alias("origin")).distinct()
+    read = lambda *paths: first.sparkSession.read.schema(first.schema).parquet(*paths)
+    paths = [written(first, "pairs")]
+    while not (last := read(paths[-1])).isEmpty():
+        reached = last.join(steps, "class").select(F.col("child").alias("class"), "origin", F.lit(True).alias("new"))
+        seen = reached.unionByName(read(*paths).withColumn("new", F.lit(False)))
+        paths.append(written(seen.groupBy("class", "origin").agg(F.every("new").alias("new")).where("new").select("class", "origin"), "pairs"))
+    return read(*paths)
+
+
+def inherited_along(edges: DataFrame, stated: DataFrame) -> DataFrame:
+    """The rows of ``inherited`` from ``edges(child, parent)``, without a closure."""
+    stated = stated.select("class", "property").distinct()
+    pairs = handed_down(edges, stated.select("class").distinct())
+    return pairs.join(stated.withColumnRenamed("class", "origin"), "origin").groupBy("class", "property").agg(F.count("*").alias("n_origins"))
+
+
 def under(pairs: DataFrame, above: DataFrame) -> DataFrame:
     """``pairs(child, parent)`` with ``holds``: the same class, or one above; names may stand without the vocabulary's address."""
     full = lambda c: F.when(F.col(c).contains("://") | F.col(c).contains(":"), F.col(c)).otherwise(F.concat(F.lit("https://schema.org/"), F.col(c)))

@@ -2,6 +2,7 @@
 
 import json
 
+from sitegrain import catalog
 from sitegrain.operators import ontology
 
 S = "http://schema.org/"
@@ -37,3 +38,19 @@ def test_nothing(spark):
 def test_long_chain_and_repeats(spark):
     chain = [(f"c{i}", f"c{i + 1}") for i in range(40)] * 2
     assert ontology.closure(spark.createDataFrame(chain, "child string, parent string")).count() == 41 * 40 // 2
+
+
+def test_inherited_along_a_diamond_and_a_cycle(spark):
+    edges = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("d", "b"), ("a", "z"), ("z", "y"), ("y", "z"), ("", "a"), (None, "a"), ("e", None)]
+    stated = [("a", "p"), ("a", "p"), ("b", "p"), ("c", "q"), ("y", "r"), ("z", "r"), ("alone", "s")]
+    edges, stated = spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame(stated, "class string, property string")
+    expected = {("a", "p", 1), ("b", "p", 2), ("c", "p", 1), ("d", "p", 2), ("c", "q", 1), ("d", "q", 1), ("alone", "s", 1), *((x, "r", 2) for x in "abcdyz")}
+    got = [tuple(r) for r in ontology.inherited_along(edges, stated).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert {tuple(r) for r in ontology.inherited(ontology.closure(edges), stated.distinct()).collect()} == expected
+
+
+def test_inherited_makes_no_closure(spark, monkeypatch):
+    """Parts with a diamond at each step have far more ancestors than the result needs."""
+    monkeypatch.setattr(ontology, "closure", None)
+    assert catalog.QUERIES["gra09_inherited_properties"](spark, "/root/testdata/sf0.001").count() > 0
