@@ -41,3 +41,12 @@ def test_closure(spark, chain):
     expected = {(f"n{i}", f"r{i % 2}", 1) for i in range(8)}
     expected |= {(f"c{i + 1}", f"n{i}", 1) for i in range(8)} | {(f"c{i + 1}", f"r{i % 2}", 2) for i in range(8)}
     assert {tuple(r) for r in catalog.QUERIES["gra09_ontology_closure"](spark, chain).collect()} == expected
+
+
+def test_closure_beyond_the_rows_of_a_recursion(spark, chain):
+    """A recursion in SQL ends with an error at a number of rows, a million by default."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "5")
+    try:
+        assert catalog.QUERIES["gra09_ontology_closure"](spark, chain).count() == 24
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
