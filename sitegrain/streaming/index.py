@@ -15,7 +15,10 @@ Three steps, each a query of its own that goes on where it stopped:
 State holds keys' hashes and signatures of pages, never a group: it grows with
 the number of URLs, in the state store's files.
 
-Defined results: rows without a URL don't take part; of captures of one URL the
+Captures that have a ``page`` are keyed by it instead of their URL, where pages
+of one URL are pages of their own; ``url`` in the results is then the page.
+
+Defined results: rows without a key don't take part; of captures of one key the
 largest ``seq`` counts, and of equal ones the first that came; a null or blank
 value is in no group; a page of fewer than five words has no signature; an
 empty stream gives an empty index.
@@ -42,9 +45,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def page_values(captures: DataFrame) -> DataFrame:
-    """``captures(url, html, seq)`` → ``(url, seq, title, description, h1, signature)``, a stateless projection; html ends here."""
+    """``captures(url, html, seq[, page])`` → ``(url, seq, title, description, h1, signature)``, a stateless projection; html ends here."""
+    key = F.col("page" if "page" in captures.columns else "url")
     plain = lambda c: F.nullif(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), F.lit(""))
-    read = captures.where("url is not null").select("url", "seq", extract_page("html", "url").alias("p"), F.expr(strip_html(SPARK, "coalesce(html, '')")).alias("body"))
+    read = captures.where(key.isNotNull()).select(key.alias("url"), "seq", extract_page("html", "url").alias("p"), F.expr(strip_html(SPARK, "coalesce(html, '')")).alias("body"))
     signature = F.array_join(signature_of(F.col("body")), ",")
     return read.select("url", "seq", plain(F.col("p.title")).alias("title"), plain(F.col("p.description")).alias("description"), plain(F.get("p.h1", F.lit(0))).alias("h1"), signature.alias("signature"))
 

@@ -135,3 +135,18 @@ def test_windows_over_late_events(spark):
 def test_a_folder_is_a_stream_too(spark, tmp_path):
     spark.range(10).withColumnRenamed("id", "n").repartition(3).write.parquet(f"{tmp_path}/things.parquet")
     assert captures.drain(captures.stream_of(spark, str(tmp_path), "things")).count() == 10
+
+
+@pytest.fixture(scope="module")
+def one_url(spark, tmp_path_factory):
+    """Four pages, three of them of one URL and one without."""
+    folder, body = str(tmp_path_factory.mktemp("one_url")), "the very same body of eight words here"
+    rows = [(1, "https://a.test/", _page("One", "d", "x", body)), (2, "https://a.test/", _page("one", "", "y", "")), (3, "https://a.test/", _page("Two", "d", "y", "")), (4, None, _page("One", "", "x", body))]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+def test_pages_of_one_url_are_pages_of_their_own(spark, one_url):
+    got = [tuple(r) for r in captures.QUERIES["st03_page_index"](spark, one_url).collect()]
+    a = "https://a.test/"
+    assert sorted(got, key=str) == sorted([(a, "title", "one", 2), (a, "title", "one", 2), (None, "title", "one", 2), (a, "description", "d", 1), (a, "description", "d", 1), (a, "h1", "x", 1), (None, "h1", "x", 1), (a, "h1", "y", 1), (a, "h1", "y", 1)], key=str)
