@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions.html import resolve
 from sitegrain.functions.scalars import cache_facts
+from sitegrain.functions.slices import slices
 
 #: Deductions, sizes and budgets in bytes, widths, the images taken to be above the fold.
 DEDUCTIONS = {"critical": 35, "error": 20, "warning": 10, "info": 2}
@@ -60,7 +61,7 @@ class _Images(HTMLParser):
 
 
 def _discover(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for html, url in batches:
+    for html, url in slices(batches):
         out = []
         for h, u in zip(html, url):
             p = _Images(u or "")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import structured as one
 from sitegrain.functions.html import read_page, schema_items
+from sitegrain.functions.slices import slices
 
 SCHEMA = """items array<struct<seq:int,kind:string,id:string,json:string,issues:array<struct<level:string,property:string,message:string>>>>,
 nodes array<struct<seq:int,kind:string,id:string,json:string>>, refs array<struct<seq:int,property:string,kind:string,id:string>>,
@@ -36,7 +37,7 @@ def _page(html: str | None, url: str | None) -> dict:
 
 
 def _read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for html, url in batches:
+    for html, url in slices(batches):
         yield pd.DataFrame([_page(h, u) for h, u in zip(html, url)], columns=["items", "nodes", "refs", "roots", "tree"])
 
 
