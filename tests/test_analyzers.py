@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import scalars, structured
 from sitegrain.functions.html import extract_page
-from sitegrain.operators import opportunities, trust
+from sitegrain.operators import opportunities, signatures, trust
 from sitegrain.operators import structured as over
 
 
@@ -168,3 +168,15 @@ def test_opportunities(spark):
     assert [r.url[13:] for r in opportunities.ranked(every, 2).collect()] == ["/product/1", "/product/1"] and opportunities.ranked(every, least="high").count() == 2
     assert {r.kind: (r.high, r.medium, r.low) for r in opportunities.summary(every).collect()}["content"] == (0, 0, 0)
     assert opportunities.opportunities(pages.limit(0), findings).count() == 0 and opportunities.enriched_pages(pages, gsc, spark.createDataFrame([], opportunities.CRUX)) == 1
+
+
+def test_near_pairs_come_once_a_way(spark):
+    """Signatures that share several bands, one band or none; what meets in several bands is one pair a way."""
+    base = list(range(64))
+    other = [x if x >= 8 else -x - 1 for x in base]  # 56 of 64
+    far = [x if x < 4 else 1000 + x for x in base]  # one band, 4 of 64
+    signed = spark.createDataFrame([(s,) for s in (base, other, far, [5000 + x for x in base])], "sig array<bigint>")
+    got = [(r.a, r.b, r.likeness) for r in signatures.near_pairs(signed).collect()]
+    assert sorted(got) == sorted([(base, other, 56 / 64), (other, base, 56 / 64)])
+    plan = signatures.near_pairs(signed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # pairs that merely meet are not shuffled
