@@ -5,7 +5,7 @@ import shutil
 import pytest
 
 from sitegrain.plans import dialect, stored
-from sitegrain.operators import scoring  # noqa: F401  registers its plans
+from sitegrain.operators import scoring, signatures, site  # noqa: F401  scoring registers its plans
 from sitegrain.plans.dialect import PLANS, over
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +65,13 @@ def test_unread_tables_are_not_written(spark, monkeypatch):
     assert PLANS["jon07_page_edges"].run(spark, "/root/testdata/sf0.001").columns == ["source", "target"]
     with pytest.raises(AssertionError):
         PLANS["agg04_overall"].run(spark, "/root/testdata/sf0.001")
+
+
+def test_site_links_need_no_near_pages(spark, monkeypatch):
+    """Targets of the link plan follow from links and structured data."""
+    def refuse(*_):
+        raise AssertionError("made although nothing reads it")
+
+    monkeypatch.setattr(signatures, "near_pages", refuse)
+    stored.forget(spark)
+    assert site.QUERIES["lp02_targets"](spark, SF).columns == ["url", "target_score"]
