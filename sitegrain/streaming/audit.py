@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegrain.operators.rules import fired_findings, page_rows, set_rules
-from sitegrain.operators.signatures import near_among, signed_pages
+from sitegrain.operators.signatures import near_kinds, signed_pages
 from sitegrain.plans.dialect import SPARK, over
 
 FINDING = "page_id bigint, url string, rule_id string, sub_check string, severity string, category string"
@@ -56,7 +56,7 @@ def start(captures: DataFrame, folder: str):
 def finish(spark: SparkSession, folder: str) -> DataFrame:
     """The second phase; returns all findings."""
     rows = spark.read.parquet(_rows(folder)).drop("part")
-    near = near_among(spark.read.parquet(f"{folder}/signatures").drop("part"))
+    near = near_kinds(spark.read.parquet(f"{folder}/signatures").drop("part"))
     found = over(spark, {"stored_rows": rows, "stored_near": near}, f"with {set_rules(SPARK, 'stored_rows', 'stored_near')} select * from set_findings")
     found.write.mode("overwrite").parquet(f"{_findings(folder)}/part=set")
     return spark.read.parquet(_findings(folder)).drop("part")

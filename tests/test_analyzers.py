@@ -180,3 +180,31 @@ def test_near_pairs_come_once_a_way(spark):
     assert sorted(got) == sorted([(base, other, 56 / 64), (other, base, 56 / 64)])
     plan = signatures.near_pairs(signed)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # pairs that merely meet are not shuffled
+
+
+def test_near_kinds_are_exact_and_meet_few(spark, monkeypatch):
+    """Against all pairs; a family around one signature is settled by its first, without pairs among its members."""
+    import random
+
+    from sitegrain.operators import signatures
+
+    rng = random.Random(5)
+    sigs = []
+    for family in range(12):
+        base = [rng.randrange(2**31) for _ in range(64)]
+        for member in range(25):
+            sigs.append([rng.randrange(2**31) if i < rng.choice((0, 3, 6, 7, 12, 13, 20)) else v for i, v in enumerate(base)])
+    sigs += [sigs[0], [rng.randrange(2**31) for _ in range(64)]]
+    rows = list(enumerate(sigs))
+    agree = lambda a, b: sum(x == y for x, y in zip(a, b))
+    best = {i: max(agree(a, b) for j, b in rows if j != i) for i, a in rows}
+    signed = spark.createDataFrame(rows, "page_id int, sig array<bigint>")
+    assert {tuple(r) for r in signatures.near_kinds(signed).collect()} == {(i, 1.0 if n >= 58 else 0.8) for i, n in best.items() if n >= 52}
+    assert signatures.near_kinds(signed.limit(0)).collect() == []
+
+    made, keep = {}, signatures.materialise
+    monkeypatch.setattr(signatures, "materialise", lambda df, name="table": made.setdefault(name, keep(df, name)))
+    base = [rng.randrange(2**31) for _ in range(64)]
+    family = [(i, [*base[:-3], *(rng.randrange(2**31) for _ in range(3))]) for i in range(200)]
+    assert signatures._with_another(spark.createDataFrame(family, "page_id int, sig array<bigint>").selectExpr("sig", "true as sought"), 58).count() == 200
+    assert made["met"].count() <= 7 * 200 and made["met"].join(made["found"], "sig", "left_anti").count() == 0
