@@ -296,26 +296,33 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, context = encoder(path), TaskContext.get()
-        task, tail, part = context.partitionId(), np.array([end], "<u2").tobytes(), 0
+        task, part = context.partitionId(), 0
         ids: list = []
-        raws: list[bytes] = []
+        lengths: list[int] = []
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(raws), "<u2")
+            tokens = np.concatenate(held)
             uri = f"{folder}/shard-{task:06d}-{part:04d}-{context.taskAttemptId()}.wm"
-            write_file(uri, to_bytes(ids, [len(r) // 2 for r in raws], tokens))
+            write_file(uri, to_bytes(ids, lengths, tokens))
             return pa.RecordBatch.from_pylist([{"task": task, "part": part, "path": uri, "docs": len(ids), "tokens": len(tokens)}], schema)
 
         schema = pa.schema([("task", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
-        held = 0
+        n = 0
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                ids.append(i)
-                raws.append(raw + tail)
-                held += len(raw) // 2 + 1
-                if held >= FILE_TOKENS:
+            names, (tokens, sizes) = b.column(0).to_pylist(), enc.encode_column(b.column(1), end)
+            while names:
+                stops = np.cumsum(sizes)
+                rows = min(int(np.searchsorted(stops, FILE_TOKENS - n)) + 1, len(names))  # through the document that fills the file
+                cut = int(stops[rows - 1])
+                ids += names[:rows]
+                lengths += sizes[:rows].tolist()
+                held.append(tokens[:cut])
+                n += cut
+                names, sizes, tokens = names[rows:], sizes[rows:], tokens[cut:]
+                if n >= FILE_TOKENS:
                     yield flush()
-                    part, held, ids, raws = part + 1, 0, [], []
+                    part, n, ids, lengths, held = part + 1, 0, [], [], []
         if ids:
             yield flush()
 

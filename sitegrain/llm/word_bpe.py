@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import resident
 
@@ -108,6 +110,30 @@ class WordBpe:
             out += [b"".join(map(get, s)) for s in split]
         return out
 
+    def encode_column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by ``end``, and how many each has; equal chunks are looked up once."""
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # other white space stays in its chunk, which goes to the library whole
+        coded, chunks = parts.flatten().dictionary_encode(), self.chunks
+        kinds = coded.dictionary
+        one = pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), kinds.cast(pa.string()))
+        names = pc.binary_join(one, "\n")[0].as_py().split("\n") if len(kinds) else []
+        if len(chunks) > CACHE_ENTRIES:
+            chunks.clear()
+        chunks[""] = b""  # before a text's first white space and after its last
+        raws = list(map(chunks.get, names))
+        if new := [i for i, raw in enumerate(raws) if raw is None]:
+            self._learn([names[i] for i in new])
+            for i in new:
+                raws[i] = chunks[names[i]]
+        raws.append(np.array([end], "<u2").tobytes())
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 2
+        ids = pa.array(np.frombuffer(b"".join(raws), "<u2"))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), ids)
+        stops = parts.offsets.to_numpy()[1:]
+        codes = np.insert(coded.indices.to_numpy(), stops, len(names))
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[stops + np.arange(1, len(stops) + 1)]
+        return lists.take(pa.array(codes)).flatten().to_numpy(), np.diff(ends, prepend=0)
+
 
 def encoder(path: str) -> WordBpe:
     """The worker's encoder; it lives as long as no other operator's model takes its place."""
