@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from sitegrain.llm import wavelet
+from sitegrain.llm import wavelet, word_bpe
 from sitegrain.llm.word_bpe import WordBpe, tokenizer_path
 
 TEXTS = [
@@ -27,6 +27,39 @@ def test_encode_column_equals_library(kind):
         assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["x<", "|endoftext|> y", "DON'", "T 'tis", "r'", "", "re", "12", "3"],
+        ["We'LL they're I'm 'sé 'é ''s 's's x'd1 rock'n'roll 'rex", "a_b--c1d2", "Éa éA ÿŸ 3×4 İi Ω< <|", None],
+        ["e\u0301 H\u0331 \u0301a", "漢'd 漢", "'S", "<|ENDOFTEXT|> <|endoftext|>a"],
+    ],
+)
+def test_words_split_as_the_library_does(texts):
+    """Contractions, signs, foreign chunks and special tokens, also where one text's end and the next one's start would make one."""
+    enc = WordBpe(tokenizer_path())
+    ids, sizes = enc.encode_column(pa.array(texts), 1)
+    want = [[*enc.whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_words_met_lately_stay_known(monkeypatch):
+    """A full table of words gives way to a new one; a word that is still in use is not encoded again."""
+    monkeypatch.setattr(word_bpe, "CACHE_ENTRIES", 4)
+    enc, asked = WordBpe(tokenizer_path()), []
+
+    class Bulk:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(w for t in texts for w in t.split("\n"))
+            return bulk.encode_batch_fast(texts, **kw)
+
+    bulk, enc.bulk = enc.bulk, Bulk()
+    for text in ("aa bb cc dd ee ff", "bb, aa! gg", "Aa hh ii jj kk ll", "aa ll mm"):
+        ids, sizes = enc.encode_column(pa.array([text]), 1)
+        assert ids.tolist() == [*enc.whole.encode(text, add_special_tokens=False).ids, 1] and sizes.tolist() == [len(ids)]
+    assert sorted(asked) == sorted(["!", ",", *(2 * c for c in "abcdefghijklm")])
+
+
 def test_files_hold_whole_documents(spark, tmp_path):
     """A file is closed after the document that fills it."""
     words = [1_500_000, 600_000, 3, 0, 2_500_000, 7]
