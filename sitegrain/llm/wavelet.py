@@ -11,11 +11,11 @@ a reader holds is the directory and the blocks it has touched last. Because
 the end id is an ordinary vocabulary entry that texts may contain, the file
 also keeps each document's id and length.
 
-File format, little-endian: ``SGWM0002``, uint32 header length, JSON header
+File format, little-endian: ``SGWM0003``, uint32 header length, JSON header
 (counts, zero bits per plane, block size, section lengths), then zlib sections:
 document ids (int64 deltas), document lengths (int64), ones by block (uint32,
-plane after plane), compressed block sizes (uint32, likewise); then the zlib
-blocks of all planes (packed bits, lowest first).
+plane after plane), compressed block sizes (uint32, likewise); then the blocks
+of all planes (packed bits, lowest first), each a zstd frame.
 
 Documents are range-partitioned by id and, among equal and null ids, by their
 text's hash, so the files in order of (task, part) hold ascending ids and no id
@@ -49,12 +49,13 @@ from pyspark.sql import functions as F
 from .common import materialise, shared_dir, table, text_batches
 from .word_bpe import encoder, tokenizer_path
 
-MAGIC = b"SGWM0002"
+MAGIC = b"SGWM0003"
 END = 1
 LEVELS = 16
 FILE_TOKENS = 2_000_000  # a file is closed once it holds so many
 BLOCK_BITS = 1 << 15  # of a plane, compressed together
 KEPT_BLOCKS = 32  # inflated blocks that a plane keeps
+ZSTD = pa.Codec("zstd", 1)  # of a block
 
 
 class BitPlane:
@@ -66,9 +67,13 @@ class BitPlane:
         self.places = at + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         self.inflated: OrderedDict[int, np.ndarray] = OrderedDict()
 
+    def _inflate(self, raw: bytes, block: int) -> bytes:
+        step = self.block_bits // 8
+        return ZSTD.decompress(raw, decompressed_size=min(step, -(-self.n // 8) - block * step), asbytes=True)
+
     def _words(self, block: int) -> np.ndarray:
         if block not in self.inflated:
-            raw = zlib.decompress(self.fetch(int(self.places[block]), int(self.places[block + 1] - self.places[block])))
+            raw = self._inflate(self.fetch(int(self.places[block]), int(self.places[block + 1] - self.places[block])), block)
             self.inflated[block] = np.frombuffer(raw.ljust(self.block_bits // 8, b"\0"), "<u8")
             if len(self.inflated) > KEPT_BLOCKS:
                 self.inflated.popitem(last=False)
@@ -106,7 +111,7 @@ class BitPlane:
         """All words, and the ones before each: for many positions at once, as large as the tokens themselves."""
         start, last = int(self.places[0]), int(self.places[-1])
         raw, ends = self.fetch(start, last - start), (self.places - start).tolist()
-        packed = b"".join(zlib.decompress(raw[a:z]) for a, z in zip(ends, ends[1:]))
+        packed = b"".join(self._inflate(raw[a:z], i) for i, (a, z) in enumerate(zip(ends, ends[1:])))
         words = np.frombuffer(packed.ljust(8 * (len(packed) // 8 + 1), b"\0"), "<u8")
         return words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
 
@@ -233,7 +238,7 @@ def to_bytes(ids: list[int | None], lengths: list[int], tokens: np.ndarray) -> b
     planes, zeros = WaveletMatrix.pack(tokens)
     step = BLOCK_BITS // 8
     cut = [p[a : a + step] for p in planes for a in range(0, len(p), step)]
-    blocks = [zlib.compress(x, 1) for x in cut]
+    blocks = [ZSTD.compress(x, asbytes=True) for x in cut]
     ones = np.array([int.from_bytes(x, "little").bit_count() for x in cut], "<u4")
     heads = (np.diff(known, prepend=0).astype("<i8"), np.array(lengths, "<i8"), ones, np.array(list(map(len, blocks)), "<u4"))
     parts = [zlib.compress(x.tobytes(), 1) for x in heads]

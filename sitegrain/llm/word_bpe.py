@@ -215,14 +215,12 @@ class WordBpe:
         kinds = coded.dictionary
         one = pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), kinds)
         raws = self._met(pc.binary_join(one, "\n")[0].as_py().split("\n") if len(kinds) else [])
-        raws.append(np.array([end], "<u2").tobytes())
-        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 2
-        ids = pa.array(np.frombuffer(b"".join(raws), "<u2"))
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), ids)
+        held = pa.array([*raws, np.array([end], "<u2").tobytes()], pa.large_binary())
         stops = np.cumsum(counts)
-        codes = np.insert(coded.indices.to_numpy(), stops, len(kinds))
-        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[stops + np.arange(1, len(stops) + 1)]
-        return lists.take(pa.array(codes)).flatten().to_numpy(), np.diff(ends, prepend=0)
+        taken = held.take(pa.array(np.insert(coded.indices.to_numpy(), stops, len(kinds))))
+        places = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 2
+        ids = np.frombuffer(taken.buffers()[2], "<u2")[: places[-1]] if len(taken) else np.zeros(0, "<u2")
+        return ids, np.diff(places[stops + np.arange(1, len(stops) + 1)], prepend=0)
 
 
 def encoder(path: str) -> WordBpe:

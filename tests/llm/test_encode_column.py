@@ -1,5 +1,6 @@
 """The encoder over a whole column against the library, text by text, and the cut of its ids into files."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -76,3 +77,13 @@ def test_files_hold_whole_documents(spark, tmp_path):
     assert wavelet.FILE_TOKENS == 2_000_000
     assert rows == [(0, 2, sum(sizes[:2])), (1, 3, sum(sizes[2:5])), (2, 1, sizes[5])]
     assert got == [(i, int(sum(sizes[:i])), n) for i, n in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("n", [1, 8, 9, wavelet.BLOCK_BITS - 1, wavelet.BLOCK_BITS, wavelet.BLOCK_BITS + 1, 2 * wavelet.BLOCK_BITS + 9])
+def test_last_block_of_a_plane(n):
+    """Blocks are inflated to their own size: the last one of a plane is shorter."""
+    tokens = np.random.default_rng(n).integers(0, 49408, n).astype("<u2")
+    raw = wavelet.to_bytes([5], [n], tokens)
+    assert wavelet.from_bytes(raw)[2].tokens().tolist() == tokens.tolist()
+    matrix = wavelet.from_bytes(raw)[2]
+    assert all(matrix.access(i) == tokens[i] and matrix.select(int(tokens[i]), matrix.rank(int(tokens[i]), i)) == i for i in {0, n // 2, n - 1})
