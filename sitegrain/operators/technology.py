@@ -126,10 +126,14 @@ def _strategy(found: Column, length: Column) -> Column:
 
 
 def detected(pages: DataFrame) -> DataFrame:
-    """``pages(url, html[, headers map], ...)`` without html and headers, with ``technologies`` (by category, then confidence), ``strategy`` and ``has_backend``."""
+    """``pages(url, html[, headers map][, added], ...)`` without html, headers and added, with ``technologies`` (by category, then confidence), ``strategy`` and ``has_backend``.
+
+    ``added``: markup put behind the page, which is searched too; how much text a page brings is told from the page alone.
+    """
     headers = F.col("headers") if "headers" in pages.columns else F.lit(None).cast("map<string,string>")
-    kept = [c for c in pages.columns if c not in ("html", "headers")]
-    marked = pages.select(*kept, found_markers([s[:2] for s in SIGNALS], "html", "url", headers).alias("m"))
+    added = F.col("added") if "added" in pages.columns else F.lit(None).cast("string")
+    kept = [c for c in pages.columns if c not in ("html", "headers", "added")]
+    marked = pages.select(*kept, found_markers([s[:2] for s in SIGNALS], "html", "url", headers, added).alias("m"))
     held = marked.withColumn("found", F.when(F.monotonically_increasing_id() >= 0, _found(F.col("m.signals"))))
     ordered = F.transform(F.array_sort("found"), lambda t: t.dropFields("order", "key"))
     return held.select(*kept, ordered.alias("technologies"), _strategy(F.col("found"), F.col("m.length")).alias("strategy"), F.exists("found", lambda t: t["category"] == "backend").alias("has_backend"))

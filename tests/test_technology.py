@@ -62,3 +62,24 @@ def test_text_of_the_head_is_not_the_bodys():
     assert channels(f"<html>{head}</head><body>a &copy; b<script>c</script></body></html>", None, None)[1] == len("a &copy; bc")
     assert channels(f"<html>{head}<body>text", None, None)[1] == channels(f"{head}<p>text", None, None)[1] == channels(f"{head} text", None, None)[1] == len("text")
     assert channels(head, None, None)[1] == 0
+
+
+def test_comments_are_spaces_and_added_markup_is_no_text():
+    """As the SQL of an07_technology measures a page: without the markup that the query puts behind it."""
+    page = "<head><!-- no --><title>no</title></head><body><p>a</p><!-- c --><p>b</p></body>"
+    assert channels(page, None, None)[1] == len("a b")
+    texts, length = channels(page, None, None, '<script id="__NEXT_DATA__">{}</script><img src="/x.png">')
+    assert (texts["inline"], texts["asset"], length) == ("{}", "/x.png", len("a b")) and "__next_data__" in texts["html"]
+    assert channels("<p>a <a href='", None, None, "<script src='/y.js'></script>")[0]["asset"] == "/y.js"
+
+
+def test_strategy_goes_by_the_pages_own_text(spark):
+    def strategy(text: str, added: str | None) -> list:
+        rows = spark.createDataFrame([(f"<body>{text}<!-- c --></body>", "https://a.example/", added)], "html string, url string, added string")
+        return [r.confidence for r in technology.listed(rows).where("category = 'renderingStrategy'").collect()]
+
+    mark = '<script id="__NEXT_DATA__">{}</script>'
+    assert strategy("x" * 199, mark) == [80]
+    assert strategy("x" * 200, mark) == [90]
+    assert strategy("x" * 199 + "<!-- c -->y", mark) == [90]
+    assert strategy("x" * 200, None) == []
