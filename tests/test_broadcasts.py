@@ -20,6 +20,11 @@ def test_findings(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_sides_of_two_sites(spark):
+    plan = _plan(PLANS["lim01_key_gaps"].run(spark, SF))
+    assert "SortMergeJoin [page_id" in plan and "BroadcastHashJoin [page_id" not in plan
+
+
 def test_near_pages(spark):
     signed = spark.range(6).select(F.col("id").alias("page_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i + F.col("id") % 3).alias("sig"))
     plan = _plan(signatures.near_kinds(signed))
