@@ -25,6 +25,22 @@ def test_sides_of_two_sites(spark):
     assert "SortMergeJoin [page_id" in plan and "BroadcastHashJoin [page_id" not in plan
 
 
+@pytest.mark.parametrize("name", ["agg04_overall", "agg07_mobile"])
+def test_flags_of_the_site(spark, name):
+    """The one row of the scale is broadcast, not the findings."""
+    plan = _plan(PLANS[name].run(spark, SF))
+    assert "BroadcastNestedLoopJoin" in plan and "LeftOuter" not in "".join(x for x in plan.splitlines() if "BroadcastNestedLoopJoin" in x)
+
+
+@pytest.mark.parametrize("name", ["agg04_overall", "agg07_mobile"])
+def test_flags_of_no_pages(spark, tmp_path, name):
+    """Without findings the flags don't hold: the same row as the SQL's outer join."""
+    spark.read.parquet(f"{SF}/pages.parquet").where("false").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert [tuple(r) for r in PLANS[name].run(spark, str(tmp_path)).collect()] == con.sql(PLANS[name].sql()).fetchall()
+
+
 def test_near_pages(spark):
     signed = spark.range(6).select(F.col("id").alias("page_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i + F.col("id") % 3).alias("sig"))
     plan = _plan(signatures.near_kinds(signed))
