@@ -99,13 +99,13 @@ ACTIONS = {
 
 
 def metadata(pages: DataFrame, findings: DataFrame) -> DataFrame:
-    df = _grouped(findings, _severe("metadata")).join(pages, "url")
+    df = _grouped(findings, _severe("metadata")).hint("merge").join(pages, "url")
     low = (F.col("impressions") > 1000) & (F.col("ctr") < 0.02)
     return _made(df, "metadata", score(F.lit("metadata"), F.col("severity")), [(low, F.lit(15), "seen often and clicked rarely")])
 
 
 def performance(pages: DataFrame, findings: DataFrame, crux: DataFrame | None = None) -> DataFrame:
-    df = _grouped(findings, _severe("performance")).join(pages, "url")
+    df = _grouped(findings, _severe("performance")).hint("merge").join(pages, "url")
     field = crux if crux is not None else pages.sparkSession.createDataFrame([], CRUX)
     df = df.join(field.dropDuplicates(["url"]).select("url", F.lit(True).alias("field")), "url", "left")
     visible = (F.col("known") & ((F.col("impressions") > 500) | (F.col("position") < 20))) | F.col("url").rlike("/product|/service|/pricing")
@@ -117,7 +117,7 @@ def performance(pages: DataFrame, findings: DataFrame, crux: DataFrame | None =
 
 
 def indexing(pages: DataFrame, findings: DataFrame) -> DataFrame:
-    df = _grouped(findings, _severe("indexing")).join(pages, "url")
+    df = _grouped(findings, _severe("indexing")).hint("merge").join(pages, "url")
     df = df.where(~(F.lower("url").rlike(UTILITY) | F.coalesce(F.col("depth") >= 4, F.lit(False))))
     strong = F.col("known") & ((F.col("impressions") > 100) | F.coalesce(F.col("position") < 20, F.lit(False)))
     near = ~strong & (F.col("depth") <= 1)
@@ -145,7 +145,7 @@ def schema(pages: DataFrame) -> DataFrame:
 
 def content(pages: DataFrame, findings: DataFrame) -> DataFrame:
     cond = F.lower("rule_id").rlike(CONTENT_RULES) | F.lower(F.coalesce("message", F.lit(""))).rlike(CONTENT_MESSAGES)
-    df = _grouped(findings, cond).join(pages, "url")
+    df = _grouped(findings, cond).hint("merge").join(pages, "url")
     mismatch = (F.col("position") < 15) & (F.col("ctr") < 0.015) & (F.col("impressions") > 300)
     thin = F.col("thin") & (F.col("impressions") > 500)
     return _made(df, "content", score(F.lit("content"), F.col("severity")), [(mismatch, F.lit(15), "ranks well and is clicked rarely"), (thin, F.lit(10), "thin and seen often")])

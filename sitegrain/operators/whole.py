@@ -48,7 +48,7 @@ def _link_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     degrees = _read(spark, sf_dir, "select url, in_degree, out_degree from degrees")
     edges = _read(spark, sf_dir, "select source, target from page_edges")
     strong = graph.authority(graph.pagerank(d.select("url"), materialise(edges, "edges")))
-    rows = d.join(degrees.dropDuplicates(["url"]), "url").join(strong, "url")
+    rows = d.join(degrees.dropDuplicates(["url"]).hint("merge"), "url").join(strong.hint("merge"), "url")
     return rows.select("url", "title", "h1", "h2", F.lit(None).cast("int").alias("depth"), "in_degree", "out_degree", "authority", (F.col("in_degree") == 0).alias("is_orphan"), F.size("json_ld").alias("n_schemas"), "links")
 
 

@@ -45,3 +45,12 @@ def test_near_pages(spark):
     signed = spark.range(6).select(F.col("id").alias("page_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i + F.col("id") % 3).alias("sig"))
     plan = _plan(signatures.near_kinds(signed))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_opportunities(spark):
+    pages = spark.range(1).selectExpr("concat('u', id) as url", "'t' as title", "1 as depth", "0L as in_degree", "true as is_orphan", "0 as n_schemas", "true as has_vitals")
+    kind = "array('metadata', 'performance', 'indexing')[id]"
+    found = spark.range(3).selectExpr("concat('u', id div 9) as url", f"concat({kind}, '-rule') as rule_id", "'error' as severity", f"{kind} as category", "'thin text' as message", "'' as recommendation")
+    known = opportunities._known(pages, None)
+    for made in (opportunities.metadata(known, found), opportunities.indexing(known, found), opportunities.content(known, found), opportunities.performance(known, found)):
+        assert "Broadcast" not in _plan(made) and made.count() == 1
