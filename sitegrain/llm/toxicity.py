@@ -23,11 +23,14 @@ spelling alone. A logistic fit with slopes of zero and more on labelled
 documents kept out of the counts turns the evidence into a probability, so that
 no evidence of toxicity lowers a score.
 
-The classifier is fitted on a bounded sample: about ``MAX_DOCS`` labelled
-documents at most, chosen by a hash of their id, and at most ``MAX_PAIRS`` of
-their most frequent pairs (those of ``PAIR_DOCS`` documents and more) and
-``MAX_WORDS`` words, so what is broadcast is bounded whatever the texts hold;
-scoring covers all rows and whole texts.
+The classifier is fitted on all labelled documents: words and pairs are counted
+and summed by Spark, and the slopes are fitted by sums over all calibrating
+documents, step by step. The model has the ``MAX_PAIRS`` most frequent pairs (of
+``PAIR_DOCS`` documents and more) and the ``MAX_WORDS`` most frequent words, so
+what is broadcast is bounded whatever the texts hold; one task makes it, and the
+driver gets it once. ``op10_toxicity`` alone fits on a bounded sample of about
+``MAX_DOCS`` labelled documents, chosen by a hash of their id. Scoring covers all
+rows and whole texts.
 
 Defined results: labels of one id that disagree count by their mean, one half
 and more meaning toxic; null labels and labels without a document are ignored;
@@ -39,9 +42,10 @@ of the score's name keeps its place, and the score's gets underscores.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -63,6 +67,7 @@ EXPERIENCE = 20.0  # pairs of a context in the class that has met fewer, at whic
 WINDOWS = (8, 64)
 LIMIT = 40.0  # of one word's log ratio, either way
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+PIECE = 1 << 20  # bytes of a model's file in a row
 START = np.uint64(1)  # stands before a document's first word
 
 
@@ -217,50 +222,119 @@ def scorer(model: Model) -> Scorer:
     return resident(("toxicity", model.key), lambda: Scorer(model))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+Total = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]  # the sum of f(x, y) over all rows
+
+
+def _logistic(total: Total, kept: list[int], scale: np.ndarray, n: float, pos: float) -> tuple[tuple[float, ...], float]:
     """Ridge logistic regression with Platt's targets, so that separable classes stay finite."""
-    pos, neg = y.sum(), len(y) - y.sum()
-    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    scale = np.maximum(x.std(0), 1e-9)
-    a = np.column_stack([x / scale, np.ones(len(x))])
-    ridge = np.diag([0.1] * x.shape[1] + [1e-6])
-    w = np.zeros(a.shape[1])
+    high, low = (pos + 1) / (pos + 2), 1 / (n - pos + 2)
+    ridge = np.diag([0.1] * len(kept) + [1e-6])
+    w = np.zeros(len(kept) + 1)
     for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge
-        step = np.linalg.solve(h, a.T @ (target - p) - ridge @ w)
-        w += np.clip(step, -1, 1)
+
+        def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            a = np.column_stack([x[:, kept] / scale[kept], np.ones(len(x))])
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a
+            return np.concatenate([h.ravel(), a.T @ (np.where(y == 1, high, low) - p)])
+
+        found = total(sums)
+        h, gradient = found[: len(w) ** 2].reshape(len(w), len(w)), found[len(w) ** 2 :]
+        step = np.linalg.solve(h + ridge, gradient - ridge @ w)
+        w = w + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
-    return tuple((w[:-1] / scale).tolist()), float(w[-1])
+    return tuple((w[:-1] / scale[kept]).tolist()), float(w[-1])
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
-    """The logistic fit with slopes of zero and more: evidence never lowers a score; what would get a negative slope is left out, the most negative first."""
-    kept = list(range(x.shape[1]))
+def _fitted(total: Total, width: int) -> tuple[tuple[float, ...], float] | None:
+    """The logistic fit with slopes of zero and more: evidence never lowers a score; what would get a negative slope is left out, the most negative first. None without both classes."""
+    first = total(lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0)]))
+    n, pos = first[:2] if len(first) else (0.0, 0.0)
+    if not 0 < pos < n:
+        return None
+    mean = first[2:] / n
+    scale = np.maximum(np.sqrt(total(lambda x, y: ((x - mean) ** 2).sum(0)) / n), 1e-9)
+    kept = list(range(width))
     while True:
-        slopes, shift = _logistic(x[:, kept], y)
+        slopes, shift = _logistic(total, kept, scale, n, pos)
         if min(slopes, default=0.0) >= 0.0:
-            out = np.zeros(x.shape[1])
+            out = np.zeros(width)
             out[kept] = slopes
             return tuple(out.tolist()), shift
         kept.pop(int(np.argmin(slopes)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, held_out_too: bool, max_docs: int) -> DataFrame:
-    """text, y and part (0 calibrates, 1 to 3 count) of the bounded sample."""
+def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """The fit over rows at hand."""
+    return _fitted(lambda f: f(x, y), x.shape[1])
+
+
+def _total(evidence: DataFrame) -> Total:
+    """Sums over ``evidence(y, x)``: tasks sum up their rows, the driver adds a few numbers a task."""
+
+    def total(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = None
+            for b in batches:
+                if b.num_rows:
+                    y = b.column(0).to_numpy()
+                    part = f(b.column(1).flatten().to_numpy().reshape(len(y), -1), y)
+                    found = part if found is None else found + part
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.float64()))], ["s"])
+
+        parts = evidence.mapInArrow(run, "s array<double>").toArrow().column(0).to_pylist()
+        return np.sum(parts, axis=0) if parts else np.zeros(0)
+
+    return total
+
+
+def labelled(docs: DataFrame, labels: DataFrame, held_out_too: bool = False, max_docs: int | None = None) -> DataFrame:
+    """text, y and part (0 calibrates, 1 to 3 count) of all labelled documents, or of a bounded sample of them."""
     marks = labels.where("toxic is not null and doc_id is not null")
-    if not held_out_too:
-        marks = marks.where(bucket_of(F.col("doc_id"), 5) != 0)
-    marks = marks.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
-    pick = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(max(1, marks.count()))) < max_docs
+    fold = F.lit(True) if held_out_too else bucket_of(F.col("doc_id"), 5) != 0
+    marks = marks.where(fold).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
+    if max_docs is not None:
+        marks = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(max(1, marks.count()))) < max_docs)
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)).cast("int").alias("part")
-    chosen = marks.where(pick).select(F.col("doc_id").alias("_id"), "y", part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "y", "part")
+    chosen = marks.select(F.col("doc_id").alias("_id"), "y", part)
+    chosen = chosen.hint("merge") if max_docs is None else F.broadcast(chosen)  # all labels are as many as the documents allow
+    return docs.select("doc_id", "text").where(fold).join(chosen, F.col("doc_id") == F.col("_id")).select("text", "y", "part")
+
 
+def _model(gathered: DataFrame) -> Model | None:
+    """The model of what is counted, made in one task and sent in pieces; None where a class has no word.
 
-def train(docs: DataFrame, labels: DataFrame, held_out_too: bool = False, max_docs: int = MAX_DOCS) -> Model | None:
-    """Fits the model; None where a class has no labelled document."""
+    ``gathered(kind, word, a, b, c, d, e)``: 0 words with their documents by class, 1 and 2 ``left`` and ``after``, 3 pairs with theirs.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, found = [], [[np.zeros((0, 5), np.int64)] for _ in range(4)]
+        for b in batches:
+            kind, numbers = b.column(0).to_numpy(), np.column_stack([b.column(i).to_numpy() for i in range(2, 7)])
+            for k in set(kind.tolist()):
+                found[k].append(numbers[kind == k])
+            words += b.column(1).filter(pa.array(kind == 0)).to_pylist()
+        by_class, left, after, pairs = map(np.concatenate, found)
+        found.clear()
+        if not all(by_class[:, :2].sum(0) > 0):
+            return
+        keys = pair_hash(*(np.ascontiguousarray(pairs[:, i]).view(np.uint64) for i in (0, 1)))
+        data = pickle.dumps(Model.fit(words, by_class[:, :2], left[:, :3], after, keys, pairs[:, 2:4]))
+        trim()
+        for at in range(0, len(data), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([data[at : at + PIECE]], pa.binary())], ["at", "data"])
+
+    pieces = materialise(gathered.repartition(1).mapInArrow(make, "at bigint, data binary"), "model")
+    data = bytearray()
+    for r in pieces.orderBy("at").toLocalIterator():
+        data += r.data
+    return pickle.loads(data) if data else None
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out_too: bool = False, max_docs: int | None = None) -> Model | None:
+    """Fits the model, on all labelled documents or a sample of about ``max_docs``; None where a class has no labelled document."""
     text_batches(docs.sparkSession)
     sample = materialise(labelled(docs, labels, held_out_too, max_docs), "labelled")
 
@@ -290,29 +364,29 @@ def train(docs: DataFrame, labels: DataFrame, held_out_too: bool = False, max_do
     def total(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    def rows(table: pa.Table) -> np.ndarray:
-        return np.column_stack([c.to_numpy() for c in table.columns])
+    def kind(k: int, df: DataFrame) -> DataFrame:
+        numbers = [F.col(c) for c in df.columns if c != "text"]
+        numbers += [F.lit(0).cast("bigint")] * (5 - len(numbers))
+        text = F.col("text") if "text" in df.columns else F.lit(None).cast("string")
+        return df.select(F.lit(k).alias("kind"), text.alias("word"), *(c.alias(n) for c, n in zip(numbers, "abcde")))
 
     counted = sample.where("part > 0").select("text", "y")
     most_seen = (F.col("n0") + F.col("n1")).desc()
-    t = total(counted.mapInArrow(count, "word string, n0 bigint, n1 bigint"), "word").orderBy(most_seen, "word").limit(MAX_WORDS).toArrow()
-    classes = lambda t: np.column_stack([t.column(c).to_numpy() for c in ("n0", "n1")]) if t.num_rows else np.zeros((0, 2))
-    if not all(classes(t).sum(0) > 0):
-        return None
+    words = total(counted.mapInArrow(count, "word string, n0 bigint, n1 bigint"), "word").orderBy(most_seen, "word").limit(MAX_WORDS)
     # what a word needs of its pairs is summed where the pairs are; only those of several documents are gathered
     pairs = materialise(total(counted.mapInArrow(count_pairs, "before bigint, word bigint, n0 bigint, n1 bigint"), "before", "word"), "pairs")
-    kinds = [F.count_if(F.col(c) > 0) for c in ("n0", "n1")]
-    left = pairs.groupBy("word").agg(F.count("*").alias("n"), *kinds).orderBy(F.desc("n"), "word").limit(MAX_WORDS).drop("n").toArrow()
-    after = pairs.groupBy("before").agg(F.count("*").alias("n"), F.sum("n0"), kinds[0].alias("k0"), F.sum("n1"), kinds[1].alias("k1"))
-    after = after.orderBy(F.desc("n"), "before").limit(MAX_WORDS).drop("n").toArrow()
-    strong = pairs.where(F.col("n0") + F.col("n1") >= PAIR_DOCS).orderBy(most_seen, "before", "word").limit(MAX_PAIRS).toArrow()
-    keys = pair_hash(*(strong.column(c).to_numpy().view(np.uint64) for c in ("before", "word")))
-    model = Model.fit(t.column("word").to_pylist(), classes(t), rows(left), rows(after), keys, classes(strong))
-    del t, left, after, strong, keys
+    kinds = [F.count_if(F.col(c) > 0).alias(k) for c, k in (("n0", "k0"), ("n1", "k1"))]
+    left = pairs.groupBy("word").agg(F.count("*").alias("n"), *kinds).orderBy(F.desc("n"), "word").limit(MAX_WORDS).drop("n")
+    after = pairs.groupBy("before").agg(F.count("*").alias("n"), F.sum("n0").alias("s0"), kinds[0], F.sum("n1").alias("s1"), kinds[1])
+    after = after.orderBy(F.desc("n"), "before").limit(MAX_WORDS).drop("n")
+    strong = pairs.where(F.col("n0") + F.col("n1") >= PAIR_DOCS).orderBy(most_seen, "before", "word").limit(MAX_PAIRS)
+    made = [kind(k, df) for k, df in enumerate((words.withColumnRenamed("word", "text"), left, after, strong))]
+    model = _model(made[0].union(made[1]).union(made[2]).union(made[3]))
+    if model is None:
+        return None
     trim()
-    fit = _evidence(sample.where("part = 0").select("y", "text"), model).toArrow()
-    y, x = fit.column("y").to_numpy(), np.array(fit.column("x").to_pylist())
-    model.slopes, model.shift = _calibrated(x, y) if len(set(y.tolist())) == 2 else ((0.0, 0.0, 0.0, 2.0, 0.0, 0.0), -6.0)
+    evidence = materialise(_evidence(sample.where("part = 0").select("y", "text"), model), "evidence")
+    model.slopes, model.shift = _fitted(_total(evidence), len(model.slopes)) or ((0.0, 0.0, 0.0, 2.0, 0.0, 0.0), -6.0)
     model.key = uuid.uuid4().hex  # workers keep the uncalibrated model under the old one
     trim()
     return model
@@ -357,7 +431,7 @@ def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Score of every document, from models that never see the held-out rows' labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    out = scored(docs, train(docs, table(spark, sf_dir, "labels"), max_docs=MAX_DOCS))
     return out.select(
         "doc_id",
         (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"),
